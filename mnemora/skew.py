@@ -11,13 +11,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as W
 
 from .session import durable
 
 HEAVY_SHARE = 1000
 
 
+def _row_hash(rows: DataFrame) -> Column:
+    """Hash of the atomic columns: stable when a lost task runs again, unlike a random number."""
+    plain = (
+        T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType
+    )
+    names = [f.name for f in rows.schema.fields if isinstance(f.dataType, plain)]
+    return F.xxhash64(*names)
+
+
 def attach_by_key(
     rows: DataFrame, per_key: DataFrame, keys: Sequence[str], size: str, values: Sequence[str]
 ) -> DataFrame:
@@ -34,7 +43,7 @@ def attach_by_key(
     on_heavy = [F.col(k) == F.col(f"__h_{k}") for k in keys]
     marked = rows.join(F.broadcast(heavy), on_heavy, "left").drop(*[f"__h_{k}" for k in keys])
     # Heavy rows and rows without a key match nothing below: give them keys that spread out.
-    spread = F.concat(F.lit("\u0001"), (F.rand(7) * 1_000_000).cast("int").cast("string"))
+    spread = F.concat(F.lit("\u0001"), _row_hash(rows).cast("string"))
     no_key = F.lit(False)
     for k in keys:
         no_key = no_key | F.col(k).isNull()
