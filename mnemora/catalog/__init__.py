@@ -1,0 +1,24 @@
+"""All registered queries."""
+
+from __future__ import annotations
+
+import importlib
+
+from . import base
+
+MODULES = ["learning"]
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"{__name__}.{name}")
+
+
+def queries():
+    _load()
+    return dict(base.QUERIES)
+
+
+def oracle_sql():
+    _load()
+    return dict(base.ORACLES)

@@ -155,7 +155,7 @@ def scheduled_days(state: Column, w: list[float] = WEIGHTS) -> Column:
 def fold_events(events: Column, seed: Column | None = None, scheduler=schedule_event) -> Column:
     """Fold a sorted array of (ts, id, good) into a state, from ``seed`` or a new card."""
     start = F.lit(None).cast(STATE_TYPE) if seed is None else seed.cast(STATE_TYPE)
-    return F.aggregate(events, start, scheduler)
+    return F.aggregate(events, start, lambda state, event: scheduler(state, event))
 
 
 def _review_events(events: DataFrame) -> DataFrame:
