@@ -6,7 +6,7 @@ import importlib
 
 from . import base
 
-MODULES = ["learning"]
+MODULES = ["learning", "corpus", "plans", "answers"]
 
 
 def _load() -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 WORD_ID_PATTERN = r"^[a-z0-9][a-z0-9-]{2,127}$"
 _EDGE_SPACE = r"(?U)^[\s﻿]+|[\s﻿]+$"
@@ -14,7 +14,7 @@ _QUOTES = "[\"'“”‘’`]"
 _ASCII = r"^[\x00-\x7F]*$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 

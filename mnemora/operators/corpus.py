@@ -72,20 +72,24 @@ def corpus_digests(words: DataFrame) -> DataFrame:
     )
 
 
-def integrity_report(words: DataFrame, manifest: DataFrame) -> DataFrame:
-    """One row: totals, per-language match, duplicates and the overall verdict."""
-    counts = language_counts(words, manifest.select(F.inline("language_counts")))
-    totals = counts.agg(
-        F.sum("expected").alias("expected_total"),
-        F.sum("actual").alias("actual_total"),
-        F.bool_and("matches").alias("languages_match"),
-    )
-    dups = duplicate_identities(words).agg(F.count(F.lit(1)).alias("duplicates"))
-    return totals.withColumn("duplicates", dups.scalar()).withColumn(
-        "valid",
-        (F.col("expected_total") == F.col("actual_total"))
-        & F.col("languages_match")
-        & (F.col("duplicates") == 0),
+def integrity_report(words: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Per manifest: totals, per-language match, duplicate identities and the verdict."""
+    expected = manifests.select("id", "total_word_count", F.inline("language_counts"))
+    actual = words.groupBy("language").agg(F.count(F.lit(1)).alias("actual"))
+    total = words.agg(F.count(F.lit(1))).scalar()
+    dups = duplicate_identities(words).agg(F.count(F.lit(1))).scalar()
+    return (
+        expected.join(actual, "language", "left")
+        .groupBy("id", F.col("total_word_count").alias("expected_total"))
+        .agg(F.bool_and(F.col("word_count") == F.coalesce("actual", F.lit(0))).alias("languages_match"))
+        .withColumn("actual_total", total)
+        .withColumn("duplicates", dups)
+        .withColumn(
+            "valid",
+            (F.col("expected_total") == F.col("actual_total"))
+            & F.col("languages_match")
+            & (F.col("duplicates") == 0),
+        )
     )
 
 

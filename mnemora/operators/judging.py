@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import trim_all
 
+# Feedback texts.
+FEEDBACK_CORRECT = "回答正确。"
+FEEDBACK_CHOICE = "再看一下正确选项，理解后继续。"
+FEEDBACK_TEXT = ("正确答案是「", "」。")
+
 
 def _normal(answer: Column, case_sensitive: Column, trim: Column) -> Column:
     text = F.when(trim, trim_all(answer)).otherwise(answer)
@@ -52,6 +57,18 @@ def judge(submissions: DataFrame, questions: DataFrame) -> DataFrame:
                 F.when(kind == "choice", "choice_mismatch").otherwise("text_mismatch"),
             ),
         )
+        .withColumn(
+            "feedback",
+            F.when(F.col("status") == "correct", FEEDBACK_CORRECT)
+            .when((F.col("status") == "incorrect") & (kind == "choice"), FEEDBACK_CHOICE)
+            .when(
+                F.col("status") == "incorrect",
+                F.concat(
+                    F.lit(FEEDBACK_TEXT[0]), F.element_at("expected_answer", 1),
+                    F.lit(FEEDBACK_TEXT[1]),
+                ),
+            ),
+        )
         .drop("__key")
     )
 

@@ -9,6 +9,11 @@ from ..skew import ordinal
 
 PLAN_WORDS = 5
 CHOICE_OPTIONS = 4
+# The texts of a plan and its questions.
+TITLES = {"ja": "今日 N5 日语", "en": "今日英语"}
+CHOICE_INSTRUCTION = "选择最符合的中文释义"
+TEXT_INSTRUCTIONS = {"ja": "根据中文释义输入日语词或读音", "en": "根据中文释义输入英语单词或音标"}
+NO_PHONETIC = "无音标"
 
 
 def priorities(states: DataFrame, recent: DataFrame, day_end: Column) -> DataFrame:
@@ -150,13 +155,17 @@ def build_plans(
             choice_words(F.col("words"), word, index, local_date),
             lambda w: F.struct(option_id(w).alias("id"), w["meaning"].alias("label")),
         )
-        sound = F.coalesce(word["reading"], word["phonetic"], F.lit("-"))
+        sound = F.coalesce(word["reading"], word["phonetic"], F.lit(NO_PHONETIC))
         return F.struct(
             index.alias("index"),
             qid.alias("question_id"),
             word["item_id"].alias("item_id"),
             word["item_id"].alias("word_id"),
             F.when(choice, "choice").otherwise("textInput").alias("question_type"),
+            F.when(choice, CHOICE_INSTRUCTION)
+            .when(F.col("language") == "ja", TEXT_INSTRUCTIONS["ja"])
+            .otherwise(TEXT_INSTRUCTIONS["en"])
+            .alias("instruction"),
             F.when(choice, word["headword"]).otherwise(word["meaning"]).alias("prompt"),
             F.when(choice, options)
             .otherwise(F.array().cast("array<struct<id:string,label:string>>"))
@@ -164,10 +173,11 @@ def build_plans(
             F.when(choice, F.array(option_id(word))).alias("correct_option_ids"),
             F.when(~choice, _accepted(word, F.col("language"))).alias("accepted_answers"),
             F.concat(
-                word["headword"], F.lit(" ("), sound, F.lit("): "), word["meaning"], F.lit(" | "),
+                word["headword"], F.lit("（"), sound, F.lit("）："), word["meaning"], F.lit("｜"),
                 word["part_of_speech"],
             ).alias("explanation"),
             F.greatest(F.lit(1), word["difficulty"]).alias("difficulty"),
+            F.array(F.lit("daily-course"), word["level"], word["item_id"]).alias("tags"),
             word["reason"].alias("reason"),
         )
 
@@ -177,9 +187,7 @@ def build_plans(
         F.lit(manifest_id).alias("manifest_id"),
         F.lit(content_version).alias("content_version"),
         F.coalesce(minutes, F.lit(5)).alias("estimated_minutes"),
-        F.when(F.col("language") == "ja", "Today's Japanese")
-        .otherwise("Today's English")
-        .alias("title"),
+        F.when(F.col("language") == "ja", TITLES["ja"]).otherwise(TITLES["en"]).alias("title"),
         F.transform("words", question).alias("items"),
     )
 
