@@ -6,7 +6,7 @@ import importlib
 
 from . import base
 
-MODULES = ["learning", "corpus", "plans", "answers"]
+MODULES = ["learning", "corpus", "plans", "answers", "identity"]
 
 
 def _load() -> None:

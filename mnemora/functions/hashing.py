@@ -49,3 +49,13 @@ def set_digest(row_digest: Column) -> Column:
     ]
     texts = [F.coalesce(w.cast("string"), F.lit("0")) for w in words]
     return F.sha2(F.concat_ws("|", F.count(row_digest).cast("string"), *texts), 256)
+
+
+def json_digest(**fields: Column) -> Column:
+    """SHA-256 of a JSON object with the fields in the given order, nulls kept."""
+    body = F.struct(*[c.alias(name) for name, c in fields.items()])
+    return F.sha2(F.to_json(body, {"ignoreNullFields": "false"}), 256)
+
+
+def json_id(prefix: str, **fields: Column) -> Column:
+    return F.concat(F.lit(prefix), F.substring(json_digest(**fields), 1, 24))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.hashing import digest, set_digest
 from ..functions.text import corpus_headword, trim_all
-from ..skew import ordinal
+from ..skew import attach_by_key, ordinal
 
 # The acceptance target of the bilingual corpus.
 ACCEPTANCE_TARGET = {"total": 9828, "ja": 5906, "en": 3922}
@@ -103,33 +103,16 @@ def identity_index(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return by_identity, by_id, by_headword
 
 
-def resolve_references(
-    refs: DataFrame, words: DataFrame, id_col: str = "word_id", headword_col: str = "headword"
+def resolve_distinct(
+    distinct: DataFrame, words: DataFrame, id_col: str, headword_col: str
 ) -> DataFrame:
-    """Resolve (language, id, headword) to exact, language-conflict, candidate, ambiguous or
-    not-found; adds ``corpus_status`` and ``corpus_id``.
-
-    Distinct references are resolved once, so the joins to the corpus never see a hot key.
-    The result joins back on the reference itself, skew-safe.
-    """
-    from ..skew import attach_by_key
-
-    key = digest(F.col("language"), F.col(id_col), F.col(headword_col))
-    keyed = refs.withColumn("__ref", key)
-    distinct = keyed.groupBy("__ref").agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.first("language").alias("language"),
-        F.first(id_col).alias("__id"),
-        F.first(headword_col).alias("__head"),
-    )
-    distinct = distinct.withColumn("__id", trim_all(F.col("__id"))).withColumn(
-        "__headword_key", corpus_headword(F.col("__head"))
-    )
+    """Add ``corpus_status`` and ``corpus_id`` to a table of distinct references."""
     by_identity, by_id, by_headword = identity_index(words)
+    keyed = distinct.withColumn("__id", trim_all(F.col(id_col))).withColumn(
+        "__headword_key", corpus_headword(F.col(headword_col))
+    )
     joined = (
-        distinct.join(
-            by_identity.withColumnRenamed("id", "__id"), ["language", "__id"], "left"
-        )
+        keyed.join(by_identity.withColumnRenamed("id", "__id"), ["language", "__id"], "left")
         .join(by_id.withColumnRenamed("id", "__id"), "__id", "left")
         .join(
             by_headword.withColumnRenamed("headword_key", "__headword_key"),
@@ -143,12 +126,31 @@ def resolve_references(
         .when(F.col("n_headword") > 1, "ambiguous")
         .otherwise("not-found")
     )
-    per_ref = joined.select(
-        "__ref", "__n", status.alias("corpus_status"),
+    return joined.select(
+        *distinct.columns, status.alias("corpus_status"),
         F.when(F.col("n_exact").isNotNull(), F.col("__id"))
         .when(F.col("n_any").isNull() & (F.col("n_headword") == 1), F.col("headword_id"))
         .alias("corpus_id"),
     )
+
+
+def resolve_references(
+    refs: DataFrame, words: DataFrame, id_col: str = "word_id", headword_col: str = "headword"
+) -> DataFrame:
+    """Resolve (language, id, headword) to exact, language-conflict, candidate, ambiguous or
+    not-found; adds ``corpus_status`` and ``corpus_id``.
+
+    Distinct references are resolved once, so the joins to the corpus never see a hot key.
+    The result joins back on the reference itself, skew-safe.
+    """
+    keyed = refs.withColumn("__ref", digest(F.col("language"), F.col(id_col), F.col(headword_col)))
+    distinct = keyed.groupBy("__ref").agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.first("language").alias("language"),
+        F.first(id_col).alias(id_col),
+        F.first(headword_col).alias(headword_col),
+    )
+    per_ref = resolve_distinct(distinct, words, id_col, headword_col)
     return attach_by_key(
         keyed, per_ref, ["__ref"], "__n", ["corpus_status", "corpus_id"]
     ).drop("__ref")
