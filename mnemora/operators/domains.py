@@ -480,13 +480,14 @@ def wrong_book(records: DataFrame, index: WordIndex) -> tuple[DataFrame, DataFra
                 RECENT_ANSWER_TRUNCATED=F.size("__answers") > MAX_RECENT_ANSWERS,
             ),
             "answers": newest_answers(good_answers),
+            "bounded_word_id": bounded(F.col("raw_word_id"), 128),
             **{n: lg.count_value(F.col(f"__{n}")) for n in WRONG_COUNT_COLUMNS},
         }).drop("__answers", "__bad_date", "__bad_list", *[f"__{n}" for n in WRONG_COUNT_COLUMNS])
     )
     good = rows.where("target_ref is not null")
     payload = good.groupBy(*GROUP).agg(
         F.min("target_word_id").alias("target_word_id"), F.min("language").alias("language"),
-        _first_known("raw_word_id").alias("raw_word_id"),
+        _first_known("bounded_word_id").alias("raw_word_id"),
         _first_known("headword_snapshot").alias("headword_snapshot"),
         _first_known("folder_snapshot").alias("folder_snapshot"),
         *[F.max(n).alias(n) for n in WRONG_COUNT_COLUMNS],
@@ -659,7 +660,6 @@ def conversations(records: DataFrame, index: WordIndex) -> tuple[DataFrame, Data
     """Conversations merged by cache key, else legacy id, else generated id."""
     v = F.col("v")
     raw_messages = lg.field(v, "messages")
-    date_name = F.when(lg.present(v, "updatedAt"), "updatedAt").otherwise("date")
     explicit = lg.present(v, "updatedAt")
     rows = _parsed(records, "aiConversations").select(
         "migration_id", "source_ref", "domain", "record_digest", "json", _is_object(v).alias("is_object"),
@@ -679,7 +679,6 @@ def conversations(records: DataFrame, index: WordIndex) -> tuple[DataFrame, Data
         _messages(v).alias("all_messages"),
         (lg.present(v, "messages") & (lg.kind(raw_messages) != "array")).alias("bad_messages"),
     )
-    del date_name
     found = resolve_relations(durable(rows), index, target="resolved_word_id")
     no_id = F.col("cache_key").isNull() & F.col("legacy_id").isNull()
     conversation_id = json_id(
@@ -765,7 +764,10 @@ def quizzes(records: DataFrame, index: WordIndex) -> tuple[DataFrame, DataFrame,
         "migration_id", "source_ref", "ord", lg.language_of(a).alias("language"),
         (_is_object(a) & lg.present(a, "lang") & lg.language_of(a).isNull()).alias("bad_language"),
         snapshot.alias("word_snapshot"),
-        F.coalesce(lg.read_identifier(a, "matchedWordId", "wordId", "wordID"), clean_text(snapshot)).alias("raw_word_id"),
+        F.coalesce(
+            lg.read_identifier(a, "matchedWordId", "wordId", "wordID"), clean_text(snapshot),
+            lg.read_text(a, "word_id"),
+        ).alias("raw_word_id"),
         bounded(lg.read_identifier(a, "questionId", "questionID", "id"), 128).alias("question_id"),
         bounded(lg.read_any_text(a, "type"), 100).alias("type"),
         bounded(lg.read_any_text(a, "dimension"), 100).alias("dimension"),
