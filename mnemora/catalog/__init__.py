@@ -6,7 +6,7 @@ import importlib
 
 from . import base
 
-MODULES = ["learning", "corpus", "plans", "answers", "identity"]
+MODULES = ["learning", "corpus", "plans", "answers", "identity", "domains"]
 
 
 def _load() -> None:

@@ -30,6 +30,23 @@ def nfkc(col: Column) -> Column:
     return F.when(ascii_only, col).otherwise(_nfkc(F.when(~ascii_only, col)))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfkc_items(lists: pd.Series) -> pd.Series:
+    def one(items):
+        if items is None:
+            return None
+        return [None if v is None else unicodedata.normalize("NFKC", v) for v in items]
+
+    return lists.map(one)
+
+
+def clean_items(col: Column) -> Column:
+    """``clean_text`` for every element. A UDF cannot run inside a lambda, so lists have their own."""
+    ascii_only = F.forall(col, lambda x: x.isNull() | x.rlike(_ASCII))
+    plain = F.when(ascii_only, col).otherwise(_nfkc_items(F.when(~ascii_only, col)))
+    return F.transform(plain, lambda x: F.when(trim_all(x) != "", trim_all(x)))
+
+
 def clean_text(col: Column) -> Column:
     """NFKC and trim; blank becomes null."""
     text = trim_all(nfkc(col))

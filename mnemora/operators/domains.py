@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from ..functions import legacy as lg
 from ..functions.flags import Flags
 from ..functions.hashing import json_digest, json_id
-from ..functions.text import bounded, clean_text, relation_headword
+from ..functions.text import bounded, clean_items, clean_text, relation_headword, trim_all
 from ..session import durable
 from .contracts import preference_class
 from .identity import WordIndex, resolve_relations
@@ -398,13 +398,26 @@ WRONG_COUNT_COLUMNS = [
 ]
 
 
-def _wrong_answers(v: Column) -> Column:
+def _items(v: Column, name: str) -> Column:
+    raw = lg.field(v, name)
+    return F.when(lg.kind(raw) == "array", F.try_variant_get(raw, "$", "array<variant>"))
+
+
+def _item_texts(items: Column, *names: str) -> Column:
+    """First non-blank string field of each item, cleaned."""
+    def raw(item: Column, name: str) -> Column:
+        value = lg.field(item, name)
+        text = F.when(lg.kind(value) == "string", F.try_variant_get(value, "$", "string"))
+        return F.when(trim_all(text) != "", text)
+
+    return clean_items(F.transform(items, lambda a: F.coalesce(*[raw(a, n) for n in names])))
+
+
+def _wrong_answers(items: Column, dimensions: Column) -> Column:
     """Parsed recent answers: struct(ok, occurred_at, is_correct, dimension, json, ord)."""
-    raw = lg.field(v, "recentAnswers")
-    items = F.when(lg.kind(raw) == "array", F.try_variant_get(raw, "$", "array<variant>"))
 
     def parse(a: Column, i: Column) -> Column:
-        dimension = lg.read_text(a, "dimension", "type")
+        dimension = F.get(dimensions, i)
         ok = (
             _is_object(a)
             & ~F.coalesce(lg.instant_invalid(a, "at", "occurredAt", "date"), F.lit(False))
@@ -455,10 +468,13 @@ def wrong_book(records: DataFrame, index: WordIndex) -> tuple[DataFrame, DataFra
         lg.read_instant(v, "lastCorrectAt", "last_correct_at", "correctAt").alias("last_correct_at"),
         (lg.instant_invalid(v, "lastWrongAt", "last_wrong_at", "wrongAt")
          | lg.instant_invalid(v, "lastCorrectAt", "last_correct_at", "correctAt")).alias("__bad_date"),
-        _wrong_answers(v).alias("__answers"),
+        _items(v, "recentAnswers").alias("__items"),
+        _item_texts(_items(v, "recentAnswers"), "dimension", "type").alias("__dims"),
         (lg.present(v, "recentAnswers") & (lg.kind(lg.field(v, "recentAnswers")) != "array")).alias("__bad_list"),
     )
-    found = resolve_relations(durable(rows), index)
+    rows = durable(rows)
+    rows = rows.withColumn("__answers", _wrong_answers(F.col("__items"), F.col("__dims")))
+    found = resolve_relations(rows.drop("__items", "__dims"), index)
     defaulted, floored = F.lit(False), F.lit(False)
     for n in WRONG_COUNT_COLUMNS:
         defaulted = defaulted | lg.count_defaulted(F.col(f"__{n}"))
@@ -637,12 +653,9 @@ CONVERSATION_FLAGS = Flags(
 )
 
 
-def _messages(v: Column) -> Column:
-    raw = lg.field(v, "messages")
-    items = F.when(lg.kind(raw) == "array", F.try_variant_get(raw, "$", "array<variant>"))
-
-    def parse(m: Column) -> Column:
-        role = F.lower(lg.read_text(m, "role"))
+def _messages(items: Column, roles: Column) -> Column:
+    def parse(m: Column, i: Column) -> Column:
+        role = F.lower(F.get(roles, i))
         body = F.when(_is_object(m), F.coalesce(*[
             F.when(lg.kind(lg.field(m, n)) != "null", lg.field(m, n)) for n in ("content", "text", "message")
         ])).otherwise(m)
@@ -676,10 +689,14 @@ def conversations(records: DataFrame, index: WordIndex) -> tuple[DataFrame, Data
                    bounded(lg.read_text(v, "word", "headword", "term"), 200)).alias("raw_word_id"),
         F.coalesce(bounded(lg.as_text(lg.field(v, "systemPrompt")), 20000), F.lit("")).alias("system_prompt"),
         bounded(lg.read_text(v, "presetId"), 200).alias("preset_id"),
-        _messages(v).alias("all_messages"),
+        _items(v, "messages").alias("__items"),
+        _item_texts(_items(v, "messages"), "role").alias("__roles"),
         (lg.present(v, "messages") & (lg.kind(raw_messages) != "array")).alias("bad_messages"),
     )
-    found = resolve_relations(durable(rows), index, target="resolved_word_id")
+    rows = durable(rows)
+    rows = rows.withColumn("all_messages", _messages(F.col("__items"), F.col("__roles")))
+    rows = rows.drop("__items", "__roles")
+    found = resolve_relations(rows, index, target="resolved_word_id")
     no_id = F.col("cache_key").isNull() & F.col("legacy_id").isNull()
     conversation_id = json_id(
         "conversation-v1:", schemaVersion=F.lit(1), migrationId=F.col("migration_id"),

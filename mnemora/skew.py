@@ -38,7 +38,7 @@ def attach_by_key(
     ``keys[0]`` must be a string column. Rows with a null key get null values. ``rows`` is read
     twice by the caller's plan, so give a stored table when it is costly to compute.
     """
-    per_key = durable(per_key.select(*keys, size, *values))
+    per_key = durable(per_key.select(*dict.fromkeys([*keys, size, *values])))
     total, largest = per_key.agg(F.sum(size), F.max(size)).first()
     limit = SPLIT_ROWS if split_rows is None else split_rows
     split = total is not None and total >= limit and largest * HEAVY_SHARE > total
