@@ -1,20 +1,28 @@
 """Readers for loosely typed legacy JSON, held as VARIANT columns.
 
-Every reader takes the record as a VARIANT column and field names in order of preference.
-A field is *present* when the object has the key, also with a JSON null.
+``Fields`` reads named fields; its readers take field names in order of preference. A field is
+*present* when the object has the key, also with a JSON null.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Sequence
 
-from .text import clean_text
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .text import clean_text, nfkc, trim_all
+
+MAX_SAFE_INTEGER = 9007199254740991
 
 # Fixed value: the accepted instant format (ISO-8601 date, optional time and offset).
 ISO_INSTANT = (
     r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})?)?$"
 )
-_NUMERIC = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL)"
+# First letters of a variant's schema and the JSON type they mean.
+_KINDS = {
+    "VOI": "null", "BOO": "boolean", "STR": "string", "ARR": "array", "OBJ": "object",
+    "BIG": "number", "DOU": "number", "FLO": "number", "DEC": "number",
+}
 
 
 def field(value: Column, name: str) -> Column:
@@ -23,17 +31,10 @@ def field(value: Column, name: str) -> Column:
 
 def kind(value: Column) -> Column:
     """JSON type name: null, boolean, number, string, array or object."""
-    shape = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(shape == "VOID", "null")
-        .when(shape == "BOOLEAN", "boolean")
-        .when(shape == "STRING", "string")
-        .when(shape.startswith("ARRAY"), "array")
-        .when(shape.startswith("OBJECT"), "object")
-        .when(shape.rlike(_NUMERIC), "number")
-        .otherwise("string")
-    )
+    pairs = []
+    for start, name in _KINDS.items():
+        pairs += [F.lit(start), F.lit(name)]
+    return F.create_map(*pairs)[F.substring(F.schema_of_variant(value), 1, 3)]
 
 
 def text_of(value: Column) -> Column:
@@ -41,70 +42,18 @@ def text_of(value: Column) -> Column:
     return clean_text(F.when(kind(value) == "string", F.try_variant_get(value, "$", "string")))
 
 
-def read_text(value: Column, *names: str) -> Column:
-    """First field that holds a non-blank string."""
-    return F.coalesce(*[text_of(field(value, n)) for n in names])
-
-
-def read_identifier(value: Column, *names: str) -> Column:
-    """Like ``read_text``, and nonnegative whole numbers count as text."""
-
-    def one(name: str) -> Column:
-        raw = field(value, name)
-        number = F.when(kind(raw) == "number", F.try_variant_get(raw, "$", "double"))
-        whole = F.when(
-            (number >= 0) & (number == F.floor(number)) & (number <= 9007199254740991),
-            number.cast("bigint").cast("string"),
-        )
-        return F.coalesce(whole, text_of(raw))
-
-    return F.coalesce(*[one(n) for n in names])
-
-
-def as_text(value: Column) -> Column:
+def as_text(value: Column, kind_of: Column) -> Column:
     """Scalars as they are, arrays and objects as JSON, null as null."""
-    k = kind(value)
     return (
-        F.when(k == "null", F.lit(None).cast("string"))
-        .when(k.isin("array", "object"), F.to_json(value))
-        .otherwise(F.try_variant_get(value, "$", "string"))
+        F.when(kind_of.isin("array", "object"), F.to_json(value))
+        .when(kind_of != "null", F.try_variant_get(value, "$", "string"))
     )
 
 
-def read_any_text(value: Column, *names: str) -> Column:
-    """Text of the first field that is present, also if that is null."""
-    out = F.lit(None).cast("string")
-    for name in reversed(names):
-        raw = field(value, name)
-        out = F.when(raw.isNotNull(), as_text(raw)).otherwise(out)
-    return out
-
-
-def read_bool(value: Column, name: str) -> Column:
-    raw = field(value, name)
-    return F.when(kind(raw) == "boolean", F.try_variant_get(raw, "$", "boolean"))
-
-
-def present(value: Column, *names: str) -> Column:
-    out = F.lit(False)
-    for name in names:
-        out = out | field(value, name).isNotNull()
-    return out
-
-
-def first_present(value: Column, *names: str) -> Column:
-    return F.coalesce(*[field(value, n) for n in names])
-
-
 def number_of(value: Column) -> Column:
     return F.when(kind(value) == "number", F.try_variant_get(value, "$", "double"))
 
 
-def read_number(value: Column, *names: str) -> Column:
-    """The first present field as a double; null if missing or not a number."""
-    return number_of(first_present(value, *names))
-
-
 def count_value(number: Column) -> Column:
     """Whole nonnegative count: missing or negative becomes 0, fractions are floored."""
     return F.when(number >= 0, F.floor(number)).otherwise(F.lit(0)).cast("bigint")
@@ -122,30 +71,6 @@ def parse_instant(text: Column) -> Column:
     return F.when(text.rlike(ISO_INSTANT), F.try_to_timestamp(text))
 
 
-def read_instant(value: Column, *names: str) -> Column:
-    raw = first_present(value, *names)
-    return parse_instant(F.when(kind(raw) == "string", F.try_variant_get(raw, "$", "string")))
-
-
-def instant_invalid(value: Column, *names: str, epoch_ms: bool = False) -> Column:
-    """A field is present, not null and not empty, but is no instant."""
-    raw = first_present(value, *names)
-    text = F.when(kind(raw) == "string", F.try_variant_get(raw, "$", "string"))
-    ok = (kind(raw) == "null") | (text == "") | parse_instant(text).isNotNull()
-    if epoch_ms:
-        ok = ok | (number_of(raw) >= 0)
-    return raw.isNotNull() & ~F.coalesce(ok, F.lit(False))
-
-
-def read_instant_or_epoch(value: Column, *names: str) -> Column:
-    raw = first_present(value, *names)
-    number = number_of(raw)
-    return F.coalesce(
-        read_instant(value, *names),
-        F.when(number >= 0, F.timestamp_millis(number.cast("bigint"))),
-    )
-
-
 def date_only(text: Column) -> Column:
     """Struct(value, flag): a plain date keeps its text; another instant keeps its date, flagged."""
     plain = text.rlike(r"^\d{4}-\d{2}-\d{2}$")
@@ -156,15 +81,6 @@ def date_only(text: Column) -> Column:
     )
 
 
-def language_of(value: Column) -> Column:
-    raw = F.coalesce(
-        F.when(kind(field(value, "lang")) != "null", field(value, "lang")),
-        field(value, "language"),
-    )
-    text = text_of(raw)
-    return F.when(text.isin("ja", "en"), text)
-
-
 def review_dimension(language: Column, raw: Column) -> Column:
     name = F.lower(raw)
     return (
@@ -192,21 +108,14 @@ def relation_key(raw: Column) -> Column:
     )
 
 
-def reminder_bool(value: Column) -> Column:
-    text = F.lower(F.trim(F.when(kind(value) == "string", F.try_variant_get(value, "$", "string"))))
-    return F.when(kind(value) == "boolean", F.try_variant_get(value, "$", "boolean")).when(
-        text.isin("true", "false"), text == "true"
-    )
-
-
-def reminder_time(value: Column) -> Column:
-    text = F.trim(F.when(kind(value) == "string", F.try_variant_get(value, "$", "string")))
-    return F.when(text.rlike(r"^([01]\d|2[0-3]):[0-5]\d$"), text)
+def reminder_time(text: Column) -> Column:
+    trimmed = F.trim(text)
+    return F.when(trimmed.rlike(r"^([01]\d|2[0-3]):[0-5]\d$"), trimmed)
 
 
-def reminder_weekdays(value: Column) -> Column:
+def reminder_weekdays(value: Column, kind_of: Column) -> Column:
     """Whole numbers 0..6 of the array, in order, repeats kept; null if not an array."""
-    items = F.when(kind(value) == "array", F.try_variant_get(value, "$", "array<variant>"))
+    items = F.when(kind_of == "array", F.try_variant_get(value, "$", "array<variant>"))
     days = F.transform(items, lambda x: number_of(x))
     kept = F.filter(days, lambda x: (x == F.floor(x)) & x.between(0, 6))
     return F.transform(kept, lambda x: x.cast("int"))
@@ -218,3 +127,135 @@ def version_number(value: Column, default: int | None) -> Column:
     good = (number >= 0) & (number == F.floor(number))
     fallback = F.lit(default).cast("bigint")
     return F.when(good, number.cast("bigint")).otherwise(fallback)
+
+
+class Fields:
+    """Fields of one VARIANT column, read once each into columns of their own.
+
+    ``df`` carries, per field, its value, JSON type, string, number and (for ``texts``) cleaned
+    text. Each step is a projection over the one before, so no expression is computed twice.
+    """
+
+    def __init__(
+        self, df: DataFrame, names: Sequence[str], texts: Sequence[str] = (), value: str = "v",
+        tag: str = "f",
+    ):
+        names, texts = list(dict.fromkeys([*names, *texts])), list(dict.fromkeys(texts))
+        self.tag, self.value = tag, value
+        # Columns are numbered: names that differ only in case would clash.
+        self.places = {n: i for i, n in enumerate(names)}
+        at = self._at
+        df = df.withColumns({at("v", n): field(F.col(value), n) for n in names})
+        df = df.withColumns({at("k", n): kind(F.col(at("v", n))) for n in names})
+        steps = {}
+        for n in names:
+            v, k = F.col(at("v", n)), F.col(at("k", n))
+            steps[at("s", n)] = F.when(k == "string", F.try_variant_get(v, "$", "string"))
+            steps[at("n", n)] = F.when(k == "number", F.try_variant_get(v, "$", "double"))
+        df = df.withColumns(steps).withColumn(at("k", ""), kind(F.col(value)))
+        if texts:
+            df = df.withColumns({at("c", n): nfkc(F.col(at("s", n))) for n in texts})
+            df = df.withColumns({at("c", n): trim_all(F.col(at("c", n))) for n in texts})
+            df = df.withColumns(
+                {at("c", n): F.when(F.col(at("c", n)) != "", F.col(at("c", n))) for n in texts}
+            )
+        self.df = df
+
+    def _at(self, part: str, name: str) -> str:
+        return f"__{self.tag}{part}_{self.places.get(name, 'all')}"
+
+    def column(self, name: str) -> str:
+        """Column that holds the field's value."""
+        return self._at("v", name)
+
+    def raw(self, *names: str) -> Column:
+        """The first present field."""
+        return F.coalesce(*[F.col(self._at("v", n)) for n in names])
+
+    def kind(self, name: str) -> Column:
+        return F.col(self._at("k", name))
+
+    def is_object(self) -> Column:
+        return F.coalesce(F.col(self._at("k", "")) == "object", F.lit(False))
+
+    def present(self, *names: str) -> Column:
+        out = F.lit(False)
+        for n in names:
+            out = out | F.col(self._at("v", n)).isNotNull()
+        return out
+
+    def _first(self, part: str, names: Sequence[str]) -> Column:
+        """The given part of the first present field, also if that part is null."""
+        out = None
+        for n in names:
+            seen, value = F.col(self._at("v", n)).isNotNull(), F.col(self._at(part, n))
+            out = F.when(seen, value) if out is None else out.when(seen, value)
+        return out
+
+    def string(self, *names: str) -> Column:
+        return self._first("s", names)
+
+    def number(self, *names: str) -> Column:
+        """The first present field as a double; null if missing or not a number."""
+        return self._first("n", names)
+
+    def text(self, *names: str) -> Column:
+        """First field that holds a non-blank string, cleaned."""
+        return F.coalesce(*[F.col(self._at("c", n)) for n in names])
+
+    def identifier(self, *names: str) -> Column:
+        """Like ``text``, and nonnegative whole numbers count as text."""
+        found = []
+        for n in names:
+            number = F.col(self._at("n", n))
+            whole = (number >= 0) & (number == F.floor(number)) & (number <= MAX_SAFE_INTEGER)
+            found += [F.when(whole, number.cast("bigint").cast("string")), F.col(self._at("c", n))]
+        return F.coalesce(*found)
+
+    def any_text(self, *names: str) -> Column:
+        """Text of the first field that is present, also if that is null."""
+        out = None
+        for n in names:
+            v = F.col(self._at("v", n))
+            value = as_text(v, F.col(self._at("k", n)))
+            out = F.when(v.isNotNull(), value) if out is None else out.when(v.isNotNull(), value)
+        return out
+
+    def boolean(self, name: str) -> Column:
+        v, k = F.col(self._at("v", name)), F.col(self._at("k", name))
+        return F.when(k == "boolean", F.try_variant_get(v, "$", "boolean"))
+
+    def loose_bool(self, *names: str) -> Column:
+        """A boolean, or the text true or false, of the first present field."""
+        out = None
+        for n in names:
+            seen = F.col(self._at("v", n)).isNotNull()
+            text = F.lower(F.trim(F.col(self._at("s", n))))
+            value = F.coalesce(self.boolean(n), F.when(text.isin("true", "false"), text == "true"))
+            out = F.when(seen, value) if out is None else out.when(seen, value)
+        return out
+
+    def language(self) -> Column:
+        """``lang``, or ``language`` when that is missing or null, if it is ja or en."""
+        lang = F.when(F.coalesce(self.kind("lang") != "null", F.lit(False)), F.col(self._at("c", "lang")))
+        other = F.when(F.coalesce(self.kind("lang") == "null", F.lit(True)), F.col(self._at("c", "language")))
+        text = F.coalesce(lang, other)
+        return F.when(text.isin("ja", "en"), text)
+
+    def instant(self, *names: str) -> Column:
+        return parse_instant(self.string(*names))
+
+    def instant_or_epoch(self, *names: str) -> Column:
+        """An instant as text, or as milliseconds since the epoch."""
+        number = self.number(*names)
+        return F.coalesce(
+            self.instant(*names), F.when(number >= 0, F.timestamp_millis(number.cast("bigint")))
+        )
+
+    def instant_invalid(self, *names: str, epoch_ms: bool = False) -> Column:
+        """A field is present, not null and not empty, but is no instant."""
+        text = self.string(*names)
+        ok = (self._first("k", names) == "null") | (text == "") | parse_instant(text).isNotNull()
+        if epoch_ms:
+            ok = ok | (self.number(*names) >= 0)
+        return self.present(*names) & ~F.coalesce(ok, F.lit(False))

@@ -32,6 +32,13 @@ def _parsed(records: DataFrame, domain: str) -> DataFrame:
     return records.where(F.col("domain") == domain).withColumn("v", F.try_parse_json("json"))
 
 
+def _value_text(rows: DataFrame) -> DataFrame:
+    """The record itself as cleaned text, if it is a JSON string."""
+    raw = F.when(lg.kind(F.col("v")) == "string", F.try_variant_get("v", "$", "string"))
+    rows = rows.withColumn("value_text", raw)
+    return rows.withColumn("value_text", clean_text(F.col("value_text")))
+
+
 def _quarantine(condition: Column, reason: Column | str, code: Column | str, severity: str) -> dict:
     def as_col(x):
         return F.lit(x) if isinstance(x, str) else x
@@ -48,58 +55,62 @@ def _first_known(value: str, order: str = "source_ref") -> Column:
     return F.min_by(value, F.when(F.col(value).isNotNull(), F.col(order)))
 
 
-def _relation(rows: DataFrame, own_id: bool = True) -> DataFrame:
-    """Language, raw word id and dimension from the record's fields, else from its key."""
-    v, from_key = F.col("v"), lg.relation_key(F.col("rel_key"))
-    names = ("wordId", "wordID", "word_id", "id") if own_id else ("wordId", "wordID", "word_id")
-    rows = rows.withColumn("__k", from_key)
-    rows = rows.withColumn("language", F.coalesce(lg.language_of(v), F.col("__k.language")))
+RELATION_FIELDS = ["lang", "language", "wordId", "wordID", "word_id", "id", "dimension"]
+
+
+def _relation(rows: DataFrame, f: lg.Fields) -> DataFrame:
+    """Language, raw word id and dimension from the record's fields, else from ``rel_key``."""
+    rows = rows.withColumn("__k", lg.relation_key(F.col("rel_key")))
+    rows = rows.withColumn("language", F.coalesce(f.language(), F.col("__k.language")))
     return (
-        rows.withColumn("raw_word_id", F.coalesce(lg.read_text(v, *names), F.col("__k.raw_word_id")))
+        rows.withColumn(
+            "raw_word_id", F.coalesce(f.text("wordId", "wordID", "word_id", "id"), F.col("__k.raw_word_id"))
+        )
         .withColumn(
             "dimension",
-            F.coalesce(
-                lg.review_dimension(F.col("language"), lg.read_text(v, "dimension")),
-                F.col("__k.dimension"),
-            ),
+            F.coalesce(lg.review_dimension(F.col("language"), f.text("dimension")), F.col("__k.dimension")),
         )
         .drop("__k")
     )
 
 
-def _is_object(v: Column) -> Column:
-    return F.coalesce(lg.kind(v) == "object", F.lit(False))
+def _own_key(path: str) -> Column:
+    return F.when(F.col("path") == path, clean_text(F.col("key")))
 
 
 # --- words, overrides, folders, favorites ---------------------------------------------------
 
 
+WORD_FIELDS = ["lang", "language", "_id", "id", "word", "headword", "term", "kana", "reading", "meaning", "gloss"]
+
+
 def identity_inputs(records: DataFrame) -> DataFrame:
     """Word and override records as input rows of the identity map."""
     rows = records.where(F.col("domain").isin("words", "overrides")).withColumn(
         "v", F.try_parse_json("json")
     )
-    v, is_word = F.col("v"), F.col("domain") == "words"
-    return rows.select(
+    f = lg.Fields(rows, ["isBuiltIn"], WORD_FIELDS)
+    is_word = F.col("domain") == "words"
+    return f.df.select(
         "migration_id", "source_ref",
         F.when(is_word, "word").otherwise("override-reference").alias("source_kind"),
-        lg.language_of(v).alias("language"),
-        F.when(is_word, lg.read_text(v, "_id", "id")).otherwise(clean_text(F.col("key"))).alias("word_id"),
-        lg.read_text(v, "word", "headword", "term").alias("headword"),
-        lg.read_text(v, "kana", "reading").alias("reading"),
-        F.when(is_word, F.coalesce(lg.read_bool(v, "isBuiltIn"), F.col("path") == "data.db")).alias("is_built_in"),
+        f.language().alias("language"),
+        F.when(is_word, f.text("_id", "id")).otherwise(F.col("key")).alias("word_id"),
+        f.text("word", "headword", "term").alias("headword"),
+        f.text("kana", "reading").alias("reading"),
+        F.when(is_word, F.coalesce(f.boolean("isBuiltIn"), F.col("path") == "data.db")).alias("is_built_in"),
         F.col("record_digest").alias("raw_digest"),
     )
 
 
 def words(records: DataFrame, entries: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Word payload; corpus values win over legacy values."""
-    v = F.col("v")
-    legacy = _parsed(records, "words").select(
+    f = lg.Fields(_parsed(records, "words"), [], WORD_FIELDS)
+    legacy = f.df.select(
         "migration_id", "source_ref", "domain", "record_digest",
-        lg.read_text(v, "word", "headword", "term").alias("legacy_headword"),
-        lg.read_text(v, "kana", "reading").alias("legacy_reading"),
-        lg.read_text(v, "meaning", "gloss").alias("legacy_meaning"),
+        f.text("word", "headword", "term").alias("legacy_headword"),
+        f.text("kana", "reading").alias("legacy_reading"),
+        f.text("meaning", "gloss").alias("legacy_meaning"),
     )
     entry = entries.select(
         "migration_id", "source_ref", "language", "outcome", "quarantine_code", "target_word_id", "target_kind"
@@ -169,12 +180,12 @@ def overrides(
 
 def folders(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Folder names joined to their languages; the first name of a normal form owns it."""
-    rows = _parsed(records, "folders")
-    names = rows.where("path = 'data.folders'").withColumn("name", lg.text_of(F.col("v")))
+    rows = _value_text(_parsed(records, "folders"))
+    names = rows.where("path = 'data.folders'").withColumnRenamed("value_text", "name")
     langs = rows.where("path = 'data.folderLangs'").select(
         "migration_id", "source_ref", "domain", "record_digest",
         clean_text(F.col("key")).alias("name"),
-        F.when(lg.text_of(F.col("v")).isin("ja", "en"), lg.text_of(F.col("v"))).alias("language"),
+        F.when(F.col("value_text").isin("ja", "en"), F.col("value_text")).alias("language"),
     )
     per_name = langs.where("name is not null").groupBy("migration_id", "name").agg(
         F.max_by("language", "source_ref").alias("language")
@@ -245,9 +256,9 @@ def folders(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def favorites(records: DataFrame, index: WordIndex) -> tuple[DataFrame, DataFrame]:
-    rows = _parsed(records, "favorites").select(
+    rows = _value_text(_parsed(records, "favorites")).select(
         "migration_id", "source_ref", "domain", "record_digest",
-        F.regexp_replace(lg.text_of(F.col("v")), "^(ja|en):", "").alias("raw_word_id"),
+        F.regexp_replace("value_text", "^(ja|en):", "").alias("raw_word_id"),
     )
     found = resolve_relations(rows, index, any_language=True, target="target_ref")
     bad = F.col("target_ref").isNull()
@@ -264,15 +275,19 @@ GROUP_FLAGS = Flags("COUNT_DEFAULTED", "COUNT_FLOORED")
 
 
 def group_progress(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    v = F.col("v")
-    number = F.coalesce(lg.number_of(v), lg.read_number(v, "completionCount", "count", "value"))
-    own_key = F.when(F.col("path") == "data.mtGroupClears", clean_text(F.col("key")))
-    rows = _parsed(records, "groupProgress").select(
+    f = lg.Fields(
+        _parsed(records, "groupProgress"), ["completionCount", "count", "value"], ["groupKey", "key", "group"]
+    )
+    plain = lg.number_of(F.col("v"))
+    number = F.coalesce(plain, f.number("completionCount", "count", "value"))
+    rows = f.df.withColumns({"number": number, "own_key": _own_key("data.mtGroupClears")})
+    n = F.col("number")
+    rows = rows.select(
         "migration_id", "source_ref", "domain", "record_digest",
-        F.coalesce(own_key, lg.read_text(v, "groupKey", "key", "group")).alias("group_key"),
-        lg.count_value(number).alias("completion_count"),
+        F.coalesce("own_key", f.text("groupKey", "key", "group")).alias("group_key"),
+        lg.count_value(n).alias("completion_count"),
         GROUP_FLAGS.mask(
-            COUNT_DEFAULTED=lg.count_defaulted(number), COUNT_FLOORED=lg.count_floored(number)
+            COUNT_DEFAULTED=lg.count_defaulted(n), COUNT_FLOORED=lg.count_floored(n)
         ).alias("flags"),
     )
     bad = F.col("group_key").isNull()
@@ -297,27 +312,27 @@ DIMENSIONS = ["spelling", "reading", "listening", "meaning"]
 MASTERY_FIELDS = [*DIMENSIONS, "needsReview"]
 
 
-def mastery_values(v: Column, language: Column) -> dict[str, Column]:
+def mastery_values(f: lg.Fields, language: Column) -> dict[str, Column]:
     """Nullable boolean per mastery field; null means the record does not say."""
     ja, en = language == "ja", language == "en"
     return {
-        "spelling": F.coalesce(lg.read_bool(v, "kanji"), F.when(en, lg.read_bool(v, "word"))),
-        "reading": F.when(ja, lg.read_bool(v, "kana")),
-        "listening": F.when(en, lg.read_bool(v, "kana")),
-        "meaning": lg.read_bool(v, "meaning"),
-        "needsReview": lg.read_bool(v, "needsReview"),
+        "spelling": F.coalesce(f.boolean("kanji"), F.when(en, f.boolean("word"))),
+        "reading": F.when(ja, f.boolean("kana")),
+        "listening": F.when(en, f.boolean("kana")),
+        "meaning": f.boolean("meaning"),
+        "needsReview": f.boolean("needsReview"),
     }
 
 
 def mastery(records: DataFrame, index: WordIndex) -> tuple[DataFrame, DataFrame]:
-    rows = _relation(_parsed(records, "mastery").withColumn(
-        "rel_key", F.when(F.col("path") == "data.mtWordClears", clean_text(F.col("key")))
-    ))
-    values = mastery_values(F.col("v"), F.col("language"))
-    rows = rows.select(
+    rows = _parsed(records, "mastery").withColumn("rel_key", _own_key("data.mtWordClears"))
+    f = lg.Fields(rows, ["kanji", "word", "kana", "meaning", "needsReview"], RELATION_FIELDS)
+    rows = _relation(f.df, f)
+    values = mastery_values(f, F.col("language"))
+    rows = durable(rows.select(
         "migration_id", "source_ref", "domain", "record_digest", "language", "raw_word_id",
-        _is_object(F.col("v")).alias("is_object"), *[c.alias(n) for n, c in values.items()],
-    )
+        f.is_object().alias("is_object"), *[c.alias(n) for n, c in values.items()],
+    ))
     found = resolve_relations(rows, index)
     bad = F.col("target_word_id").isNull() | ~F.col("is_object")
     rows = durable(found.withColumns({
@@ -338,15 +353,15 @@ STUDY_FLAGS = Flags("DATE_MISSING", "DATE_INVALID", "UNKNOWN_TYPE")
 
 
 def study_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    v = F.col("v")
-    raw_type = F.lower(lg.read_text(v, "type"))
-    rows = _parsed(records, "studyRecords").select(
-        "migration_id", "source_ref", "domain", "record_digest", _is_object(v).alias("is_object"),
+    f = lg.Fields(_parsed(records, "studyRecords"), [], ["type", "date", "group", "groupLabel"])
+    raw_type = F.lower(f.text("type"))
+    rows = f.df.select(
+        "migration_id", "source_ref", "domain", "record_digest", f.is_object().alias("is_object"),
         F.when(raw_type == "daily_punch", "DAILY_PUNCH")
         .when(raw_type == "pendulum", "GROUP_COMPLETED").otherwise("UNKNOWN").alias("event_type"),
-        lg.date_only(lg.read_text(v, "date")).alias("d"),
-        lg.read_text(v, "date").alias("raw_date"),
-        lg.read_text(v, "group", "groupLabel").alias("group_label"),
+        lg.date_only(f.text("date")).alias("d"),
+        f.text("date").alias("raw_date"),
+        f.text("group", "groupLabel").alias("group_label"),
     ).withColumn("date_only", F.col("d.value"))
     fingerprint = json_digest(
         schemaVersion=F.lit(1), migrationId=F.col("migration_id"), eventType=F.col("event_type"),
@@ -398,40 +413,61 @@ WRONG_COUNT_COLUMNS = [
 ]
 
 
-def _items(v: Column, name: str) -> Column:
-    raw = lg.field(v, name)
-    return F.when(lg.kind(raw) == "array", F.try_variant_get(raw, "$", "array<variant>"))
+def _items(f: lg.Fields, name: str) -> Column:
+    return F.when(f.kind(name) == "array", F.try_variant_get(f.raw(name), "$", "array<variant>"))
 
 
 def _item_texts(items: Column, *names: str) -> Column:
     """First non-blank string field of each item, cleaned."""
-    def raw(item: Column, name: str) -> Column:
-        value = lg.field(item, name)
-        text = F.when(lg.kind(value) == "string", F.try_variant_get(value, "$", "string"))
-        return F.when(trim_all(text) != "", text)
-
-    return clean_items(F.transform(items, lambda a: F.coalesce(*[raw(a, n) for n in names])))
+    raw = F.transform(items, lambda a: F.array(*[lg.field(a, n) for n in names]))
+    texts = F.transform(raw, lambda values: F.filter(
+        F.transform(values, lambda x: F.when(lg.kind(x) == "string", F.try_variant_get(x, "$", "string"))),
+        lambda t: trim_all(t) != "",
+    ))
+    return clean_items(F.transform(texts, lambda t: F.get(t, F.lit(0))))
 
 
 def _wrong_answers(items: Column, dimensions: Column) -> Column:
-    """Parsed recent answers: struct(ok, occurred_at, is_correct, dimension, json, ord)."""
-
-    def parse(a: Column, i: Column) -> Column:
-        dimension = F.get(dimensions, i)
-        ok = (
-            _is_object(a)
-            & ~F.coalesce(lg.instant_invalid(a, "at", "occurredAt", "date"), F.lit(False))
-            & lg.present(a, "correct", "isCorrect")
-            & F.coalesce(F.length(dimension) <= 100, F.lit(True))
+    """Parsed recent answers: struct(ok, occurred_at, is_correct, dimension, json, ord).
+
+    Read in steps, so that each field of an item is looked up once.
+    """
+    def fields(a: Column) -> Column:
+        return F.struct(
+            a.alias("a"),
+            F.coalesce(lg.field(a, "at"), lg.field(a, "occurredAt"), lg.field(a, "date")).alias("at"),
+            lg.field(a, "correct").alias("c1"), lg.field(a, "isCorrect").alias("c2"),
         )
+
+    def typed(x: Column) -> Column:
         return F.struct(
-            F.coalesce(ok, F.lit(False)).alias("ok"),
-            lg.read_instant(a, "at", "occurredAt", "date").alias("occurred_at"),
-            F.coalesce(lg.read_bool(a, "correct"), lg.read_bool(a, "isCorrect")).alias("is_correct"),
-            dimension.alias("dimension"), F.to_json(a).alias("json"), i.alias("ord"),
+            (lg.kind(x["a"]) == "object").alias("is_object"), F.to_json(x["a"]).alias("json"),
+            lg.kind(x["at"]).alias("at_kind"), F.try_variant_get(x["at"], "$", "string").alias("at_text"),
+            (x["c1"].isNotNull() | x["c2"].isNotNull()).alias("has_verdict"),
+            F.coalesce(
+                F.when(lg.kind(x["c1"]) == "boolean", F.try_variant_get(x["c1"], "$", "boolean")),
+                F.when(lg.kind(x["c2"]) == "boolean", F.try_variant_get(x["c2"], "$", "boolean")),
+            ).alias("is_correct"),
         )
 
-    return F.transform(items, parse)
+    def dated(x: Column) -> Column:
+        text = F.when(x["at_kind"] == "string", x["at_text"])
+        return F.struct(x.alias("x"), lg.parse_instant(text).alias("at"))
+
+    def parse(y: Column, i: Column) -> Column:
+        x, dimension = y["x"], F.get(dimensions, i)
+        date_ok = (
+            x["at_kind"].isNull() | (x["at_kind"] == "null") | (x["at_text"] == "") | y["at"].isNotNull()
+        )
+        ok = x["is_object"] & date_ok & x["has_verdict"] & F.coalesce(F.length(dimension) <= 100, F.lit(True))
+        return F.struct(
+            F.coalesce(ok, F.lit(False)).alias("ok"), y["at"].alias("occurred_at"),
+            x["is_correct"].alias("is_correct"), dimension.alias("dimension"), x["json"].alias("json"),
+            i.alias("ord"),
+        )
+
+    steps = F.transform(F.transform(F.transform(items, fields), typed), dated)
+    return F.transform(steps, parse)
 
 
 def newest_answers(answers: Column, limit: int = MAX_RECENT_ANSWERS) -> Column:
@@ -447,31 +483,35 @@ def newest_answers(answers: Column, limit: int = MAX_RECENT_ANSWERS) -> Column:
     return F.transform(F.slice(ranked, 1, limit), lambda x: x["a"])
 
 
+def _names(specs: dict[str, tuple[str, ...]]) -> list[str]:
+    return [n for names in specs.values() for n in names]
+
+
 def wrong_book(records: DataFrame, index: WordIndex) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Payload, its newest answers as a child table, and the dispositions."""
-    rows = _relation(_parsed(records, "wrongBook").withColumn(
-        "rel_key", F.when(F.col("path") == "data.wrongBook", clean_text(F.col("key")))
-    ))
-    v = F.col("v")
-    dims, srcs = lg.field(v, "dimensions"), lg.field(v, "sourceCounts")
-    numbers = {n: lg.read_number(v, *names) for n, names in WRONG_COUNTS.items()}
-    numbers |= {f"dim_{n}": lg.read_number(dims, *names) for n, names in WRONG_DIMENSIONS.items()}
-    numbers |= {f"source_{n}": lg.read_number(srcs, *names) for n, names in WRONG_SOURCES.items()}
-    status = F.lower(lg.read_text(v, "status", "state"))
-    rows = rows.select(
+    rows = _parsed(records, "wrongBook").withColumn("rel_key", _own_key("data.wrongBook"))
+    wrong_at, correct_at = ("lastWrongAt", "last_wrong_at", "wrongAt"), ("lastCorrectAt", "last_correct_at", "correctAt")
+    f = lg.Fields(
+        rows, [*_names(WRONG_COUNTS), *wrong_at, *correct_at, "dimensions", "sourceCounts", "recentAnswers"],
+        [*RELATION_FIELDS, "status", "state", "word", "headword", "term", "folder", "folderName"],
+    )
+    dims = lg.Fields(_relation(f.df, f), _names(WRONG_DIMENSIONS), value=f.column("dimensions"), tag="d")
+    srcs = lg.Fields(dims.df, _names(WRONG_SOURCES), value=f.column("sourceCounts"), tag="s")
+    numbers = {n: f.number(*names) for n, names in WRONG_COUNTS.items()}
+    numbers |= {f"dim_{n}": dims.number(*names) for n, names in WRONG_DIMENSIONS.items()}
+    numbers |= {f"source_{n}": srcs.number(*names) for n, names in WRONG_SOURCES.items()}
+    status = F.lower(f.text("status", "state"))
+    rows = srcs.df.select(
         "migration_id", "source_ref", "domain", "record_digest", "language", "raw_word_id",
-        _is_object(v).alias("is_object"), *[c.alias(f"__{n}") for n, c in numbers.items()],
+        f.is_object().alias("is_object"), *[c.alias(f"__{n}") for n, c in numbers.items()],
         F.when(status.isin(WRONG_STATUSES), status).alias("known_status"),
-        bounded(lg.read_text(v, "word", "headword", "term"), 200).alias("headword_snapshot"),
-        bounded(lg.read_text(v, "folder", "folderName"), 200).alias("folder_snapshot"),
-        lg.read_instant(v, "lastWrongAt", "last_wrong_at", "wrongAt").alias("last_wrong_at"),
-        lg.read_instant(v, "lastCorrectAt", "last_correct_at", "correctAt").alias("last_correct_at"),
-        (lg.instant_invalid(v, "lastWrongAt", "last_wrong_at", "wrongAt")
-         | lg.instant_invalid(v, "lastCorrectAt", "last_correct_at", "correctAt")).alias("__bad_date"),
-        _items(v, "recentAnswers").alias("__items"),
-        _item_texts(_items(v, "recentAnswers"), "dimension", "type").alias("__dims"),
-        (lg.present(v, "recentAnswers") & (lg.kind(lg.field(v, "recentAnswers")) != "array")).alias("__bad_list"),
-    )
+        bounded(f.text("word", "headword", "term"), 200).alias("headword_snapshot"),
+        bounded(f.text("folder", "folderName"), 200).alias("folder_snapshot"),
+        f.instant(*wrong_at).alias("last_wrong_at"), f.instant(*correct_at).alias("last_correct_at"),
+        (f.instant_invalid(*wrong_at) | f.instant_invalid(*correct_at)).alias("__bad_date"),
+        _items(f, "recentAnswers").alias("__items"),
+        (f.present("recentAnswers") & (f.kind("recentAnswers") != "array")).alias("__bad_list"),
+    ).withColumn("__dims", _item_texts(F.col("__items"), "dimension", "type"))
     rows = durable(rows)
     rows = rows.withColumn("__answers", _wrong_answers(F.col("__items"), F.col("__dims")))
     found = resolve_relations(rows.drop("__items", "__dims"), index)
@@ -539,33 +579,33 @@ CARD_FLAGS = Flags(*[f"{n.upper()}_DEFAULTED" for n in CARD_NUMBERS], "LAST_REVI
 
 
 def review_cards(records: DataFrame, index: WordIndex) -> tuple[DataFrame, DataFrame]:
-    rows = _relation(_parsed(records, "fsrsCards").withColumn(
-        "rel_key", F.when(F.col("path") == "data.fsrsCards", clean_text(F.col("key")))
-    ))
-    v = F.col("v")
+    rows = _parsed(records, "fsrsCards").withColumn("rel_key", _own_key("data.fsrsCards"))
+    last = ("last_review", "lastReviewedAt")
+    f = lg.Fields(
+        rows, [*_names(CARD_NUMBERS), *last, "due", "stability", "difficulty"],
+        [*RELATION_FIELDS, "key", "cardKey", "rawKey"],
+    )
     corrupt = (
-        lg.read_instant(v, "due").isNull()
-        | ~F.coalesce(lg.read_number(v, "stability") >= 0, F.lit(False))
-        | lg.read_number(v, "difficulty").isNull()
-        | lg.instant_invalid(v, "last_review", "lastReviewedAt")
+        f.instant("due").isNull()
+        | ~F.coalesce(f.number("stability") >= 0, F.lit(False))
+        | f.number("difficulty").isNull()
+        | f.instant_invalid(*last)
     )
     for names in CARD_NUMBERS.values():
-        n = lg.read_number(v, *names)
+        n = f.number(*names)
         whole = F.coalesce((n >= 0) & (n == F.floor(n)), F.lit(False))
-        corrupt = corrupt | (lg.present(v, *names) & ~whole)
-    rows = rows.select(
+        corrupt = corrupt | (f.present(*names) & ~whole)
+    rows = _relation(f.df, f).select(
         "migration_id", "source_ref", "domain", "record_digest", "language", "raw_word_id", "dimension",
-        F.coalesce("rel_key", lg.read_text(v, "key", "cardKey", "rawKey")).alias("raw_key"),
-        _is_object(v).alias("is_object"), corrupt.alias("corrupt"),
-        lg.read_instant(v, "due").alias("due"),
-        lg.read_number(v, "stability").alias("stability"),
-        lg.read_number(v, "difficulty").alias("difficulty"),
-        *[F.coalesce(lg.read_number(v, *names), F.lit(0.0)).cast("bigint").alias(n)
-          for n, names in CARD_NUMBERS.items()],
-        lg.read_instant(v, "last_review", "lastReviewedAt").alias("last_reviewed_at"),
+        F.coalesce("rel_key", f.text("key", "cardKey", "rawKey")).alias("raw_key"),
+        f.is_object().alias("is_object"), corrupt.alias("corrupt"),
+        f.instant("due").alias("due"),
+        f.number("stability").alias("stability"), f.number("difficulty").alias("difficulty"),
+        *[F.coalesce(f.number(*names), F.lit(0.0)).cast("bigint").alias(n) for n, names in CARD_NUMBERS.items()],
+        f.instant(*last).alias("last_reviewed_at"),
         CARD_FLAGS.mask(
-            **{f"{n.upper()}_DEFAULTED": ~lg.present(v, *names) for n, names in CARD_NUMBERS.items()},
-            LAST_REVIEW_MISSING=~lg.present(v, "last_review", "lastReviewedAt"),
+            **{f"{n.upper()}_DEFAULTED": ~f.present(*names) for n, names in CARD_NUMBERS.items()},
+            LAST_REVIEW_MISSING=~f.present(*last),
         ).alias("flags"),
     )
     found = resolve_relations(durable(rows), index)
@@ -599,19 +639,21 @@ def review_logs(
     records: DataFrame, index: WordIndex, cards: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Review logs joined to their cards; equal logs are one log."""
-    rows = _parsed(records, "fsrsLogs")
-    rows = _relation(rows.withColumn("rel_key", lg.read_text(F.col("v"), "key", "cardKey", "rawKey")))
-    v = F.col("v")
-    rating = lg.read_number(v, "rating")
+    f = lg.Fields(
+        _parsed(records, "fsrsLogs"), ["rating", "review", "reviewedAt", "due", "dueAfter"],
+        [*RELATION_FIELDS, "key", "cardKey", "rawKey", "source"],
+    )
+    rows = _relation(f.df.withColumn("rel_key", f.text("key", "cardKey", "rawKey")), f)
+    rating = f.number("rating")
     rows = rows.select(
         "migration_id", "source_ref", "domain", "record_digest", "language", "raw_word_id", "dimension",
-        _is_object(v).alias("is_object"),
+        f.is_object().alias("is_object"),
         F.coalesce("rel_key", F.concat_ws(":", "language", "raw_word_id", "dimension")).alias("raw_key"),
-        F.coalesce(lg.read_text(v, "source"), F.lit("unknown")).alias("source"),
+        F.coalesce(f.text("source"), F.lit("unknown")).alias("source"),
         F.when(rating.between(1, 4) & (rating == F.floor(rating)), rating.cast("int")).alias("rating"),
-        lg.read_instant(v, "review", "reviewedAt").alias("reviewed_at"),
-        lg.read_instant(v, "due", "dueAfter").alias("due_after"),
-        lg.instant_invalid(v, "due", "dueAfter").alias("bad_due"),
+        f.instant("review", "reviewedAt").alias("reviewed_at"),
+        f.instant("due", "dueAfter").alias("due_after"),
+        f.instant_invalid("due", "dueAfter").alias("bad_due"),
     )
     found = resolve_relations(durable(rows), index)
     card = cards.select(
@@ -654,45 +696,52 @@ CONVERSATION_FLAGS = Flags(
 
 
 def _messages(items: Column, roles: Column) -> Column:
-    def parse(m: Column, i: Column) -> Column:
+    def body(m: Column) -> Column:
+        parts = F.filter(
+            F.array(*[lg.field(m, n) for n in ("content", "text", "message")]),
+            lambda x: x.isNotNull() & (lg.kind(x) != "null"),
+        )
+        return F.when(lg.kind(m) == "object", F.get(parts, F.lit(0))).otherwise(m)
+
+    def text(x: Column) -> Column:
+        return lg.as_text(x, lg.kind(x))
+
+    def parse(body_text: Column, i: Column) -> Column:
         role = F.lower(F.get(roles, i))
-        body = F.when(_is_object(m), F.coalesce(*[
-            F.when(lg.kind(lg.field(m, n)) != "null", lg.field(m, n)) for n in ("content", "text", "message")
-        ])).otherwise(m)
-        text = lg.as_text(body)
         return F.struct(
             F.when(role.isin("user", "assistant", "system"), role).otherwise("unknown").alias("role"),
-            F.coalesce(bounded(text, MAX_MESSAGE_TEXT), F.lit("")).alias("content"),
-            (text.isNull() | (F.length(text) > MAX_MESSAGE_TEXT)).alias("defaulted"),
+            F.coalesce(bounded(body_text, MAX_MESSAGE_TEXT), F.lit("")).alias("content"),
+            (body_text.isNull() | (F.length(body_text) > MAX_MESSAGE_TEXT)).alias("defaulted"),
         )
 
-    return F.transform(items, parse)
+    return F.transform(F.transform(F.transform(items, body), text), parse)
 
 
 def conversations(records: DataFrame, index: WordIndex) -> tuple[DataFrame, DataFrame]:
     """Conversations merged by cache key, else legacy id, else generated id."""
-    v = F.col("v")
-    raw_messages = lg.field(v, "messages")
-    explicit = lg.present(v, "updatedAt")
-    rows = _parsed(records, "aiConversations").select(
-        "migration_id", "source_ref", "domain", "record_digest", "json", _is_object(v).alias("is_object"),
-        bounded(lg.read_identifier(v, "legacyId", "id"), 128).alias("legacy_id"),
-        bounded(lg.read_text(v, "cacheKey"), 500).alias("cache_key"),
-        bounded(lg.read_text(v, "date", "dateText"), 200).alias("date_text"),
-        F.when(explicit, lg.read_instant(v, "updatedAt")).otherwise(lg.read_instant(v, "date")).alias("updated_at"),
-        F.when(explicit, lg.instant_invalid(v, "updatedAt")).otherwise(lg.instant_invalid(v, "date")).alias("bad_date"),
-        lg.language_of(v).alias("own_language"),
-        F.coalesce(lg.language_of(v), F.lit("ja")).alias("language"),
-        bounded(lg.read_text(v, "sentence"), 4000).alias("sentence"),
-        bounded(lg.read_text(v, "word", "headword", "term"), 200).alias("word_snapshot"),
-        F.coalesce(lg.read_text(v, "wordId", "wordID", "word_id"),
-                   bounded(lg.read_text(v, "word", "headword", "term"), 200)).alias("raw_word_id"),
-        F.coalesce(bounded(lg.as_text(lg.field(v, "systemPrompt")), 20000), F.lit("")).alias("system_prompt"),
-        bounded(lg.read_text(v, "presetId"), 200).alias("preset_id"),
-        _items(v, "messages").alias("__items"),
-        _item_texts(_items(v, "messages"), "role").alias("__roles"),
-        (lg.present(v, "messages") & (lg.kind(raw_messages) != "array")).alias("bad_messages"),
+    f = lg.Fields(
+        _parsed(records, "aiConversations"), ["updatedAt", "date", "messages", "systemPrompt"],
+        [*RELATION_FIELDS, "legacyId", "cacheKey", "date", "dateText", "sentence", "word", "headword", "term", "presetId"],
     )
+    explicit = f.present("updatedAt")
+    snapshot = bounded(f.text("word", "headword", "term"), 200)
+    rows = f.df.select(
+        "migration_id", "source_ref", "domain", "record_digest", "json", f.is_object().alias("is_object"),
+        bounded(f.identifier("legacyId", "id"), 128).alias("legacy_id"),
+        bounded(f.text("cacheKey"), 500).alias("cache_key"),
+        bounded(f.text("date", "dateText"), 200).alias("date_text"),
+        F.when(explicit, f.instant("updatedAt")).otherwise(f.instant("date")).alias("updated_at"),
+        F.when(explicit, f.instant_invalid("updatedAt")).otherwise(f.instant_invalid("date")).alias("bad_date"),
+        f.language().alias("own_language"),
+        F.coalesce(f.language(), F.lit("ja")).alias("language"),
+        bounded(f.text("sentence"), 4000).alias("sentence"),
+        snapshot.alias("word_snapshot"),
+        F.coalesce(f.text("wordId", "wordID", "word_id"), snapshot).alias("raw_word_id"),
+        F.coalesce(bounded(f.any_text("systemPrompt"), 20000), F.lit("")).alias("system_prompt"),
+        bounded(f.text("presetId"), 200).alias("preset_id"),
+        _items(f, "messages").alias("__items"),
+        (f.present("messages") & (f.kind("messages") != "array")).alias("bad_messages"),
+    ).withColumn("__roles", _item_texts(F.col("__items"), "role"))
     rows = durable(rows)
     rows = rows.withColumn("all_messages", _messages(F.col("__items"), F.col("__roles")))
     rows = rows.drop("__items", "__roles")
@@ -753,47 +802,53 @@ QUIZ_FLAGS = Flags(
 
 def quizzes(records: DataFrame, index: WordIndex) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Quiz payload, its answers as a child table, and the dispositions."""
-    v = F.col("v")
-    raw_answers = lg.field(v, "answers")
-    total, correct = lg.read_number(v, "total", "totalQuestions"), lg.read_number(v, "correct", "correctCount")
-    duration = lg.read_number(v, "durationMs", "duration")
-    rows = _parsed(records, "aiQuizHistory").select(
-        "migration_id", "source_ref", "domain", "record_digest", "json", _is_object(v).alias("is_object"),
-        bounded(lg.read_identifier(v, "quizId", "id"), 128).alias("legacy_id"),
-        F.coalesce(bounded(lg.read_any_text(v, "title"), 200), F.lit(DEFAULT_QUIZ_TITLE)).alias("title"),
-        lg.read_instant(v, "createdAt", "date", "time").alias("created_at"),
-        lg.instant_invalid(v, "createdAt", "date", "time").alias("bad_date"),
+    f = lg.Fields(
+        _parsed(records, "aiQuizHistory"),
+        ["title", "createdAt", "date", "time", "durationMs", "duration", "total", "totalQuestions", "correct",
+         "correctCount", "answers"], ["quizId", "id"],
+    )
+    duration, created = f.number("durationMs", "duration"), ("createdAt", "date", "time")
+    rows = f.df.select(
+        "migration_id", "source_ref", "domain", "record_digest", "json", f.is_object().alias("is_object"),
+        bounded(f.identifier("quizId", "id"), 128).alias("legacy_id"),
+        F.coalesce(bounded(f.any_text("title"), 200), F.lit(DEFAULT_QUIZ_TITLE)).alias("title"),
+        f.instant(*created).alias("created_at"), f.instant_invalid(*created).alias("bad_date"),
         F.when(duration >= 0, F.floor(duration)).cast("bigint").alias("duration_ms"),
-        (lg.present(v, "durationMs", "duration")
+        (f.present("durationMs", "duration")
          & (lg.count_defaulted(duration) | lg.count_floored(duration))).alias("bad_duration"),
-        total.alias("total_raw"), correct.alias("correct_raw"),
-        lg.present(v, "total", "totalQuestions").alias("has_total"),
-        lg.present(v, "correct", "correctCount").alias("has_correct"),
-        F.when(lg.kind(raw_answers) == "array", F.try_variant_get(raw_answers, "$", "array<variant>")).alias("items"),
-        (lg.present(v, "answers") & (lg.kind(raw_answers) != "array")).alias("bad_answers"),
+        f.number("total", "totalQuestions").alias("total_raw"),
+        f.number("correct", "correctCount").alias("correct_raw"),
+        f.present("total", "totalQuestions").alias("has_total"),
+        f.present("correct", "correctCount").alias("has_correct"),
+        _items(f, "answers").alias("items"),
+        (f.present("answers") & (f.kind("answers") != "array")).alias("bad_answers"),
     )
     rows = durable(rows)
-    a = F.col("a")
-    snapshot = bounded(lg.read_any_text(a, "word", "wordSnapshot", "headword", "term"), 200)
     each = rows.where("is_object").select(
-        "migration_id", "source_ref", F.posexplode(F.slice("items", 1, MAX_QUIZ_ANSWERS)).alias("ord", "a")
-    ).select(
-        "migration_id", "source_ref", "ord", lg.language_of(a).alias("language"),
-        (_is_object(a) & lg.present(a, "lang") & lg.language_of(a).isNull()).alias("bad_language"),
-        snapshot.alias("word_snapshot"),
+        "migration_id", "source_ref", F.posexplode(F.slice("items", 1, MAX_QUIZ_ANSWERS)).alias("ord", "v")
+    )
+    texts = ("word", "wordSnapshot", "headword", "term")
+    g = lg.Fields(
+        each, [*texts, "type", "dimension", "prompt", "userAnswer", "answer", "correctAnswer", "expectedAnswer",
+               "explanation", "isCorrect", "correct"],
+        ["lang", "language", "matchedWordId", "wordId", "wordID", "word_id", "questionId", "questionID", "id"],
+    )
+    each = g.df.withColumn("word_snapshot", bounded(g.any_text(*texts), 200)).select(
+        "migration_id", "source_ref", "ord", g.language().alias("language"),
+        (g.is_object() & g.present("lang") & g.language().isNull()).alias("bad_language"),
+        "word_snapshot",
         F.coalesce(
-            lg.read_identifier(a, "matchedWordId", "wordId", "wordID"), clean_text(snapshot),
-            lg.read_text(a, "word_id"),
+            g.identifier("matchedWordId", "wordId", "wordID"), clean_text(F.col("word_snapshot")), g.text("word_id"),
         ).alias("raw_word_id"),
-        bounded(lg.read_identifier(a, "questionId", "questionID", "id"), 128).alias("question_id"),
-        bounded(lg.read_any_text(a, "type"), 100).alias("type"),
-        bounded(lg.read_any_text(a, "dimension"), 100).alias("dimension"),
-        bounded(lg.read_any_text(a, "prompt"), 4000).alias("prompt"),
-        bounded(lg.read_any_text(a, "userAnswer", "answer"), 4000).alias("user_answer"),
-        bounded(lg.read_any_text(a, "correctAnswer", "expectedAnswer"), 4000).alias("correct_answer"),
-        bounded(lg.read_any_text(a, "explanation"), 4000).alias("explanation"),
-        F.coalesce(lg.read_bool(a, "isCorrect"), lg.read_bool(a, "correct")).alias("is_correct"),
-        (_is_object(a) & ~lg.present(a, "isCorrect", "correct")).alias("no_verdict"),
+        bounded(g.identifier("questionId", "questionID", "id"), 128).alias("question_id"),
+        bounded(g.any_text("type"), 100).alias("type"),
+        bounded(g.any_text("dimension"), 100).alias("dimension"),
+        bounded(g.any_text("prompt"), 4000).alias("prompt"),
+        bounded(g.any_text("userAnswer", "answer"), 4000).alias("user_answer"),
+        bounded(g.any_text("correctAnswer", "expectedAnswer"), 4000).alias("correct_answer"),
+        bounded(g.any_text("explanation"), 4000).alias("explanation"),
+        F.coalesce(g.boolean("isCorrect"), g.boolean("correct")).alias("is_correct"),
+        (g.is_object() & ~g.present("isCorrect", "correct")).alias("no_verdict"),
     )
     answers = durable(resolve_relations(each, index, target="resolved_word_id"))
     unresolved = (F.col("raw_word_id").isNotNull() | F.col("word_snapshot").isNotNull()) & F.col(
@@ -881,25 +936,24 @@ def recycle_bin(
     records: DataFrame, index: WordIndex, headers: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Recycle-bin items; ``headers`` gives migration_id and export_date for retention."""
-    v = F.col("v")
-    inner = lg.field(v, "payload")
-
-    def either(read):
-        return F.coalesce(F.when(lg.kind(inner) == "object", read(inner)), read(v))
-
-    rows = _parsed(records, "recycleBin").select(
-        "migration_id", "source_ref", "domain", "record_digest", "json", _is_object(v).alias("is_object"),
-        bounded(lg.read_identifier(v, "itemId", "id"), 128).alias("own_id"),
-        bounded(lg.read_identifier(v, "batchId", "batch_id"), 128).alias("batch_id"),
-        F.lower(lg.read_text(v, "kind")).alias("raw_kind"),
-        F.coalesce(bounded(lg.read_text(v, "label", "title"), 200), F.lit(DEFAULT_BIN_LABEL)).alias("label"),
-        lg.read_instant_or_epoch(v, "deletedAt", "deleted_at").alias("deleted_at"),
-        lg.read_instant_or_epoch(v, "expiresAt", "expires_at").alias("expires_at"),
-        lg.instant_invalid(v, "deletedAt", "deleted_at", epoch_ms=True).alias("bad_deleted"),
-        lg.instant_invalid(v, "expiresAt", "expires_at", epoch_ms=True).alias("bad_expires"),
-        either(lg.language_of).alias("language"),
-        F.coalesce(*[either(lambda x, n=n: lg.read_text(x, n)) for n in ("wordId", "wordID", "word_id", "id")])
-        .alias("raw_word_id"),
+    names = ["lang", "language", "wordId", "wordID", "word_id", "id"]
+    f = lg.Fields(
+        _parsed(records, "recycleBin"), ["payload", "deletedAt", "deleted_at", "expiresAt", "expires_at"],
+        [*names, "itemId", "batchId", "batch_id", "kind", "label", "title"],
+    )
+    p = lg.Fields(f.df, [], names, value=f.column("payload"), tag="p")
+    deleted, expires = ("deletedAt", "deleted_at"), ("expiresAt", "expires_at")
+    rows = p.df.select(
+        "migration_id", "source_ref", "domain", "record_digest", "json", f.is_object().alias("is_object"),
+        bounded(f.identifier("itemId", "id"), 128).alias("own_id"),
+        bounded(f.identifier("batchId", "batch_id"), 128).alias("batch_id"),
+        F.lower(f.text("kind")).alias("raw_kind"),
+        F.coalesce(bounded(f.text("label", "title"), 200), F.lit(DEFAULT_BIN_LABEL)).alias("label"),
+        f.instant_or_epoch(*deleted).alias("deleted_at"), f.instant_or_epoch(*expires).alias("expires_at"),
+        f.instant_invalid(*deleted, epoch_ms=True).alias("bad_deleted"),
+        f.instant_invalid(*expires, epoch_ms=True).alias("bad_expires"),
+        F.coalesce(p.language(), f.language()).alias("language"),
+        F.coalesce(*[F.coalesce(p.text(n), f.text(n)) for n in names[2:]]).alias("raw_word_id"),
     )
     found = resolve_relations(durable(rows), index, target="resolved_word_id").join(
         headers.select("migration_id", "export_date"), "migration_id", "left"
@@ -972,22 +1026,29 @@ def reminder_settings(records: DataFrame) -> DataFrame:
         *[F.max_by("json", F.when(F.col("key") == k, F.col("source_ref"))).alias(f"__{n}") for n, k in REMINDER_KEYS.items()],
         F.count(F.lit(1)).alias("sources"),
     ).withColumns({n: F.try_parse_json(f"__{n}") for n in REMINDER_KEYS})
-    v2, on, at = F.col("v2"), F.col("enabled"), F.col("time")
-
-    def of(*names: str) -> Column:
-        return lg.first_present(v2, *names)
-
-    fallback = ~_is_object(v2)
-    due, rescue = lg.reminder_bool(of("dueEnabled")), lg.reminder_bool(of("rescueEnabled"))
-    own_time, rescue_time = lg.reminder_time(of("reminderTime", "time")), lg.reminder_time(of("rescueTime"))
-    days = lg.reminder_weekdays(of("weekdays"))
-    mode = lg.read_text(v2, "mode")
-    quiet = lg.reminder_bool(of("quietEnabled"))
-    start, end = lg.reminder_time(of("quietStart")), lg.reminder_time(of("quietEnd"))
-    exact = lg.reminder_bool(of("exact", "exactRequested"))
+    f = lg.Fields(
+        folded,
+        ["enabled", "dueEnabled", "rescueEnabled", "mode", "reminderTime", "time", "rescueTime", "weekdays",
+         "quietEnabled", "quietStart", "quietEnd", "exact", "exactRequested"], value="v2",
+    )
+    on_kind, at_kind = lg.kind(F.col("enabled")), lg.kind(F.col("time"))
+    rows = f.df.withColumns({
+        "on_text": F.lower(F.trim(F.when(on_kind == "string", F.try_variant_get("enabled", "$", "string")))),
+        "on_bool": F.when(on_kind == "boolean", F.try_variant_get("enabled", "$", "boolean")),
+        "at_text": F.when(at_kind == "string", F.try_variant_get("time", "$", "string")),
+        "days": lg.reminder_weekdays(f.raw("weekdays"), f.kind("weekdays")),
+    })
+    on = F.coalesce("on_bool", F.when(F.col("on_text").isin("true", "false"), F.col("on_text") == "true"))
+    fallback = ~f.is_object()
+    due, rescue = f.loose_bool("dueEnabled"), f.loose_bool("rescueEnabled")
+    own_time = lg.reminder_time(f.string("reminderTime", "time"))
+    rescue_time = lg.reminder_time(f.string("rescueTime"))
+    days, mode = F.col("days"), f.string("mode")
+    quiet, exact = f.loose_bool("quietEnabled"), f.loose_bool("exact", "exactRequested")
+    start, end = lg.reminder_time(f.string("quietStart")), lg.reminder_time(f.string("quietEnd"))
     unknown_mode = ~F.coalesce(mode.isin("fixed", "smart"), F.lit(False))
     value_default = (
-        (of("enabled").isNull() & on.isNull()) | unknown_mode | due.isNull() | rescue.isNull()
+        (~f.present("enabled") & F.col("enabled").isNull()) | unknown_mode | due.isNull() | rescue.isNull()
         | quiet.isNull() | start.isNull() | end.isNull() | exact.isNull()
     )
     tidy = F.array_sort(F.array_distinct(days))
@@ -997,13 +1058,13 @@ def reminder_settings(records: DataFrame) -> DataFrame:
     ]
     flags = F.array_compact(F.array(*[F.when(c, n) for n, c in zip(REMINDER_FLAGS, conditions)]))
     base = REMINDER_DEFAULTS
-    return folded.select(
+    return rows.select(
         "migration_id", F.lit("default").alias("profile_id"), "sources",
-        F.coalesce(lg.reminder_bool(of("enabled")), lg.reminder_bool(on), F.lit(False)).alias("enabled"),
+        F.coalesce(f.loose_bool("enabled"), on, F.lit(False)).alias("enabled"),
         F.when(mode == "fixed", "fixed").otherwise("smart").alias("mode"),
         F.coalesce(due, F.lit(True)).alias("due_enabled"),
         F.coalesce(rescue, F.lit(True)).alias("rescue_enabled"),
-        F.coalesce(own_time, lg.reminder_time(at), F.lit(base["time"])).alias("reminder_time"),
+        F.coalesce(own_time, lg.reminder_time(F.col("at_text")), F.lit(base["time"])).alias("reminder_time"),
         F.coalesce(rescue_time, F.lit(base["rescue"])).alias("rescue_time"),
         F.coalesce(tidy, F.array(*[F.lit(d) for d in (1, 2, 3, 4, 5, 6, 0)])).alias("weekdays"),
         F.coalesce(quiet, F.lit(True)).alias("quiet_enabled"),

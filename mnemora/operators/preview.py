@@ -48,10 +48,6 @@ def safe_reference(text: Column) -> Column:
     return F.when(trimmed != "", F.substring(trimmed, 1, 128))
 
 
-def _string(v: Column) -> Column:
-    return F.when(lg.kind(v) == "string", F.try_variant_get(v, "$", "string"))
-
-
 def reference_index(word_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """How many valid words have each id, and each headword, per migration."""
     valid = word_rows.where("headword is not null")
@@ -88,29 +84,31 @@ def count_matches(rows: DataFrame, ids: DataFrame, heads: DataFrame) -> DataFram
 def classify(records: DataFrame, previewed_at: Column) -> DataFrame:
     """Class and issue code of every record that the preview looks at."""
     rows = records.where(F.col("path").isin(PREVIEW_PATHS)).withColumn("v", F.try_parse_json("json"))
-    v, path = F.col("v"), F.col("path")
+    f = lg.Fields(rows, ["word", "_id", "wordId", "expiresAt"])
+    rows = f.df.withColumn(
+        "name", F.when(F.col("value_type") == "string", F.try_variant_get("v", "$", "string"))
+    )
+    path, name = F.col("path"), F.col("name")
     whole = F.col("key").isNull() & F.col("idx").isNull()
-    is_object = F.coalesce(lg.kind(v) == "object", F.lit(False))
-    head = trim_all(_string(lg.field(v, "word")))
+    head = trim_all(f.string("word"))
     parts = F.split("key", ":")
     reference = (
         F.when(path.isin("data.wordOverrides", "data.wrongBook"), F.col("key"))
-        .when(path == "data.stars", safe_reference(_string(v)))
-        .when(path == "data.fsrsReviewLogs", safe_reference(_string(lg.field(v, "wordId"))))
+        .when(path == "data.stars", safe_reference(name))
+        .when(path == "data.fsrsReviewLogs", safe_reference(f.string("wordId")))
         .when(path == "data.fsrsCards", F.coalesce(
-            safe_reference(_string(lg.field(v, "wordId"))), F.when(F.size(parts) >= 3, F.get(parts, F.lit(1)))))
+            safe_reference(f.string("wordId")), F.when(F.size(parts) >= 3, F.get(parts, F.lit(1)))))
     )
-    name = _string(v)
     bad_name = (
         name.isNull() | (trim_all(name) == "") | (F.length(name) > 80) | name.rlike(r"[<>\x00-\x1f]")
     )
     slim = rows.select(
         "migration_id", "source_ref", "path", "key", "idx", "domain", "value_type", whole.alias("whole"),
-        is_object.alias("is_object"), reference.alias("reference"),
-        F.when(path == "data.db", safe_reference(_string(lg.field(v, "_id")))).alias("word_id"),
+        f.is_object().alias("is_object"), reference.alias("reference"),
+        F.when(path == "data.db", safe_reference(f.string("_id"))).alias("word_id"),
         F.when((path == "data.db") & (head != ""), head).alias("headword"),
         F.when((path == "data.folders") & ~bad_name, name).alias("folder"),
-        lg.read_instant(v, "expiresAt").alias("expires_at"),
+        f.instant("expiresAt").alias("expires_at"),
         F.coalesce(secret_presence("json") | is_secret_key(F.col("key")), F.lit(False)).alias("holds_secret"),
     )
     # A domain that is present but null is only noted, except the two required lists.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from ..functions.hashing import fnv1a
-from ..functions.legacy import language_of
+from ..functions.legacy import Fields
 
 # Sample categories in report order, and how many rows each may sample.
 CATEGORIES = [
@@ -23,7 +23,8 @@ def categorize(records: DataFrame, entries: DataFrame) -> DataFrame:
         "migration_id", "source_ref", F.col("language").alias("e_language"), "target_kind"
     )
     joined = records.join(entry, ["migration_id", "source_ref"], "left")
-    language = F.coalesce("e_language", language_of(F.try_parse_json("json")))
+    f = Fields(joined.withColumn("v", F.try_parse_json("json")), [], ["lang", "language"])
+    language = F.coalesce("e_language", f.language())
     built_in = F.coalesce("target_kind", F.when(F.col("path") == "data.db", "canonical").otherwise("user"))
     word = F.when(language.isNull(), F.lit(None)).when(
         built_in == "canonical", F.concat(F.lit("builtin-"), language)
@@ -34,7 +35,7 @@ def categorize(records: DataFrame, entries: DataFrame) -> DataFrame:
         .when(F.col("domain") == "overrides", "overrides")
         .when(related.isin(CATEGORIES), related)
     )
-    return joined.withColumn("category", category).drop("e_language", "target_kind")
+    return f.df.select(*records.columns, category.alias("category"))
 
 
 def fixed_sample(rows: DataFrame, seed: str = "source_fingerprint") -> DataFrame:
