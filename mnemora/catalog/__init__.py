@@ -6,7 +6,7 @@ import importlib
 
 from . import base
 
-MODULES = ["learning", "corpus", "plans", "answers", "identity", "domains"]
+MODULES = ["learning", "corpus", "plans", "answers", "identity", "domains", "migration", "streams"]
 
 
 def _load() -> None:

@@ -260,7 +260,7 @@ def favorites(records: DataFrame, index: WordIndex) -> tuple[DataFrame, DataFram
         "migration_id", "source_ref", "domain", "record_digest",
         F.regexp_replace("value_text", "^(ja|en):", "").alias("raw_word_id"),
     )
-    found = resolve_relations(rows, index, any_language=True, target="target_ref")
+    found = resolve_relations(durable(rows), index, any_language=True, target="target_ref")
     bad = F.col("target_ref").isNull()
     rows = durable(found.withColumns(
         _quarantine(bad, "FAVORITE_TARGET_UNRESOLVED", "RELATION_UNRESOLVED", "warning")
@@ -850,7 +850,7 @@ def quizzes(records: DataFrame, index: WordIndex) -> tuple[DataFrame, DataFrame,
         F.coalesce(g.boolean("isCorrect"), g.boolean("correct")).alias("is_correct"),
         (g.is_object() & ~g.present("isCorrect", "correct")).alias("no_verdict"),
     )
-    answers = durable(resolve_relations(each, index, target="resolved_word_id"))
+    answers = durable(resolve_relations(durable(each), index, target="resolved_word_id"))
     unresolved = (F.col("raw_word_id").isNotNull() | F.col("word_snapshot").isNotNull()) & F.col(
         "resolved_word_id"
     ).isNull()

@@ -109,7 +109,7 @@ def classify(records: DataFrame, previewed_at: Column) -> DataFrame:
         F.when((path == "data.db") & (head != ""), head).alias("headword"),
         F.when((path == "data.folders") & ~bad_name, name).alias("folder"),
         f.instant("expiresAt").alias("expires_at"),
-        F.coalesce(secret_presence("json") | is_secret_key(F.col("key")), F.lit(False)).alias("holds_secret"),
+        F.coalesce(secret_presence(F.col("json")) | is_secret_key(F.col("key")), F.lit(False)).alias("holds_secret"),
     )
     # A domain that is present but null is only noted, except the two required lists.
     slim = durable(slim.where(

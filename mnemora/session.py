@@ -15,6 +15,8 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Larger generated methods are never compiled by the JVM and run interpreted.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
