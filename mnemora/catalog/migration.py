@@ -570,3 +570,47 @@ def pointer_requests(spark, sf):
     )
     pointer = o.agg(F.lit("active").alias("active_dataset_id"))
     return store.pointer_status(requests, runs, pointer).select("k", "status")
+
+
+# --- whole texts and the whole plan ---------------------------------------------------------
+
+
+@query("normalized_documents", """SELECT doc_id, sha256(lower(regexp_replace(nfc_normalize(text), '^\\s+|\\s+$', '', 'g'))) AS form FROM documents""")
+def normalized_documents(spark, sf):
+    from ..functions.text import corpus_headword
+
+    return table(spark, sf, "documents").select("doc_id", F.sha2(corpus_headword(F.col("text")), 256).alias("form"))
+
+
+@query("refused_records", """SELECT 'r-' || CAST(doc_id AS VARCHAR) AS source_ref FROM documents WHERE doc_id % 3 <> 0""")
+def refused_records(spark, sf):
+    d, k = table(spark, sf, "documents"), F.col("doc_id")
+    secret = F.when(k % 3 == 0, "[REDACTED]").otherwise("sk-plain")
+    records = d.select(
+        F.concat(F.lit("r-"), k.cast("string")).alias("source_ref"), F.lit(None).cast("string").alias("key"),
+        F.to_json(F.struct("text", F.struct(secret.alias("DeepSeek_API_Key")).alias("inner"))).alias("json"),
+    )
+    return bk.refuse_plain_secrets(records)[1].select("source_ref")
+
+
+@query("migration_conservation", f"""WITH {BACKUP_SQL}
+SELECT migration_id, domain, count(*) AS dispositions, count(DISTINCT source_ref) AS sources FROM recs WHERE domain <> 'unknown' GROUP BY ALL""")
+def migration_conservation(spark, sf):
+    """The whole plan over every backup: each known record ends in exactly one disposition."""
+    from ..plans import migration
+
+    part = stored(spark, sf, "slice", lambda: migration.transform(
+        *migration.read_records(backups(spark, sf)), b.words(spark, sf)))
+    return part.dispositions.groupBy("migration_id", "domain").agg(
+        F.count(F.lit(1)).alias("dispositions"), F.count_distinct("source_ref").alias("sources")
+    )
+
+
+@query("migration_payload_rows")
+def migration_payload_rows(spark, sf):
+    """Payload rows per migration and collection of the whole plan."""
+    from ..plans import migration
+
+    part = stored(spark, sf, "slice", lambda: migration.transform(
+        *migration.read_records(backups(spark, sf)), b.words(spark, sf)))
+    return migration.payload_keys(part).groupBy("migration_id", "domain").agg(F.count(F.lit(1)).alias("n"))

@@ -182,3 +182,26 @@ def question_requests(spark, sf):
         "profile.answered_count", "profile.recent_trend",
         F.array_join(F.transform("content.items", lambda i: i["item_id"]), ",").alias("items"),
     )
+
+
+@query("request_contract", BUILT_SQL + f""", profiles AS ({PROFILE_SELECT})
+SELECT p.user_id, p.language, CASE CAST(substr(p.user_id, 3) AS BIGINT) % 6 WHEN 1 THEN 'TARGET_RANGE,TARGET_EXCEEDS_ITEMS'
+  WHEN 2 THEN 'ITEM_DUPLICATE' WHEN 3 THEN 'ITEM_LANGUAGE' ELSE '' END AS violations
+FROM ids i JOIN profiles p USING (user_id, language)""")
+def request_contract(spark, sf):
+    from ..operators import generated
+
+    words, events = b.words(spark, sf), history(spark, sf)
+    n = F.substring("user_id", 3, 20).cast("bigint")
+    settings = learners(spark, sf).select("user_id", F.lit(10).alias("daily_minutes"), F.lit("review").alias("focus"))
+    requests = daily.question_requests(
+        projection.learner_profiles(events, words), daily.plan_words(selected(spark, sf), words), settings, MANIFEST, VERSION,
+    )
+    # Some requests are damaged on purpose, by user number.
+    items = F.col("content.items")
+    twice = F.concat(F.slice(items, 1, 4), F.slice(items, 1, 1))
+    foreign = F.transform(items, lambda i: i.withField("language", F.lit("fr")))
+    damaged = requests.withColumn("target_count", F.when(n % 6 == 1, 6).otherwise(F.col("target_count"))).withColumn(
+        "content", F.col("content").withField("items", F.when(n % 6 == 2, twice).when(n % 6 == 3, foreign).otherwise(items))
+    )
+    return generated.check_requests(damaged).select("user_id", "language", F.array_join("violations", ",").alias("violations"))

@@ -29,12 +29,20 @@ def build_session(app: str = "mnemora", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def apply_runtime_conf(spark: SparkSession) -> None:
+    """Set the settings results depend on, for a session that someone else built."""
+    for key in ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit"):
+        spark.conf.set(key, BASE_CONF[key])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for durable data: ``spark.checkpoint.dir`` as the cluster names it.
 
     Only a local session without the setting gets a folder of its own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+        "spark.checkpoint.dir"
+    )
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
