@@ -121,7 +121,7 @@ def record_digests(spark, sf):
     return d.select(ref.alias("source_ref"), bk.record_digest(ref, F.col("lang"), F.sha2("text", 256)).alias("record_digest"))
 
 
-@query("redacted_documents")
+@query("redacted_documents", """SELECT doc_id, FALSE AS leaked, CAST(length(text) AS BIGINT) AS text_length, TRUE AS secret_present FROM documents""")
 def redacted_documents(spark, sf):
     """Every document as JSON with a nested secret; the secret must be gone, the text must not."""
     d = table(spark, sf, "documents")
