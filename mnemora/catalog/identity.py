@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import bindings as b
 from ..operators import identity
 from .base import query, table
-from .corpus import REFS_SQL, RESOLVE_SQL, W, references
+from .corpus import REFS_SQL, W, references
 
 # Overrides from customer: most name the customer's word, some name nothing.
 OVERRIDES_SQL = """override_refs AS (SELECT 'm-' || CAST(c_custkey % 40 AS VARCHAR) AS migration_id,

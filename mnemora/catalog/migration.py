@@ -13,8 +13,7 @@ from ..sources import redact, store
 from .base import query, table
 from .corpus import SET_DIGEST, W
 from .domains import (
-    CARD_SQL, STUDY_DISPOSED, STUDY_SQL, as_records, card_result, dispose_sql, log_result, no_nulls, stored,
-    stored_entries, study_records, word_records, word_result,
+    CARD_SQL, STUDY_DISPOSED, STUDY_SQL, card_result, no_nulls, stored, stored_entries, study_records, word_records, word_result,
 )
 from .identity import IDENTITY_SQL
 from .plans import FNV_SQL

@@ -394,6 +394,7 @@ WRONG_FLAGS = Flags(
     "COUNT_DEFAULTED", "COUNT_FLOORED", "STATUS_UNKNOWN", "DATE_INVALID",
     "RECENT_ANSWER_INVALID", "RECENT_ANSWER_TRUNCATED",
 )
+# Legacy field names of the counts, and the known statuses.
 WRONG_COUNTS = {
     "total_wrong": ("totalWrong", "wrongCount", "wrong_count"),
     "total_correct": ("totalCorrect", "correctCount", "correct_count"),
@@ -570,6 +571,7 @@ def wrong_book(records: DataFrame, index: WordIndex) -> tuple[DataFrame, DataFra
 
 # --- review cards and logs ------------------------------------------------------------------
 
+# Legacy field names of the card numbers.
 CARD_NUMBERS = {
     "elapsed_days": ("elapsed_days", "elapsedDays"), "scheduled_days": ("scheduled_days", "scheduledDays"),
     "reps": ("reps",), "lapses": ("lapses",), "learning_steps": ("learning_steps", "learningSteps"),
@@ -1007,6 +1009,7 @@ def preferences(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return payload, dispose(rows, "PREFERENCE_MAPPED", "DUPLICATE_PREFERENCE", severity)
 
 
+# Reminder preference keys and flags.
 REMINDER_KEYS = {
     "v2": "nativeStudyReminderSettingsV2", "enabled": "nativeStudyReminderEnabled",
     "time": "nativeStudyReminderTime",

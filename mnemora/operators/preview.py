@@ -9,7 +9,6 @@ from ..functions.hashing import digest
 from ..functions.text import trim_all
 from ..session import durable
 from ..skew import attach_by_key, with_group_stats
-from ..sources.backups import DOMAIN_ORDER
 from ..sources.redact import secret_presence
 from .contracts import is_secret_key
 
@@ -29,6 +28,7 @@ SEVERITY = {
     "SENSITIVE_API_KEY_REQUIRES_REENTRY": "warning", "UNKNOWN_FIELDS_ARCHIVED": "info",
     "LEGACY_V4_LIMITED_COVERAGE": "warning",
 }
+# The backup parts a preview looks at.
 PREVIEW_PATHS = [
     "data.db", "data.wordOverrides", "data.folders", "data.stars", "data.records", "data.mtWordClears",
     "data.mtGroupClears", "data.fsrsCards", "data.fsrsReviewLogs", "data.wrongBook", "data.aiConversations",
@@ -228,7 +228,3 @@ def preview_status(summary: DataFrame, merged: DataFrame) -> DataFrame:
     return joined.withColumn(
         "status", F.when(F.col("blocking"), "blocked").when(open_rows, "review").otherwise("ready")
     ).drop("blocking", "warning")
-
-
-def preview_domains() -> list[str]:
-    return list(DOMAIN_ORDER)

@@ -12,9 +12,10 @@ one chunk seeds the next and no task ever holds more than one chunk of a history
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import durable
 from ..skew import ordinal
@@ -54,8 +55,6 @@ def _factor(w: list[float]) -> float:
 
 
 def _recall(s: Column, d: Column, r: Column, w: list[float], hard: bool = False) -> Column:
-    import math
-
     gain = (
         F.lit(math.exp(w[8])) * (F.lit(11.0) - d) * F.pow(s, F.lit(-w[9]))
         * (F.exp((F.lit(1.0) - r) * w[10]) - 1.0)
@@ -75,8 +74,6 @@ def _forget(s: Column, d: Column, r: Column, w: list[float]) -> Column:
 
 
 def _first_difficulty(grade: int, w: list[float]) -> float:
-    import math
-
     return round(w[4] - math.exp((grade - 1) * w[5]) + 1, 8)
 
 
