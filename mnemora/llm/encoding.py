@@ -3,13 +3,15 @@
 Some tokenizers drop white space and never let a token span it (their pattern is given below).
 For these the ids of a text are the ids of its white-space separated words, one after the other:
 a space, tab or line break takes part in no composition of Unicode normalisation, in no lower-case
-mapping and in no special token. Words are kept with their ids in a table of bounded size, and new
-words go to the library many at a time. All other tokenizers get every text whole.
+mapping and in no special token. A word of Latin letters and then marks is cut once more, between the
+two, where the pattern always cuts. Words and parts are kept with their ids in tables of bounded size,
+and new parts go to the library many at a time. All other tokenizers get every text whole.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -19,16 +21,23 @@ from tokenizers import Tokenizer
 DROPS_SPACE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+#: Letters, then ASCII punctuation: always two tokens or more, cut where the letters end.
+_LETTERS_THEN_MARKS = re.compile(rb"([A-Za-z\x80-\xff]+)([!-/:-@\[-`{-~]*)")
+#: Below this character, letters and their lower case are the same in every Unicode version.
+_LATIN = "\u0250"
+
+
 class Encoder:
-    """``most`` bounds the table of words; it is emptied when full."""
+    """``most`` bounds the tables of words and of their parts; a full one is emptied."""
 
-    def __init__(self, path: str, most: int = 800_000, together: int = 2_000):
+    def __init__(self, path: str, most: int = 700_000, together: int = 256):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.separable = _drops_space(path)
-        self._ids: dict[bytes, bytes] = {}
+        self._words: dict[bytes, bytes] = {}
+        self._parts: dict[bytes, bytes] = {}
         self._most, self._together = most, together
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -37,12 +46,13 @@ class Encoder:
             found = self.library.encode_batch_fast(texts, add_special_tokens=False)
             return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
         words = [t.encode().split() for t in texts]
-        new = set().union(*words).difference(self._ids)
-        if len(self._ids) + len(new) > self._most:
-            self._ids.clear()
+        new = set().union(*words).difference(self._words)
+        if len(self._words) + len(new) > self._most:
+            self._words.clear()
             new = set().union(*words)
-        self._learn(list(new))
-        get = self._ids.__getitem__
+        if new:
+            self._learn(new)
+        get = self._words.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
     def offsets(self, text: str) -> np.ndarray:
@@ -50,22 +60,49 @@ class Encoder:
         found = self.library.encode(text, add_special_tokens=False).offsets
         return np.fromiter((o[0] for o in found), dtype=np.int64, count=len(found))
 
-    def _learn(self, new: list[bytes]) -> None:
-        for at in range(0, len(new), self._together):
-            words = new[at : at + self._together]
-            plain = [w.decode() for w in words]
-            starts = np.cumsum([0, *(len(w) + 1 for w in plain)])[:-1]
+    def _learn(self, new: set[bytes]) -> None:
+        split = {w: _split(w) for w in new}
+        unknown = {p for parts in split.values() for p in parts}.difference(self._parts)
+        if len(self._parts) + len(unknown) > self._most:
+            self._parts.clear()
+            unknown = {p for parts in split.values() for p in parts}
+        self._encode(list(unknown))
+        get = self._parts.__getitem__
+        self._words.update((w, b"".join(map(get, parts))) for w, parts in split.items())
+
+    def _encode(self, parts: list[bytes]) -> None:
+        """Many parts in one call, told apart by where their tokens start."""
+        for at in range(0, len(parts), self._together):
+            some = parts[at : at + self._together]
+            plain = [p.decode() for p in some]
+            starts = np.cumsum([0, *(len(p) + 1 for p in plain)])[:-1]
             found = self.library.encode(" ".join(plain), add_special_tokens=False)
             packed = np.array(found.ids, dtype=self.dtype).tobytes()
             places = np.fromiter((o[0] for o in found.offsets), dtype=np.int64, count=len(found.ids))
             owner = np.searchsorted(starts, places, "right") - 1
-            ends = np.cumsum(np.bincount(owner, minlength=len(words))) * self.dtype.itemsize
+            ends = np.cumsum(np.bincount(owner, minlength=len(some))) * self.dtype.itemsize
             begin = 0
-            for word, end in zip(words, ends.tolist()):
-                self._ids[word] = packed[begin:end]
+            for part, end in zip(some, ends.tolist()):
+                self._parts[part] = packed[begin:end]
                 begin = end
 
 
+def _split(word: bytes) -> tuple[bytes, ...]:
+    """A word as lower-case letters and the marks after them, or whole where that is not certain."""
+    found = _LETTERS_THEN_MARKS.fullmatch(word)
+    if found is None:
+        return (word,)
+    letters, marks = found.groups()
+    if not letters.isascii():
+        text, lower = letters.decode(), letters.decode().lower()
+        if not text.isalpha() or not lower.isalpha() or max(text + lower) >= _LATIN:
+            return (word,)
+        letters = lower.encode()
+    else:
+        letters = letters.lower()
+    return (letters, marks) if marks else (letters,)
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """One encoder per file and worker."""
