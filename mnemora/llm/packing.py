@@ -162,7 +162,10 @@ class Packer:
 
 
 class Index:
-    """BM25 over the rests of one shard. Ids that a single rest has cannot match and have no postings."""
+    """BM25 over the rests of one shard, with the classic inverse document frequency, 0 at least.
+
+    Ids of a single rest cannot match, and ids of half of all rests weigh 0: both have no postings.
+    """
 
     def __init__(self, pool: list[Rest]):
         n = len(pool)
@@ -172,9 +175,9 @@ class Index:
         pairs, counts = np.unique(owners << 32 | np.concatenate([r.ids for r in pool]).astype(np.int64), return_counts=True)
         owners, terms = pairs >> 32, pairs & 0xFFFFFFFF
         _, terms, in_docs = np.unique(terms, return_inverse=True, return_counts=True)
-        shared = in_docs[terms] > 1
-        owners, terms, counts = owners[shared], terms[shared], counts[shared]
-        idf = np.log1p((n - in_docs + 0.5) / (in_docs + 0.5))
+        idf = np.maximum(0.0, np.log((n - in_docs + 0.5) / (in_docs + 0.5)))
+        useful = (in_docs[terms] > 1) & (idf[terms] > 0)
+        owners, terms, counts = owners[useful], terms[useful], counts[useful]
         norm = K1 * (1 - B + B * lengths[owners] / lengths.mean())
         weights = idf[terms] * counts * (K1 + 1) / (counts + norm)
         self.terms_of = np.searchsorted(owners, np.arange(n + 1))

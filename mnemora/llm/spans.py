@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .frames import LAST_ID, durable, small_batches, text_key, texts, whole_groups
@@ -27,7 +28,7 @@ from .frames import LAST_ID, durable, small_batches, text_key, texts, whole_grou
 #: Distinct blocks that a task remembers to settle repeats early; forgetting them only costs rows.
 REMEMBERED = 200_000
 
-_FOUND = "h long, at long, key long, start int, n int, known boolean"
+_FOUND = "h long, at long, key long, start int, n int, route long"
 _BLOCKS = "h long, at long, key long, start int, n int, block binary, settled boolean"
 
 #: (hash, first window, number of windows) of each block of a document, in order
@@ -89,26 +90,25 @@ def shared_blocks(rows: DataFrame, cut: Cut, take: Callable[[bytes, int, int], b
             if not parts:
                 continue
             h, d, k, start, n = (np.concatenate(c) for c in zip(*parts))
+            # Known blocks are spread out by document, the others meet by hash and need it once.
             known = _seen_twice(h, seen)
+            spread = mixed_hash(d.view(np.uint64) + start.astype(np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays([
-                pa.array(h), pa.array(d), pa.array(k), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(known),
-            ], names=["h", "at", "key", "start", "n", "known"])
+                pa.array(h, mask=~known), pa.array(d), pa.array(k), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)),
+                pa.array(np.where(known, spread, h)),
+            ], names=["h", "at", "key", "start", "n", "route"])
 
     found = rows.select("at", "key", "text").mapInArrow(find, _FOUND)
-    # Known blocks are spread out by document, the others meet by hash.
-    route = F.when(F.col("known"), F.xxhash64("at", "start")).otherwise(F.col("h"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, ["route"]):
-            sizes = np.diff(starts)
-            shared = np.repeat(sizes > 1, sizes) | table.column("known").to_numpy()
-            yield from table.select(["at", "key", "start", "n", "h"]).filter(pa.array(shared)).to_batches()
+            known, sizes = table.column("h").is_valid(), np.diff(starts)
+            shared = np.repeat(sizes > 1, sizes) | known.to_numpy()
+            h = pc.if_else(known, table.column("h"), table.column("route"))
+            yield from table.select(["at", "key", "start", "n"]).append_column("h", h).filter(pa.array(shared)).to_batches()
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
-    shared = (
-        found.withColumn("route", route).select("route", "h", "at", "key", "start", "n", "known")
-        .repartition("route").sortWithinPartitions("route").mapInArrow(keep, "at long, key long, start int, n int, h long")
-    )
+    shared = found.repartition("route").sortWithinPartitions("route").mapInArrow(keep, "at long, key long, start int, n int, h long")
     # As many entries as the document has blocks.
     lists = durable(shared).groupBy("at", "key").agg(F.sort_array(F.collect_list(F.struct("start", "n", "h"))).alias("blocks"))
 
