@@ -25,23 +25,29 @@ from .frames import LAST_ID, durable, prepared, text_key, texts
 
 HEAVIEST = 16
 #: Rows of a range when texts are placed by doc_id; beyond so many ranges they grow.
-RANGE_ROWS = 4096
+RANGE_ROWS = 512
 MOST_RANGES = 65_536
 RADIUS = 3
 BLOCKS = (11, 11, 11, 11, 10, 10)
 _LANES = 0x0000000100000001
 
 
-def terms(text: str = "text") -> Column:
-    """The terms of a text in order; an empty array when it has no word."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.slice(pairs, 1, F.greatest(F.size(pairs) - 1, F.lit(1)))
+def words(text: str = "text") -> Column:
+    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def terms(found: str = "words") -> Column:
+    """The terms of a column of words in order; an empty array when there is no word."""
+    n = F.size(found)
+    after = F.slice(found, F.lit(2), F.greatest(n - 1, F.lit(0)))
+    pairs = F.zip_with(found, after, lambda a, b: F.concat_ws(" ", a, b))
+    return F.slice(pairs, F.lit(1), F.greatest(n - 1, F.lit(1)))
 
 
 def fingerprints(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """``keys`` and ``fp`` for each row of distinct ``keys``; texts without words are left out."""
-    hashed = rows.select(*keys, F.explode(terms(text)).alias("t")).where("t <> ''").select(
+    split = rows.select(*keys, words(text).alias("words"))
+    hashed = split.select(*keys, F.explode(terms()).alias("t")).select(
         *keys, F.xxhash64("t").alias("h"), F.least(F.char_length("t"), F.lit(HEAVIEST)).cast("long").alias("w")
     )
     lanes = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_LANES)) * F.col("w")).alias(f"v{k}") for k in range(32)]
@@ -70,7 +76,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     if count > 1:
         shares = [k / count for k in range(1, count)]
         bounds = sorted(set(rows.agg(F.percentile_approx("at", shares, 100 * count)).first()[0]))
-    rows = rows.withColumn("range", _position(F.col("at"), bounds))
+    # Never null, and known not to be: else filters for nulls would make two shuffles of one.
+    rows = rows.withColumn("range", F.coalesce(_position(F.col("at"), bounds), F.lit(0)))
     # One row per range.
     tops = durable(rows.groupBy("range").agg(F.max(F.struct("at", "key")).alias("top")))
     below = F.lead("top").over(W.orderBy(F.col("range").desc()))
@@ -79,7 +86,7 @@ def with_next(docs: DataFrame) -> DataFrame:
         "to", F.col("top.at").alias("at"), F.col("top.key").alias("key")
     )
     guests = rows.join(F.broadcast(durable(wanted)), ["at", "key"]).select(
-        "doc_id", "text", "key", "at", F.col("to").alias("range"), F.lit(1).alias("guest")
+        "doc_id", "text", "key", "at", F.coalesce("to", F.lit(0)).alias("range"), F.lit(1).alias("guest")
     )
     placed = rows.select("doc_id", "text", "key", "at", "range", F.lit(0).alias("guest")).unionByName(guests)
     order = W.partitionBy("range").orderBy("guest", F.col("at").desc(), F.col("key").desc())
@@ -138,7 +145,7 @@ def document_fingerprints(docs: DataFrame, radius: int = RADIUS, every: int = 10
     """
     prepared(docs.sparkSession)
     both = with_next(docs)
-    # Both sides below use the same columns of ``both``, so its shuffle is made once.
+    # Both sides below use the same columns of ``both`` (so doc_id is a key too): one shuffle serves them.
     ids = ["range", "place", "doc_id"]
     facts = both.select(
         *ids, "at", "key", "next_at", "next_key", F.char_length("text").alias("n_chars"), F.sha2(edited(), 256).alias("edited_sha256"),
@@ -146,8 +153,7 @@ def document_fingerprints(docs: DataFrame, radius: int = RADIUS, every: int = 10
     sides = F.explode(F.array(
         F.struct(F.lit(False).alias("edit"), F.col("text").alias("t")), F.struct(F.lit(True).alias("edit"), edited().alias("t")),
     ))
-    cut = ["range", "place", "doc_id", "at", "key", "next_at", "next_key"]
-    prints = fingerprints(both.select(*cut, sides.alias("s")).select(*cut, "s.edit", "s.t"), ["range", "place", "edit"], "t")
+    prints = fingerprints(both.select(*ids, sides.alias("s")).select(*ids, "s.edit", "s.t"), [*ids, "edit"], "t")
     pairs = prints.groupBy("range", "place").agg(
         F.max(F.when(~F.col("edit"), F.col("fp"))).alias("fp"), F.max(F.when(F.col("edit"), F.col("fp"))).alias("edited_fp")
     )
