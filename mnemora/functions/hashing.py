@@ -27,10 +27,19 @@ def fnv1a_hex(text: Column) -> Column:
 
 
 def digest(*parts: Column) -> Column:
-    """SHA-256 over parts joined by ``|``; a null part counts as empty."""
+    """SHA-256 over parts joined by ``|``; a null part counts as empty.
+
+    Only for digests whose form is fixed from outside; keys of our own use ``key_digest``.
+    """
     return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
+def key_digest(*parts: Column) -> Column:
+    """SHA-256 that tells parts apart whatever they hold: separators, empty text and null differ."""
+    cells = F.struct(*[p.cast("string").alias(f"p{i}") for i, p in enumerate(parts)])
+    return F.sha2(F.to_json(cells, {"ignoreNullFields": "false"}), 256)
+
+
 def digest_id(prefix: str, *parts: Column) -> Column:
     """``prefix`` and the first 24 hex digits of the digest."""
     return F.concat(F.lit(prefix), F.substring(digest(*parts), 1, 24))

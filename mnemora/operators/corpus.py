@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.hashing import digest, set_digest
+from ..functions.hashing import digest, key_digest, set_digest
 from ..functions.text import corpus_headword, trim_all
 from ..skew import attach_by_key, ordinal
 
 # The acceptance target of the bilingual corpus.
 ACCEPTANCE_TARGET = {"total": 9828, "ja": 5906, "en": 3922}
-EXACT_DIGEST_ROWS = 100_000
 
 
 def write_corpus(words: DataFrame, path: str) -> None:
@@ -44,19 +43,6 @@ def duplicate_identities(words: DataFrame) -> DataFrame:
     )
 
 
-def identity_digest(words: DataFrame) -> DataFrame:
-    """Exact digest: SHA-256 of the sorted ``language:id`` lines.
-
-    One hash over all lines needs them in one place, so the corpus is counted first and must
-    stay within EXACT_DIGEST_ROWS; use ``corpus_digests`` for anything larger.
-    """
-    if words.limit(EXACT_DIGEST_ROWS + 1).count() > EXACT_DIGEST_ROWS:
-        raise ValueError("corpus too large for the exact digest; use corpus_digests")
-    line = F.concat_ws(":", "language", "id")
-    lines = F.array_join(F.array_sort(F.collect_list(line)), "\n")
-    return words.agg(F.sha2(lines, 256).alias("word_ids_sha256"))
-
-
 def corpus_digests(words: DataFrame) -> DataFrame:
     """Identity and content digest per language for a corpus of any size."""
     content = [
@@ -143,7 +129,7 @@ def resolve_references(
     Distinct references are resolved once, so the joins to the corpus never see a hot key.
     The result joins back on the reference itself, skew-safe.
     """
-    keyed = refs.withColumn("__ref", digest(F.col("language"), F.col(id_col), F.col(headword_col)))
+    keyed = refs.withColumn("__ref", key_digest(F.col("language"), F.col(id_col), F.col(headword_col)))
     distinct = keyed.groupBy("__ref").agg(
         F.count(F.lit(1)).alias("__n"),
         F.first("language").alias("language"),

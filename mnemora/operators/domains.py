@@ -920,8 +920,6 @@ def newest_quizzes(payload: DataFrame) -> DataFrame:
             "quality_flags",
             QUIZ_FLAGS.read(F.when(F.col("__all") > MAX_QUIZ_HISTORY, F.col("flags").bitwiseOR(cut)).otherwise(F.col("flags"))),
         )
-        # A payload holds at most nine flag names.
-        .withColumn("quality_flags", F.slice("quality_flags", 1, 9))
         .drop("__all", "flags")
     )
 

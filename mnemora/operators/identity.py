@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.hashing import digest
+from ..functions.hashing import digest, key_digest
 from ..functions.text import (
     clean_text, collapse_spaces, identity_headword, is_word_id, relation_headword,
 )
@@ -79,7 +79,7 @@ def identity_map(records: DataFrame, words: DataFrame) -> DataFrame:
     """
     rows = normalize_identity(records).withColumn(
         "__ref",
-        digest(F.col("migration_id"), F.col("language"), F.col("raw_word_id"), F.col("raw_headword")),
+        key_digest(F.col("migration_id"), F.col("language"), F.col("raw_word_id"), F.col("raw_headword")),
     )
     is_word = F.col("source_kind") == "word"
     own_id = is_word & ~F.col("is_built_in") & is_word_id(F.col("raw_word_id"))
@@ -296,7 +296,7 @@ def resolve_relations(
     usable = F.col("raw_word_id").isNotNull()
     if not any_language:
         usable = usable & F.col("language").isNotNull()
-    keyed = rows.withColumn("__rel", F.when(usable, digest(*parts)))
+    keyed = rows.withColumn("__rel", F.when(usable, key_digest(*parts)))
     firsts = [F.first(c.alias("x")).alias(n) for n, c in (
         ("migration_id", F.col("migration_id")), ("__key", F.col("raw_word_id")),
         ("language", F.col("language") if not any_language else F.lit(None).cast("string")),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from ..functions import legacy as lg
-from ..functions.hashing import digest
+from ..functions.hashing import key_digest
 from ..functions.text import trim_all
 from ..session import durable
 from ..skew import attach_by_key, with_group_stats
@@ -45,7 +45,7 @@ def _severity_of(code: Column) -> Column:
 
 def safe_reference(text: Column) -> Column:
     trimmed = trim_all(text)
-    return F.when(trimmed != "", F.substring(trimmed, 1, 128))
+    return F.when(trimmed != "", trimmed)
 
 
 def reference_index(word_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,7 +66,7 @@ def count_matches(rows: DataFrame, ids: DataFrame, heads: DataFrame) -> DataFram
     Distinct references are counted once and joined back skew-safe.
     """
     keyed = rows.withColumn(
-        "__ref", F.when(F.col("reference").isNotNull(), digest(F.col("migration_id"), F.col("reference")))
+        "__ref", F.when(F.col("reference").isNotNull(), key_digest(F.col("migration_id"), F.col("reference")))
     )
     distinct = keyed.where("__ref is not null").groupBy("__ref").agg(
         F.count(F.lit(1)).alias("__n"), F.first("migration_id").alias("migration_id"),
@@ -214,11 +214,12 @@ def merge_issues(rows: DataFrame) -> DataFrame:
     )
 
 
-def preview_status(summary: DataFrame, merged: DataFrame) -> DataFrame:
-    """Totals and status per migration: blocked, review or ready."""
-    totals = summary.groupBy("migration_id").agg(
+def preview_status(summary: DataFrame, merged: DataFrame, headers: DataFrame) -> DataFrame:
+    """Totals and status of every migration in ``headers``, also without records: blocked, review or ready."""
+    counted = summary.groupBy("migration_id").agg(
         *[F.sum(c).alias(c) for c in ("source", *CLASSES)]
     )
+    totals = headers.select("migration_id").distinct().join(counted, "migration_id", "left").fillna(0, ["source", *CLASSES])
     flags = merged.groupBy("migration_id").agg(
         F.bool_or(F.col("severity") == "blocking").alias("blocking"),
         F.bool_or(F.col("severity") == "warning").alias("warning"),

@@ -4,8 +4,8 @@
 key inside one task. The per-key table comes from a map-side combined ``groupBy``, so a hot
 key costs one row there; it is written once to the shared folder. A key is *heavy* when it
 holds more than 1/HEAVY_SHARE of all rows, so at most HEAVY_SHARE keys are heavy: that set is
-broadcast under a proven bound and its rows skip the shuffle join. All other rows, and all
-rows of small inputs, take an ordinary shuffle join.
+broadcast under a proven bound and its rows skip the shuffle join. All other rows take an
+ordinary shuffle join. The plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as
 from .session import durable
 
 HEAVY_SHARE = 1000
-SPLIT_ROWS = 1_000_000
 
 
 def _row_hash(rows: DataFrame) -> Column:
@@ -31,7 +30,6 @@ def _row_hash(rows: DataFrame) -> Column:
 
 def attach_by_key(
     rows: DataFrame, per_key: DataFrame, keys: Sequence[str], size: str, values: Sequence[str],
-    split_rows: int | None = None,
 ) -> DataFrame:
     """Add ``values`` of ``per_key`` (one row per ``keys``, ``size`` = its row count) to ``rows``.
 
@@ -39,24 +37,20 @@ def attach_by_key(
     twice by the caller's plan, so give a stored table when it is costly to compute.
     """
     per_key = durable(per_key.select(*dict.fromkeys([*keys, size, *values])))
-    total, largest = per_key.agg(F.sum(size), F.max(size)).first()
-    limit = SPLIT_ROWS if split_rows is None else split_rows
-    split = total is not None and total >= limit and largest * HEAVY_SHARE > total
+    total = per_key.agg(F.sum(size)).scalar()
     # Rows without a key match nothing: they get keys that spread out instead of one null key.
     spread = F.concat(F.lit("\u0001"), _row_hash(rows).cast("string"))
     no_key = F.lit(False)
     for k in keys:
         no_key = no_key | F.col(k).isNull()
-    marked = rows
-    if split:
-        heavy = per_key.where(F.col(size) * HEAVY_SHARE > F.lit(total)).select(
-            *[F.col(k).alias(f"__h_{k}") for k in keys],
-            *[F.col(v).alias(f"__hv_{v}") for v in values],
-            F.lit(True).alias("__heavy"),
-        )
-        on_heavy = [F.col(k) == F.col(f"__h_{k}") for k in keys]
-        marked = rows.join(F.broadcast(heavy), on_heavy, "left").drop(*[f"__h_{k}" for k in keys])
-        no_key = no_key | F.col("__heavy").isNotNull()
+    heavy = per_key.where(F.col(size) * HEAVY_SHARE > total).select(
+        *[F.col(k).alias(f"__h_{k}") for k in keys],
+        *[F.col(v).alias(f"__hv_{v}") for v in values],
+        F.lit(True).alias("__heavy"),
+    )
+    on_heavy = [F.col(k) == F.col(f"__h_{k}") for k in keys]
+    marked = rows.join(F.broadcast(heavy), on_heavy, "left").drop(*[f"__h_{k}" for k in keys])
+    no_key = no_key | F.col("__heavy").isNotNull()
     marked = marked.withColumn("__k0", F.when(no_key, spread).otherwise(F.col(keys[0])))
     light = per_key.select(
         *[F.col(k).alias(f"__l_{k}") for k in keys], *[F.col(v).alias(f"__lv_{v}") for v in values]
@@ -67,10 +61,7 @@ def attach_by_key(
     joined = marked.join(light, on_light, "left")
 
     def value(v: str) -> Column:
-        found = F.col(f"__lv_{v}")
-        if split:
-            found = F.when(F.col("__heavy").isNotNull(), F.col(f"__hv_{v}")).otherwise(found)
-        return found.alias(v)
+        return F.when(F.col("__heavy").isNotNull(), F.col(f"__hv_{v}")).otherwise(F.col(f"__lv_{v}")).alias(v)
 
     kept = [F.col(c) for c in rows.columns if c not in values]
     return joined.select(*kept, *[value(v) for v in values])

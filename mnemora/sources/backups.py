@@ -204,6 +204,7 @@ def refuse_plain_secrets(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records safe to keep, and those that still hold a secret in the clear."""
     from ..operators.contracts import is_secret_key
 
+    # Redaction leaves a text without a plain secret as it is, so any change means a secret.
     tested = records.withColumn("__clean", redact(F.col("json")))
     by_key = F.coalesce(is_secret_key(F.col("key")), F.lit(False)) & (
         F.col("json") != F.lit('"[REDACTED]"')
@@ -215,11 +216,12 @@ def refuse_plain_secrets(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def domain_counts(records: DataFrame) -> DataFrame:
-    """Rows per migration and domain in the fixed order, zeros kept."""
-    counted = records.groupBy("migration_id").agg(
+def domain_counts(records: DataFrame, headers: DataFrame) -> DataFrame:
+    """Rows per migration in ``headers`` and domain in the fixed order, zeros kept."""
+    found = records.groupBy("migration_id").agg(
         *[F.count_if(F.col("domain") == d).alias(d) for d in DOMAIN_ORDER]
     )
+    counted = headers.select("migration_id").distinct().join(found, "migration_id", "left").fillna(0, list(DOMAIN_ORDER))
     cells = [
         F.struct(F.lit(i).alias("position"), F.lit(d).alias("domain"), F.col(d).alias("n"))
         for i, d in enumerate(DOMAIN_ORDER)

@@ -44,7 +44,10 @@ def commit_status(requests: DataFrame, stored: DataFrame, order: str = "request_
 
 
 def append_answers(requests: DataFrame, key_path: str, event_path: str, events: DataFrame) -> DataFrame:
-    """Append the events of new requests, then their keys; returns every request's status."""
+    """Append the events of new requests, then their keys; returns every request's status.
+
+    A run that ended between the two is repeated by the next: events already in the log are left out.
+    """
     spark = requests.sparkSession
     stored = read_or_empty(spark, key_path, "idempotency_key string, fingerprint string")
     from ..session import durable
@@ -52,7 +55,8 @@ def append_answers(requests: DataFrame, key_path: str, event_path: str, events:
     status = durable(commit_status(requests, stored))
     fresh = status.where("status = 'committed'")
     new_events = events.join(fresh.select("request_id"), "request_id", "left_semi")
-    new_events.write.mode("append").parquet(event_path)
+    logged = read_or_empty(spark, event_path, "id string").select("id")
+    new_events.join(logged, "id", "left_anti").select(*events.columns).write.mode("append").parquet(event_path)
     fresh.select("idempotency_key", "fingerprint").write.mode("append").parquet(key_path)
     return status
 
@@ -110,6 +114,15 @@ def replace_projection(states: DataFrame, users: DataFrame, path: str) -> None:
     merged = durable(kept.select(*fresh.columns).unionByName(fresh))
     writer = merged.write.option("partitionOverwriteMode", "dynamic")
     writer.mode("overwrite").partitionBy("bucket").parquet(path)
+    # An overwrite does not touch partitions that end up empty: at most USER_BUCKETS names.
+    empty = touched.join(merged.select("bucket").distinct(), "bucket", "left_anti").collect()
+    _drop_partitions(spark, path, [f"bucket={r['bucket']}" for r in empty])
+
+
+def _drop_partitions(spark, path: str, names: list[str]) -> None:
+    for name in names:
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def stage_status(requests: DataFrame, runs: DataFrame) -> DataFrame:
@@ -133,10 +146,16 @@ def stage_status(requests: DataFrame, runs: DataFrame) -> DataFrame:
     return joined.withColumn("status", status).drop(*[f"__{n}" for n in names])
 
 
-def stage_dataset(payload: DataFrame, path: str) -> None:
-    """Write payload rows below ``dataset_id=``; the run row that names them is written later."""
+def stage_dataset(payload: DataFrame, path: str, datasets: list[str] | None = None) -> None:
+    """Write payload rows below ``dataset_id=``; the run row that names them is written later.
+
+    ``datasets`` names those staged now, so that one staged again without rows loses its old ones.
+    """
     writer = payload.write.option("partitionOverwriteMode", "dynamic")
     writer.mode("overwrite").partitionBy("dataset_id").parquet(path)
+    if datasets:
+        filled = {r["dataset_id"] for r in payload.where(F.col("dataset_id").isin(datasets)).select("dataset_id").distinct().collect()}
+        _drop_partitions(payload.sparkSession, path, [f"dataset_id={d}" for d in datasets if d not in filled])
 
 
 def pointer_status(requests: DataFrame, runs: DataFrame, pointer: DataFrame) -> DataFrame:
