@@ -35,9 +35,9 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     """learning_events from events; item = word of ``k`` in props, unknown from 90 on."""
-    e = table(spark, sf_dir, "events")
+    e = read(spark, sf_dir, "events")
     k = F.regexp_extract("props", r"(\d+)", 1).cast("bigint")
     item = F.when(k < 90, _word_id(k % 20)).otherwise(F.concat(F.lit("x-"), k.cast("string")))
     kind = (

@@ -101,7 +101,7 @@ DOMAIN_LIST = ", ".join(f"('{d}', {i})" for i, d in enumerate(bk.DOMAIN_ORDER))
 SELECT g.migration_id, w.domain, CAST(w.position AS INTEGER) AS position, count(r.source_ref) AS n
 FROM good g CROSS JOIN wanted w LEFT JOIN recs r ON r.migration_id = g.migration_id AND r.domain = w.domain GROUP BY ALL""")
 def source_domain_counts(spark, sf):
-    return bk.domain_counts(backup_records(spark, sf))
+    return bk.domain_counts(backup_records(spark, sf), parsed(spark, sf).where("error is null"))
 
 
 @query("source_contract", f"""WITH {BACKUP_SQL}
@@ -120,16 +120,20 @@ def record_digests(spark, sf):
     return d.select(ref.alias("source_ref"), bk.record_digest(ref, F.col("lang"), F.sha2("text", 256)).alias("record_digest"))
 
 
-@query("redacted_documents", """SELECT doc_id, FALSE AS leaked, CAST(length(text) AS BIGINT) AS text_length, TRUE AS secret_present FROM documents""")
+@query("redacted_documents", """SELECT doc_id, FALSE AS leaked, sha256(text) AS text_sha256, doc_id % 2 = 0 AS secret_present,
+  CASE WHEN doc_id % 2 = 0 THEN '"[REDACTED]"' ELSE '1.0E30' END AS last_value FROM documents""")
 def redacted_documents(spark, sf):
-    """Every document as JSON with a nested secret; the secret must be gone, the text must not."""
+    """Every document as JSON, half of them with a nested secret: it must be gone, all else must stay as it is."""
     d = table(spark, sf, "documents")
-    body = F.to_json(F.struct("doc_id", F.struct("text", F.concat(F.lit("sk-"), F.col("doc_id").cast("string")).alias("deepseek-API-key")).alias("inner")))
+    value = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('"sk-'), F.col("doc_id").cast("string"), F.lit('"'))).otherwise("1.0E30")
+    key = F.when(F.col("doc_id") % 2 == 0, "deepseek-API-key").otherwise("number")
+    body = F.concat(F.lit('{"inner": {"text":'), F.to_json(F.array("text")), F.lit(', "'), key, F.lit('":'), value, F.lit("}}"))
     clean = redact.redact(body)
     return d.select(
         "doc_id", clean.contains(F.concat(F.lit("sk-"), F.col("doc_id").cast("string"), F.lit('"'))).alias("leaked"),
-        F.length(F.get_json_object(clean, "$.inner.text")).cast("bigint").alias("text_length"),
+        F.sha2(F.get_json_object(clean, "$.inner.text[0]"), 256).alias("text_sha256"),
         redact.secret_presence(body).alias("secret_present"),
+        F.regexp_extract(clean, r':([^:]+)\}\}$', 1).alias("last_value"),
     )
 
 
@@ -271,7 +275,8 @@ SELECT s.migration_id, CAST(sum(source) AS BIGINT) AS source, CAST(sum(migratabl
   CAST(sum(conflict) AS BIGINT) AS conflict, CAST(sum(error) AS BIGINT) AS error,
   CASE WHEN any_value(blocking) THEN 'blocked' ELSE 'review' END AS status FROM summary s JOIN worst USING (migration_id) GROUP BY s.migration_id""")
 def preview_status(spark, sf):
-    return preview.preview_status(preview.domain_summary(classified(spark, sf)), merged_preview_issues(spark, sf))
+    headers = parsed(spark, sf).where("error is null")
+    return preview.preview_status(preview.domain_summary(classified(spark, sf)), merged_preview_issues(spark, sf), headers)
 
 
 @query("reference_matches", f"""{W}, ids AS (SELECT language, id, count(*) AS n FROM words GROUP BY ALL),
@@ -581,14 +586,19 @@ def normalized_documents(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(corpus_headword(F.col("text")), 256).alias("form"))
 
 
-@query("refused_records", """SELECT 'r-' || CAST(doc_id AS VARCHAR) AS source_ref FROM documents WHERE doc_id % 3 <> 0""")
+@query("refused_records", """SELECT 'r-' || CAST(doc_id AS VARCHAR) AS source_ref FROM documents WHERE doc_id % 6 IN (1, 2)""")
 def refused_records(spark, sf):
+    """Only plain secrets are refused, not control characters, long numbers or texts about a key."""
     d, k = table(spark, sf, "documents"), F.col("doc_id")
-    secret = F.when(k % 3 == 0, "[REDACTED]").otherwise("sk-plain")
-    records = d.select(
-        F.concat(F.lit("r-"), k.cast("string")).alias("source_ref"), F.lit(None).cast("string").alias("key"),
-        F.to_json(F.struct("text", F.struct(secret.alias("DeepSeek_API_Key")).alias("inner"))).alias("json"),
+    body = (
+        F.when(k % 6 == 0, F.lit('{"inner":{"DeepSeek_API_Key":"[REDACTED]","n":1.0E10}}'))
+        .when(k % 6 == 1, F.lit('{"inner":{"DeepSeek_API_Key":"sk-plain"}}'))
+        .when(k % 6 == 2, F.lit('{"inner":[{"\\u0064eepseekapikey":1}]}'))
+        .when(k % 6 == 3, F.lit('{"a":"x\\u001Fy"}'))
+        .when(k % 6 == 4, F.lit('{"a":1.0E30,"note":"deepseek api key"}'))
+        .otherwise(F.lit('{"a":1234567890.123456789, "note":"deepseekApiKey\\u003a"}'))
     )
+    records = d.select(F.concat(F.lit("r-"), k.cast("string")).alias("source_ref"), F.lit(None).cast("string").alias("key"), body.alias("json"))
     return bk.refuse_plain_secrets(records)[1].select("source_ref")
 
 
