@@ -14,20 +14,17 @@ EVENT_SCHEMA = (
 )
 
 
-def event(spark_id, day, item, kind, ms, user="u1"):
+def event(spark_id, day, item, kind, ms, user="learner"):
     return (
-        spark_id, datetime(2026, 7, day, 1), "s", user, item, "q", kind, (["a"], ["a"], ms, None, None, None, None)
+        spark_id, datetime(2025, 2, day, 18), "s", user, item, "q", kind, (["a"], ["a"], ms, None, None, None, None)
     )
 
 
+RIGHT, WRONG = "answerCorrect", "answerIncorrect"
 ROWS = [
-    event("event-1", 21, "word-1", "answerIncorrect", 1000),
-    event("event-2", 22, "word-2", "answerCorrect", 2000),
-    event("event-3", 23, "word-3", "answerIncorrect", 3000),
-    event("event-4", 24, "word-1", "answerCorrect", 4000),
-    event("event-5", 25, "word-2", "answerCorrect", 5000),
-    event("event-6", 26, "word-4", "answerCorrect", 6000),
-    event("event-7", 26, "stranger", "answerIncorrect", 9000),
+    event("n1", 3, "word-1", RIGHT, 400), event("n2", 4, "word-2", WRONG, 900), event("n3", 6, "word-2", WRONG, 700),
+    event("n4", 7, "word-3", WRONG, 1500), event("n5", 9, "word-3", RIGHT, 1200), event("n6", 10, "word-5", WRONG, 800),
+    event("n7", 12, "word-1", WRONG, 600), event("n8", 13, "word-2", WRONG, 300), event("n9", 13, "not-in-corpus", RIGHT, 50),
 ]
 
 
@@ -40,14 +37,13 @@ def words(spark):
 @pytest.mark.parametrize("order", [1, -1])
 def test_profile_does_not_depend_on_input_order(spark, order):
     events = spark.createDataFrame(ROWS[::order], EVENT_SCHEMA)
-    row = projection.learner_profiles(events, words(spark)).collect()
-    assert len(row) == 1
-    p = row[0]
-    assert (p.answered_count, p.correct_count, p.incorrect_count) == (6, 4, 2)
-    assert p.accuracy == 0.6667 and p.average_response_ms == 3500
-    assert p.recent_incorrect_item_ids == ["word-3"] and p.recent_trend == "improving"
+    (p,) = projection.learner_profiles(events, words(spark)).collect()
+    # Two of eight answers to known words are right. One right answer fewer in the last three is no trend yet.
+    assert (p.answered_count, p.correct_count, p.incorrect_count) == (8, 2, 6)
+    assert p.accuracy == 0.25 and p.average_response_ms == 800
+    assert p.recent_incorrect_item_ids == ["word-5", "word-2", "word-1"] and p.recent_trend == "stable"
     states = {r.item_id: r for r in review.replay_review_states(events).collect()}
-    assert states["word-1"].reps == 2 and len(states) == 5
+    assert {i: s.reps for i, s in states.items()} == {"word-1": 2, "word-2": 3, "word-3": 2, "word-5": 1, "not-in-corpus": 1}
 
 
 def test_recent_incorrect_orders_by_first_seen(spark):

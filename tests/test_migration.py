@@ -15,59 +15,76 @@ CORPUS = "id string, language string, headword string, reading string, phonetic
 
 def corpus(spark):
     return spark.createDataFrame([
-        ("core-ja-0001", "ja", "水", "みず", None, "water"), ("core-ja-0002", "ja", "山", "やま", None, "mountain"),
-        ("core-en-0001", "en", "tree", None, "/triː/", "plant"),
+        ("lex-ja-31", "ja", "橋", "はし", None, "bridge"), ("lex-ja-44", "ja", "雲", "くも", None, "cloud"),
+        ("lex-en-07", "en", "river", None, "/ˈrɪvə/", "stream of water"),
     ], CORPUS)
 
 
-def backup(**changes):
-    card = {
-        "wordId": "core-ja-0001", "due": "2026-07-25T00:00:00.000Z", "stability": 2.3, "difficulty": 4.2, "elapsed_days": 1,
-        "scheduled_days": 2, "reps": 3, "lapses": 0, "learning_steps": 0, "state": 2, "last_review": "2026-07-24T00:00:00.000Z",
+def card(word, **changes):
+    return {
+        "wordId": word, "due": "2025-11-02T06:00:00.000Z", "stability": 7.5, "difficulty": 6.1, "elapsed_days": 4, "scheduled_days": 9,
+        "reps": 5, "lapses": 2, "learning_steps": 0, "state": 2, "last_review": "2025-10-24T06:00:00.000Z", **changes,
     }
-    log = {
-        "key": "ja:core-ja-0001:meaning", "wordId": "core-ja-0001", "lang": "ja", "dimension": "meaning", "source": "study",
-        "rating": 3, "review": "2026-07-24T00:00:00.000Z", "due": "2026-07-25T00:00:00.000Z",
+
+
+def log(word, dimension="reading", rating=2):
+    return {
+        "key": f"ja:{word}:{dimension}", "wordId": word, "lang": "ja", "dimension": dimension, "source": "review", "rating": rating,
+        "review": "2025-10-24T06:00:00.000Z", "due": "2025-11-02T06:00:00.000Z",
     }
+
+
+def backup(**changes):
+    """Two known words, one own word, and damaged records in most collections."""
     data = {
-        "db": [{"_id": "core-ja-0001", "lang": "ja", "word": "水", "kana": "みず", "meaning": "old"}],
-        "userWords": [{"_id": "mine-001", "lang": "ja", "word": "猫", "kana": "ねこ", "meaning": "cat"}],
-        "wordOverrides": {"core-ja-0001": {"meaning": "H2O", "lang": "ja"}, "nowhere-001": {"meaning": "x", "lang": "ja"}},
-        "wordStorageVersion": 1, "folders": ["Basics"], "folderLangs": {"Basics": "ja"},
-        "stars": ["core-ja-0001", "mine-001"],
+        "db": [
+            {"_id": "lex-ja-31", "lang": "ja", "word": "橋", "kana": "はし", "meaning": "an older text"},
+            {"_id": "lex-en-07", "lang": "en", "word": "river", "meaning": "older too"},
+        ],
+        "userWords": [{"_id": "own-word-9", "lang": "ja", "word": "蛍", "kana": "ほたる", "meaning": "firefly"}],
+        "wordOverrides": {
+            "lex-ja-31": {"meaning": "a crossing", "lang": "ja"}, "lex-en-07": {"meaning": "wide water", "lang": "en"},
+            "lost-77": {"meaning": "?", "lang": "ja"},
+        },
+        "wordStorageVersion": 3, "folders": ["Nature", "City walks"], "folderLangs": {"Nature": "ja", "City walks": "en"},
+        "stars": ["own-word-9", "lex-en-07", "lex-ja-31"],
         "records": [
-            {"date": "2026-07-23", "type": "daily_punch"}, {"date": "2026-07-23", "type": "pendulum", "group": "Basics"},
-            {"date": "2026-07-23", "type": "daily_punch"}, {"date": "not-a-date", "type": "other"},
+            {"date": "2025-10-20", "type": "pendulum", "group": "Nature"}, {"date": "2025-10-21", "type": "daily_punch"},
+            {"date": "31.10.2025", "type": "sprint"}, {"date": "2025-10-22", "type": "daily_punch"},
         ],
-        "mtGroupClears": {"Basics|all|1": 2.5},
-        "mtWordClears": {"ja:core-ja-0001": {"kanji": True, "kana": True, "meaning": False, "needsReview": True}},
-        "fsrsCards": {"ja:core-ja-0001:meaning": card, "ja:gone:meaning": {**card, "wordId": "gone"}},
-        "fsrsReviewLogs": [log, log, {**log, "key": "ja:gone:meaning", "wordId": "gone"}],
+        "mtGroupClears": {"Nature|all|2": 5.9},
+        "mtWordClears": {"ja:lex-ja-31": {"kanji": False, "kana": True, "meaning": True, "needsReview": False}},
+        "fsrsCards": {"ja:lex-ja-31:reading": card("lex-ja-31"), "ja:lost-77:reading": card("lost-77", reps=1)},
+        "fsrsReviewLogs": [log("lost-77"), log("lex-ja-31"), log("lex-ja-31"), log("lex-ja-31")],
         "wrongBook": {
-            "ja:core-ja-0001": {
-                "wordId": "core-ja-0001", "lang": "ja", "totalWrong": 2, "totalCorrect": 1, "correctStreak": 1, "status": "reinforcing",
-                "dimensions": {"reading": 1, "meaning": 1}, "sourceCounts": {"study": 2},
+            "ja:lost-77": {"wordId": "lost-77", "lang": "ja", "totalWrong": 8},
+            "ja:lex-ja-31": {
+                "wordId": "lex-ja-31", "lang": "ja", "totalWrong": 4, "totalCorrect": 6, "correctStreak": 2, "status": "reinforcing",
+                "dimensions": {"reading": 3, "meaning": 1}, "sourceCounts": {"review": 4},
                 "recentAnswers": [
-                    {"at": "2026-07-23T00:00:00.000Z", "correct": True, "dimension": "meaning"},
-                    {"at": "2026-07-24T00:00:00.000Z", "correct": False, "dimension": "reading"},
+                    {"at": "2025-10-19T12:00:00.000Z", "correct": False, "dimension": "reading"},
+                    {"at": "2025-10-21T12:00:00.000Z", "correct": True, "dimension": "meaning"},
+                    {"at": "2025-10-20T12:00:00.000Z", "correct": False, "dimension": "reading"},
                 ],
-                "lastWrongAt": "2026-07-24T00:00:00.000Z",
+                "lastWrongAt": "2025-10-20T12:00:00.000Z",
             },
-            "ja:gone": {"wordId": "gone", "lang": "ja", "totalWrong": 1},
         },
         "aiConversations": [{
-            "id": "conversation-1", "date": "2026-07-23T09:00:00.000Z", "word": "水", "lang": "ja", "cacheKey": "word:1",
-            "systemPrompt": "p", "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}],
+            "id": "talk-5", "date": "2025-10-18T21:30:00.000Z", "word": "橋", "lang": "ja", "cacheKey": "word:bridge", "systemPrompt": "s",
+            "messages": [{"role": "user", "content": "what?"}, {"role": "assistant", "content": "this"}, {"role": "user", "content": "thanks"}],
         }],
         "aiQuizHistory": [{
-            "id": "quiz-1", "title": "Quiz", "createdAt": "2026-07-23T10:00:00.000Z", "durationMs": 1200, "total": 2, "correct": 1,
-            "answers": [{"questionId": "q1", "word": "水", "lang": "ja", "isCorrect": True, "matchedWordId": "core-ja-0001"}],
+            "id": "round-3", "title": "Evening", "createdAt": "2025-10-18T22:00:00.000Z", "durationMs": 45000, "total": 3, "correct": 2,
+            "answers": [
+                {"questionId": "x1", "word": "橋", "lang": "ja", "isCorrect": True, "matchedWordId": "lex-ja-31"},
+                {"questionId": "x2", "word": "蛍", "lang": "ja", "isCorrect": False, "matchedWordId": "own-word-9"},
+            ],
         }],
-        "recycleBin": [{"id": "trash-1", "kind": "word", "expiresAt": "2026-07-01T00:00:00Z", "payload": {"wordId": "mine-001", "lang": "ja"}}],
+        "recycleBin": [{"id": "bin-2", "kind": "word", "expiresAt": "2025-01-31T00:00:00Z", "payload": {"wordId": "own-word-9", "lang": "ja"}}],
     }
-    preferences = {"theme": "dark", "unknownSetting": {"a": 1}, "nativeStudyReminderSettingsV2": {"enabled": True, "time": "20:15"}}
+    preferences = {"theme": "paper", "experimentFlags": ["x"], "nativeStudyReminderSettingsV2": {"enabled": True, "time": "06:45"}}
     out = {
-        "format": "demo-backup", "backupVersion": 10, "schemaVersion": 8, "exportDate": "2026-07-23T10:00:00.000Z",
+        "format": "sample-backup", "backupVersion": 10, "schemaVersion": 8, "exportDate": "2025-10-25T07:00:00.000Z",
         "data": data, "preferences": preferences,
     }
     out.update(changes)
@@ -97,39 +114,39 @@ def test_every_record_has_exactly_one_outcome(done):
 
 def test_payload_values(done):
     words = {r["target_ref"]: r for r in rows(done.payload["words"])}
-    assert set(words) == {"core-ja-0001", "mine-001"} and words["core-ja-0001"]["meaning"] == "water"
-    assert len(rows(done.payload["overrides"])) == 1 and len(rows(done.payload["favorites"])) == 2
-    assert len(rows(done.payload["folders"])) == 1
-    mastery = rows(done.payload["mastery"])[0]
-    assert (mastery["spelling"], mastery["reading"], mastery["listening"], mastery["needsReview"]) == (True, True, False, True)
+    assert set(words) == {"lex-ja-31", "lex-en-07", "own-word-9"} and words["lex-ja-31"]["meaning"] == "bridge"
+    assert len(rows(done.payload["overrides"])) == 2 and len(rows(done.payload["favorites"])) == 3
+    assert len(rows(done.payload["folders"])) == 2
+    (mastery,) = rows(done.payload["mastery"])
+    assert (mastery["spelling"], mastery["reading"], mastery["needsReview"]) == (False, True, False)
     assert mastery["missing_fields"] == ["listening"]
     study = rows(done.payload["studyRecords"])
-    assert len(study) == 3 and {r["event_type"] for r in study} == {"DAILY_PUNCH", "GROUP_COMPLETED", "UNKNOWN"}
+    assert sorted(r["event_type"] for r in study) == ["DAILY_PUNCH", "DAILY_PUNCH", "GROUP_COMPLETED", "UNKNOWN"]
     assert [r["quality_flags"] for r in study if r["event_type"] == "UNKNOWN"] == [["DATE_INVALID", "UNKNOWN_TYPE"]]
-    group = rows(done.payload["groupProgress"])[0]
-    assert group["completion_count"] == 2 and group["quality_flags"] == ["COUNT_FLOORED"]
+    (group,) = rows(done.payload["groupProgress"])
+    assert group["completion_count"] == 5 and group["quality_flags"] == ["COUNT_FLOORED"]
     assert len(rows(done.payload["fsrsCards"])) == 1 and len(rows(done.payload["fsrsLogs"])) == 1
-    wrong = rows(done.payload["wrongBook"])[0]
-    assert (wrong["total_wrong"], wrong["status"], wrong["dim_reading"]) == (2, "reinforcing", 1)
+    (wrong,) = rows(done.payload["wrongBook"])
+    assert (wrong["total_wrong"], wrong["status"], wrong["dim_reading"]) == (4, "reinforcing", 3)
     answers = sorted(rows(done.payload["wrongBookAnswers"]), key=lambda r: r["position"])
-    assert [a["dimension"] for a in answers] == ["reading", "meaning"]
-    talk = rows(done.payload["aiConversations"])[0]
-    assert [m["role"] for m in talk["messages"]] == ["user", "assistant"] and talk["resolved_word_id"] == "core-ja-0001"
-    quiz = rows(done.payload["aiQuizHistory"])[0]
-    assert (quiz["total"], quiz["correct"], quiz["n_answers"]) == (2, 1, 1)
-    item = rows(done.payload["recycleBin"])[0]
-    assert item["retention_status"] == "expired" and item["resolved_word_id"] == "mine-001"
+    assert [a["dimension"] for a in answers] == ["meaning", "reading", "reading"]
+    (talk,) = rows(done.payload["aiConversations"])
+    assert [m["role"] for m in talk["messages"]] == ["user", "assistant", "user"] and talk["resolved_word_id"] == "lex-ja-31"
+    (quiz,) = rows(done.payload["aiQuizHistory"])
+    assert (quiz["total"], quiz["correct"], quiz["n_answers"]) == (3, 2, 2)
+    (item,) = rows(done.payload["recycleBin"])
+    assert item["retention_status"] == "expired" and item["resolved_word_id"] == "own-word-9"
     assert {r["target_ref"] for r in rows(done.payload["preferences"])} == {"theme", "nativeStudyReminderSettingsV2"}
-    reminder = rows(done.reminders)[0]
-    assert reminder["enabled"] and reminder["reminder_time"] == "20:15" and "TIME_DEFAULTED" in reminder["quality_flags"]
+    (reminder,) = rows(done.reminders)
+    assert reminder["enabled"] and reminder["reminder_time"] == "06:45"
 
 
 def test_quarantine_codes(done):
     got = {r["source_ref"]: r for r in rows(done.dispositions)}
-    assert got['data.wordOverrides["nowhere-001"]']["quarantine_code"] == "OVERRIDE_ORPHAN"
-    assert got['data.fsrsCards["ja:gone:meaning"]']["reason"] == "FSRS_CARD_RELATION_INVALID"
-    assert got["data.fsrsReviewLogs[1]"]["canonical_source_ref"] == "data.fsrsReviewLogs[0]"
-    assert got['preferences["unknownSetting"]']["reason"] == "PREFERENCE_NOT_IN_ALLOWLIST"
+    assert got['data.wordOverrides["lost-77"]']["quarantine_code"] == "OVERRIDE_ORPHAN"
+    assert got['data.fsrsCards["ja:lost-77:reading"]']["reason"] == "FSRS_CARD_RELATION_INVALID"
+    assert {got[f"data.fsrsReviewLogs[{i}]"]["canonical_source_ref"] for i in (2, 3)} == {"data.fsrsReviewLogs[1]"}
+    assert got['preferences["experimentFlags"]']["reason"] == "PREFERENCE_NOT_IN_ALLOWLIST"
     quarantined = [r for r in got.values() if r["outcome"] == "quarantined"]
     assert all(r["archive_ref"].startswith("quarantine-v1:") and r["target_ref"] is None for r in quarantined)
 
@@ -172,6 +189,29 @@ def test_secrets_never_survive(spark):
     assert safe.where("json like '%sk-9%'").count() == 0
 
 
+def test_redaction_changes_nothing_else():
+    kept = ['{"a":"x\\u001Fy"}', '{"a": 1.0E30, "note":"deepseek api key"}', '{"n":1234567890.123456789}', '{"deepseekApiKey":"[REDACTED]","n":1.0E10}']
+    assert [redact.redacted_text(t) for t in kept] == kept
+    assert redact.redacted_text('{"n":1.50, "deepseek_api_key" : {"a":[1]}, "z":"\\u0041"}') == '{"n":1.50, "deepseek_api_key" : "[REDACTED]", "z":"\\u0041"}'
+    assert redact.redacted_text("[" * 300 + '{"deepseekApiKey":1}' + "]" * 300) == "[" * 300 + '{"deepseekApiKey":"[REDACTED]"}' + "]" * 300
+    assert redact.redacted_text('{"a":') is None
+
+
+def test_backups_without_records_keep_their_status(spark):
+    from mnemora.operators import preview
+
+    texts = {"none": json.dumps({"format": "sample-backup", "backupVersion": 10, "schemaVersion": 8, "data": {}}), "some": json.dumps(backup())}
+    headers, safe, _ = migration.read_records(spark.createDataFrame(list(texts.items()), "migration_id string, text string"))
+    classed = preview.classify(safe, F.lit("2026-08-01").cast("timestamp"))
+    heads = headers.select("migration_id", "source_format", (F.col("migration_id") == "some").alias("has_words"), (F.col("migration_id") == "some").alias("has_folders"))
+    merged = preview.merge_issues(preview.issues(classed, heads))
+    got = {r.migration_id: r for r in preview.preview_status(preview.domain_summary(classed), merged, headers).collect()}
+    assert got["none"].status == "blocked" and got["none"].source == 0 and got["some"].source > 0
+    counts = backups.domain_counts(safe, headers).groupBy("migration_id").agg(F.sum("n").alias("n"), F.count("*").alias("domains"))
+    found = {r.migration_id: (r.n, r.domains) for r in counts.collect()}
+    assert found["none"][0] == 0 and found["none"][1] == found["some"][1]
+
+
 def test_fingerprint_ignores_order_and_secret_value(spark):
     def capture(m, secret, flip):
         entries = [(m, "indexed", "words", '{"b":1,"a":2}' if flip else '{"a":2,"b":1}'), (m, "local", "deepseekApiKey", f'"{secret}"')]

@@ -17,11 +17,10 @@ def hot_rows(spark):
     return spark.createDataFrame(rows, "k string, m string, source_ref string, n int")
 
 
-@pytest.mark.parametrize("split_rows", [1, 10**9])
-def test_attach_by_key_equals_a_window(spark, split_rows):
+def test_attach_by_key_equals_a_window(spark):
     rows = hot_rows(spark)
     stats = group_stats(rows, ["k", "m"], "size", total=F.sum("n"))
-    got = attach_by_key(rows, stats, ["k", "m"], "size", ["size", "total"], split_rows=split_rows)
+    got = attach_by_key(rows, stats, ["k", "m"], "size", ["size", "total"])
     w = W.partitionBy("k", "m")
     known = F.col("k").isNotNull()
     want = rows.withColumn("size", F.when(known, F.count("*").over(w))).withColumn("total", F.when(known, F.sum("n").over(w)))
@@ -104,11 +103,13 @@ def test_reference_resolution(spark):
     }
 
 
-def test_exact_corpus_digest_refuses_large_input(spark, monkeypatch):
-    import hashlib
-
-    words = spark.createDataFrame([("b", "ja"), ("a", "ja")], "id string, language string")
-    assert corpus.identity_digest(words).first()[0] == hashlib.sha256(b"ja:a\nja:b").hexdigest()
-    monkeypatch.setattr(corpus, "EXACT_DIGEST_ROWS", 1)
-    with pytest.raises(ValueError):
-        corpus.identity_digest(words)
+def test_different_references_never_share_an_answer(spark):
+    words = spark.createDataFrame([("w1", "ja", "head")], "id string, language string, headword string")
+    asked = [("1", "ja", "w1", "b|c"), ("2", "ja", "w1|b", "c"), ("3", "ja", "", None), ("4", "ja", None, ""), ("5", "ja", None, None), ("6", "ja|w1", "", None)]
+    refs = spark.createDataFrame(asked, "n string, language string, word_id string, headword string")
+    together = {r.n: r.corpus_status for r in corpus.resolve_references(refs, words).collect()}
+    assert together["1"] == "exact" and set(together.values()) == {"exact", "not-found"}
+    alone = {r.n: r.corpus_status for n, *_ in asked for r in corpus.resolve_references(refs.where(F.col("n") == n), words).collect()}
+    assert together == alone
+    cells = spark.createDataFrame([("a", None), ("a", ""), (None, "a"), ("a|", None)], "x string, y string")
+    assert cells.select(hashing.key_digest(F.col("x"), F.col("y"))).distinct().count() == 4
