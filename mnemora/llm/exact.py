@@ -2,7 +2,8 @@
 
 Texts are equal when identical after deleting spaces, tabs and line breaks. One narrow scan counts
 rows by normalised length and prefix hash. Lengths, and within them prefixes, that only one row
-has are settled there. Only rows of the surviving groups are hashed in full and grouped by it.
+has are settled there. Only rows of the surviving groups are hashed in full and grouped by it. Marks of a fixed
+size tell most settled rows at the scan, so whole texts do not move for the decision.
 
 Null texts count as empty and equal one another. Of equal rows the one with the most code points,
 then the smallest doc_id, stays (a null doc_id comes last). Rows repeated with the same doc_id and
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from .frames import LAST_ID, SPACE, durable, prepared, texts
 
 PREFIX = 256
+#: Bits of the marks that settle rows without a join.
+MARKS = 1 << 20
 
 
 def normalised(text: str = "text") -> Column:
@@ -28,11 +31,31 @@ def duplicate_groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     prepared(docs.sparkSession)
     rows = _levels(docs, prefix)
     surviving = _surviving(rows)
-    full = (
-        rows.join(surviving, ["norm_length", "prefix_hash"], "left_semi")
-        .select("doc_id", F.char_length("text").alias("n_chars"), F.sha2("norm", 256).alias("text_sha256"))
+    keys = ["norm_length", "prefix_hash"]
+    # Rows outside the marks are settled and not hashed; the join takes out what the marks let by.
+    full = rows.where(_marked(surviving, *keys)).select(
+        *keys, "doc_id", F.char_length("text").alias("n_chars"), F.sha2("norm", 256).alias("text_sha256")
     )
-    return durable(_winners(full))
+    return durable(_winners(full.join(surviving, keys, "left_semi")))
+
+
+def _marked(table: DataFrame, *keys: str) -> Column:
+    """Whether a row may have its keys in ``table``: never false for one that has.
+
+    ``MARKS`` bits hold the hashes of all keys, whatever their number, so the marks have a fixed
+    size; when they fill up, more rows pass and the exact join that follows has more to do.
+    """
+    place = F.pmod(F.xxhash64(*keys), F.lit(MARKS))
+    words = (
+        table.select(F.shiftright(place, 6).alias("w"), F.pmod(place, F.lit(64)).cast("int").alias("b")).distinct()
+        .groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits")).collect()
+    )
+    held = [0] * (MARKS // 64)
+    for row in words:
+        held[row["w"]] = row["bits"]
+    marks = F.from_json(F.lit(str(held)), "array<bigint>")
+    word = F.get(marks, F.shiftright(place, 6).cast("int"))
+    return F.getbit(word, F.pmod(place, F.lit(64)).cast("int")) == 1
 
 
 def exact_duplicates(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
@@ -59,19 +82,22 @@ def exact_duplicates(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
 
 def without_duplicates(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     """The rows that stay, with all their columns; one of rows repeated as a whole."""
-    groups = duplicate_groups(docs, prefix).select(
-        F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"), F.col("keep_chars").alias("__chars"),
-        F.lit(True).alias("__grouped"),
+    found = duplicate_groups(docs, prefix)
+    groups = found.select(
+        F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"), F.col("keep_chars").alias("__chars"), F.lit(True).alias("__grouped"),
     )
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.withColumn("__sha", F.sha2(F.translate(text, SPACE, ""), 256)).join(groups, "__sha", "left")
-    alone = marked.where(F.col("__grouped").isNull())
+    hashed = docs.withColumn("__sha", F.sha2(F.translate(text, SPACE, ""), 256))
+    maybe = _marked(groups, "__sha")
+    # Only rows that may be in a group move; the others are alone and stay where they are.
+    marked = hashed.where(maybe).join(groups, "__sha", "left")
+    alone = hashed.where(~maybe).drop("__sha").unionByName(marked.where(F.col("__grouped").isNull()).select(*docs.columns))
     first = marked.where(
         F.col("__grouped") & F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")) & (F.char_length(text) == F.col("__chars"))
     )
     order = W.partitionBy("__sha").orderBy(*[F.col(c) for c, kind in docs.dtypes if kind in ("string", "bigint", "int", "double")])
-    one = first.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
-    return alone.unionByName(one).select(*docs.columns)
+    one = first.withColumn("__n", F.row_number().over(order)).where("__n = 1")
+    return alone.select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
 def _levels(docs: DataFrame, prefix: int) -> DataFrame:

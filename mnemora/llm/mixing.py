@@ -103,25 +103,44 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def measured(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """All columns and, added or replaced, ``size``, ``members`` and ``h`` of each row."""
+    return docs.withColumns({
+        "size": word_count(), "members": F.array(F.col("source").cast("string")), "h": F.xxhash64(F.col("doc_id").cast("long"), "text", F.lit(seed)),
+    })
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every row of ``docs`` (doc_id, text, source)."""
+    rows, sizes, wanted, quotas = _quotas(docs, weights, repeats, seed)
+    return select(rows, quotas, repeats).select(
+        "doc_id", "size", _by_source(sizes, "long").alias("source_size"), _by_source(wanted, "double").alias("target"), "taken"
+    )
+
+
+def with_taken(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
+    """All rows and columns of ``docs`` with ``size`` and ``taken``; ``members`` and ``h`` come too."""
+    rows, _, _, quotas = _quotas(docs, weights, repeats, seed)
+    return select(rows, quotas, repeats, wide=measured(docs, seed))
+
+
+def _quotas(docs: DataFrame, weights: tuple[int, ...], repeats: int, seed: int):
     prepared(docs.sparkSession)
-    rows = durable(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), word_count().alias("size"), F.col("source").cast("string").alias("source"),
-        F.array(F.col("source").cast("string")).alias("members"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("h"),
+    rows = durable(measured(docs, seed).select(
+        F.col("doc_id").cast("long").alias("doc_id"), "size", F.col("source").cast("string").alias("source"), "members", "h",
     ))
     sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_PATTERNS + 1).collect()}
     wanted = targets(sizes, weights, repeats)
-    taken = select(rows, {s: round(t) for s, t in wanted.items()}, repeats)
-    return taken.select(
-        "doc_id", "size", _by_source(sizes, "long").alias("source_size"), _by_source(wanted, "double").alias("target"), "taken"
-    )
+    return rows, sizes, wanted, {s: round(t) for s, t in wanted.items()}
 
 
-def select(rows: DataFrame, quotas: dict, repeats: int = REPEATS) -> DataFrame:
-    """``rows`` (size, members, h and more) with ``taken``, so that sources meet their quotas."""
-    marked = rows.withColumn("pattern", F.array_sort(F.array_distinct("members")))
-    found = marked.groupBy("pattern").agg(F.sum("size").alias("n")).limit(MOST_PATTERNS + 1).collect()
+def select(rows: DataFrame, quotas: dict, repeats: int = REPEATS, wide: DataFrame | None = None) -> DataFrame:
+    """``rows`` (size, members, h and more) with ``taken``, so that sources meet their quotas.
+
+    ``wide`` has the same rows with more columns: the choice is made on the narrow ``rows`` and then
+    applied to ``wide`` with small broadcast tables, so whole texts are not shuffled.
+    """
+    found = _patterned(rows).groupBy("pattern").agg(F.sum("size").alias("n")).limit(MOST_PATTERNS + 1).collect()
     if len(found) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
     patterns = {tuple(r["pattern"]): r["n"] for r in found}
@@ -130,37 +149,57 @@ def select(rows: DataFrame, quotas: dict, repeats: int = REPEATS) -> DataFrame:
     for p, n in patterns.items():
         passes = flow[p] // n if n else 0
         plan.append((list(p), int(passes), int(flow[p] - passes * n)))
-    spark = rows.sparkSession
-    wanted = spark.createDataFrame(plan or [([], 0, 0)], "pattern array<string>, passes long, part long").withColumn("__p", F.to_json(F.struct("pattern"))).drop("pattern")
+    made = rows.sparkSession.createDataFrame(plan or [([], 0, 0)], "pattern array<string>, passes long, part long")
     # One row per pattern, at most MOST_PATTERNS: small enough for every machine.
-    planned = marked.withColumn("__p", F.to_json(F.struct("pattern"))).join(F.broadcast(wanted), "__p")
-    coarse, fine = F.pmod("h", F.lit(BINS)), F.pmod(F.floor(F.col("h") / BINS), F.lit(BINS))
-    planned = planned.withColumn("__c", coarse).withColumn("__f", fine)
+    wanted = made.withColumn("__p", F.to_json(F.struct("pattern"))).drop("pattern")
+    planned = _binned(rows, wanted)
     first = _ends(planned, "__c", F.col("part"))
     edge = planned.join(F.broadcast(first), "__p").where(F.col("__c") == F.col("__c_end"))
     second = _ends(edge, "__f", F.col("part") - F.col("__c_before"))
     ends = durable(first.join(second, "__p", "left"))
-    placed = planned.join(F.broadcast(ends), "__p")
-    chosen = placed.withColumn("__in", F.coalesce(
-        (F.col("__c") < F.col("__c_end")) | ((F.col("__c") == F.col("__c_end")) & (F.col("__f") < F.col("__f_end"))), F.lit(False)
-    ))
-    missing = F.col("part") - F.col("__c_before") - F.coalesce("__f_before", F.lit(0))
-    chosen = chosen.withColumn("__missing", missing)
+    chosen, closing = _placed(planned, ends), []
     for _ in range(CLOSING):
-        chosen = _closed(chosen)
+        closing.append(durable(_best(chosen)))
+        chosen = _closed(chosen, closing[-1])
+    out = rows
+    if wide is not None:
+        out, chosen = wide, _placed(_binned(wide, wanted), ends)
+        for best in closing:
+            chosen = _closed(chosen, best)
     taken = F.col("size") * (F.col("passes") + F.col("__in").cast("long"))
-    return chosen.withColumn("taken", taken.cast("long")).select(*rows.columns, "taken")
+    return chosen.withColumn("taken", taken.cast("long")).select(*out.columns, "taken")
+
+
+def _patterned(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("pattern", F.array_sort(F.array_distinct("members")))
+
+
+def _binned(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    planned = _patterned(rows).withColumn("__p", F.to_json(F.struct("pattern"))).join(F.broadcast(wanted), "__p")
+    coarse, fine = F.pmod("h", F.lit(BINS)), F.pmod(F.floor(F.col("h") / BINS), F.lit(BINS))
+    return planned.withColumn("__c", coarse).withColumn("__f", fine)
 
 
-def _closed(chosen: DataFrame) -> DataFrame:
-    """Each pattern also takes the document that leaves the least missing."""
+def _placed(planned: DataFrame, ends: DataFrame) -> DataFrame:
+    """Whether a row comes before the end of its pattern's choice, and what that leaves missing."""
+    before = (F.col("__c") < F.col("__c_end")) | ((F.col("__c") == F.col("__c_end")) & (F.col("__f") < F.col("__f_end")))
+    missing = F.col("part") - F.col("__c_before") - F.coalesce("__f_before", F.lit(0))
+    placed = planned.join(F.broadcast(ends), "__p")  # one row per pattern at most
+    return placed.withColumn("__in", F.coalesce(before, F.lit(False))).withColumn("__missing", missing)
+
+
+def _best(chosen: DataFrame) -> DataFrame:
+    """Of each pattern the document that would leave the least missing."""
     off = F.abs(F.col("__missing") - F.col("size"))
-    best = (
+    return (
         chosen.where(~F.col("__in") & (F.col("size") > 0) & (off < F.col("__missing")))
         .groupBy("__p").agg(F.min(F.struct(off.alias("off"), F.col("h").alias("h"), F.col("size").alias("size"))).alias("best"))
         .select("__p", F.col("best.h").alias("__h"), F.col("best.size").alias("__size"))
     )
-    done = chosen.join(F.broadcast(durable(best)), "__p", "left")  # one row per pattern at most
+
+
+def _closed(chosen: DataFrame, best: DataFrame) -> DataFrame:
+    done = chosen.join(F.broadcast(best), "__p", "left")  # one row per pattern at most
     last = F.coalesce((F.col("h") == F.col("__h")) & (F.col("size") == F.col("__size")), F.lit(False))
     return (
         done.withColumn("__in", F.col("__in") | last)
