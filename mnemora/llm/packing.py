@@ -59,7 +59,7 @@ def _rests(rows: DataFrame, path: str, window: int, end_id: int) -> DataFrame:
         table = _signatures(encode.library.get_vocab_size())
         for batch in batches:
             tokens, crcs, rests, near = [], [], [], []
-            for packed_ids in encode.ids(batch.column("text").to_pylist()):
+            for packed_ids in encode.ids(batch.column("text")):
                 ids = np.frombuffer(packed_ids + end, dtype=encode.dtype)
                 whole = len(ids) // window
                 wide = ids.astype("<u4")

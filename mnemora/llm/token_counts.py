@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from .encoding import encoder
@@ -75,10 +76,10 @@ def _whole(rows: DataFrame, path: str) -> DataFrame:
         encode = encoder(path)
         width = encode.dtype.itemsize
         for batch in batches:
-            values = batch.column("text").to_pylist()
+            values = batch.column("text")
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"),
-                pa.array([len(t.encode()) for t in values], pa.int64()),
+                pc.binary_length(values).cast(pa.int64()),
                 pa.array([len(ids) // width for ids in encode.ids(values)], pa.int64()),
             ], names=["doc_id", "n_bytes", "n_tokens"])
 
