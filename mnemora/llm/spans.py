@@ -28,7 +28,10 @@ from .frames import LAST_ID, durable, small_batches, text_key, texts, whole_grou
 #: Distinct blocks that a task remembers to settle repeats early; forgetting them only costs rows.
 REMEMBERED = 200_000
 
-_FOUND = "h long, at long, key long, start int, n int, route long"
+#: A block's first window and number of windows in one integer, in the order of the first window.
+_SHIFT = 24
+_FOUND = "h long, at long, key long, spot long, route long"
+_SHARED = "at long, key long, spot long, h long"
 _BLOCKS = "h long, at long, key long, start int, n int, block binary, settled boolean"
 
 #: (hash, first window, number of windows) of each block of a document, in order
@@ -94,9 +97,8 @@ def shared_blocks(rows: DataFrame, cut: Cut, take: Callable[[bytes, int, int], b
             known = _seen_twice(h, seen)
             spread = mixed_hash(d.view(np.uint64) + start.astype(np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays([
-                pa.array(h, mask=~known), pa.array(d), pa.array(k), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)),
-                pa.array(np.where(known, spread, h)),
-            ], names=["h", "at", "key", "start", "n", "route"])
+                pa.array(h, mask=~known), pa.array(d), pa.array(k), pa.array(start << _SHIFT | n), pa.array(np.where(known, spread, h)),
+            ], names=["h", "at", "key", "spot", "route"])
 
     found = rows.select("at", "key", "text").mapInArrow(find, _FOUND)
 
@@ -105,22 +107,25 @@ def shared_blocks(rows: DataFrame, cut: Cut, take: Callable[[bytes, int, int], b
             known, sizes = table.column("h").is_valid(), np.diff(starts)
             shared = np.repeat(sizes > 1, sizes) | known.to_numpy()
             h = pc.if_else(known, table.column("h"), table.column("route"))
-            yield from table.select(["at", "key", "start", "n"]).append_column("h", h).filter(pa.array(shared)).to_batches()
+            yield from table.select(["at", "key", "spot"]).append_column("h", h).filter(pa.array(shared)).to_batches()
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
-    shared = found.repartition("route").sortWithinPartitions("route").mapInArrow(keep, "at long, key long, start int, n int, h long")
+    shared = found.repartition("route").sortWithinPartitions("route").mapInArrow(keep, _SHARED)
     # As many entries as the document has blocks.
-    lists = durable(shared).groupBy("at", "key").agg(F.sort_array(F.collect_list(F.struct("start", "n", "h"))).alias("blocks"))
+    lists = durable(shared).groupBy("at", "key").agg(F.sort_array(F.collect_list(F.struct("spot", "h"))).alias("blocks"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: dict[tuple[int, bytes], tuple] = {}
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
-            for at, key, text, blocks in zip(*(batch.column(c).to_pylist() for c in ("at", "key", "text", "blocks"))):
+            lists = batch.column("blocks")
+            spots, hashes = (lists.flatten().field(c).to_numpy().tolist() for c in (0, 1))
+            ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+            for at, key, text, begin, end in zip(*(batch.column(c).to_pylist() for c in ("at", "key", "text")), ends, ends[1:]):
                 data, last = text.encode(), None
                 cutter = take(data)
-                for b in blocks:
-                    start, n, h = b["start"], b["n"], b["h"]
+                for spot, h in zip(spots[begin:end], hashes[begin:end]):
+                    start, n = spot >> _SHIFT, spot & (1 << _SHIFT) - 1
                     if start == last:  # a row repeated as a whole
                         continue
                     last, place = start, (at, key, start)
@@ -174,7 +179,7 @@ def solved(blocks: DataFrame, solve: Solve, most: int = 4_000) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, ["h"]):
             at, key, start, n = (table.column(c).to_numpy() for c in ("at", "key", "start", "n"))
-            text = table.column("block").to_pylist()
+            text = table.column("block").to_numpy().tolist()
             out: list[tuple] = []
             jobs: list[Group] = []
             for g in np.flatnonzero(np.diff(starts) > 1).tolist():
