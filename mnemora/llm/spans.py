@@ -112,7 +112,7 @@ def shared_blocks(rows: DataFrame, cut: Cut, take: Callable[[bytes, int, int], b
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     shared = found.repartition("route").sortWithinPartitions("route").mapInArrow(keep, _SHARED)
     # As many entries as the document has blocks.
-    lists = durable(shared).groupBy("at", "key").agg(F.sort_array(F.collect_list(F.struct("spot", "h"))).alias("blocks"))
+    lists = durable(shared, "zstd").groupBy("at", "key").agg(F.sort_array(F.collect_list(F.struct("spot", "h"))).alias("blocks"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: dict[tuple[int, bytes], tuple] = {}
@@ -132,8 +132,8 @@ def shared_blocks(rows: DataFrame, cut: Cut, take: Callable[[bytes, int, int], b
                     block = cutter(start, n)
                     before = first.setdefault((h, block), place)
                     settled = before < place
-                    if settled:
-                        block = b""
+                    if settled:  # nobody looks it up again
+                        h, block = 0, b""
                     elif len(first) > REMEMBERED:
                         first.clear()
                     for column, value in zip(out, (h, at, key, start, n, block, settled)):
@@ -144,7 +144,9 @@ def shared_blocks(rows: DataFrame, cut: Cut, take: Callable[[bytes, int, int], b
             )
 
     small_batches(spark, 256)
-    return durable(rows.select("at", "key", "text").join(lists, ["at", "key"]).sortWithinPartitions("at", "key").mapInArrow(extract, _BLOCKS))
+    return durable(
+        rows.select("at", "key", "text").join(lists, ["at", "key"]).sortWithinPartitions("at", "key").mapInArrow(extract, _BLOCKS), "zstd"
+    )
 
 
 def _seen_twice(h: np.ndarray, seen: dict[int, int]) -> np.ndarray:
