@@ -33,19 +33,25 @@ BLOCKS = (11, 11, 11, 11, 10, 10)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str, shingle: int) -> int:
-    """Majority bits of the XXH64 of all word shingles; 0 when there is no word."""
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words, or of all words where there are fewer."""
     words = text.encode().translate(_LOWER).split()
     n = len(words) - shingle + 1
-    if not words:
-        return 0
-    if n <= 1:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
     joined = b" ".join(words)
+    if n <= 1:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)] if words else [], dtype=np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.append(0, ends[:-1] + 1)[:n].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :].tolist())), dtype="<u8", count=n)
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :].tolist())), dtype="<u8", count=n)
+
+
+def fingerprint(text: str, shingle: int) -> int:
+    """Majority bits of the XXH64 of all word shingles; 0 when there is no word."""
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
+    if n <= 1:
+        return int(hashes[0]) if n else 0
     votes = np.zeros(64, dtype=np.int64)
     for at in range(0, n, 1 << 16):
         votes += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
