@@ -15,7 +15,6 @@ from ..functions.legacy import parse_instant
 from .redact import redact, secret_presence
 
 # Limits and the backup layout (key, domain, JSON shape of a container).
-MAX_SOURCE_TEXT = 30 * 1024 * 1024
 DOMAIN_ORDER = [
     "words", "overrides", "folders", "favorites", "studyRecords", "mastery", "groupProgress",
     "fsrsCards", "fsrsLogs", "wrongBook", "aiConversations", "aiQuizHistory", "recycleBin",
@@ -78,8 +77,11 @@ def read_backup_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def parse_backups(backups: DataFrame, modern_format: str = MODERN_FORMAT) -> DataFrame:
-    """Header of each backup: parsed root, format, versions, export date, or an error code."""
+def parse_backups(backups: DataFrame, modern_format: str = MODERN_FORMAT, max_text: int | None = None) -> DataFrame:
+    """Header of each backup: parsed root, format, versions, export date, or an error code.
+
+    Texts of more than ``max_text`` characters are refused as FILE_TOO_LARGE; by default none is.
+    """
     parsed = backups.withColumn("root", F.try_parse_json("text"))
     root = F.col("root")
     is_modern = F.coalesce(text_of(field(root, "format")).rlike(modern_format), F.lit(False))
@@ -91,7 +93,7 @@ def parse_backups(backups: DataFrame, modern_format: str = MODERN_FORMAT) -> Dat
     )
     error = (
         F.when(F.trim("text") == "", "EMPTY_SOURCE")
-        .when(F.length("text") > MAX_SOURCE_TEXT, "FILE_TOO_LARGE")
+        .when(F.lit(False) if max_text is None else F.length("text") > max_text, "FILE_TOO_LARGE")
         .when(root.isNull(), "INVALID_JSON")
         .when(fmt.isNull(), "UNKNOWN_FORMAT")
     )
