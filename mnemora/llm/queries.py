@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    archives, bwt_merge, exact, langid, lempel_ziv, mixing, packing, simhash_bk, token_counts, votes,
+    alignment, archives, bwt_merge, exact, langid, lempel_ziv, mixing, negatives, packing, simhash_bk, token_counts, token_files,
+    votes,
 )
 from .frames import tokenizer_path
 
 WORD_TOKENS = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
+BYTE_TOKENS = "byte_bpe_50k.json"
 LIMIT = 2048
 
 
@@ -68,6 +70,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENS))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENS), end_id=2)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), moved, F.col("vec_id") % 100 == 0)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENS), tokenizer_path(PIECES))
+
+
 def hex16(bits: str):
     return F.lower(F.lpad(F.hex(bits), 16, "0"))
 
@@ -101,8 +116,34 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM firsts
 """
 
+#: Components become whole numbers, so their products are exact in doubles.
+_NEGATIVES_SQL = """
+WITH usable AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+    FROM usable a JOIN usable b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+    SELECT anchor_id, other_id AS positive_id, score AS positive_score
+    FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+       (row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.other_id))::INTEGER AS rank,
+       n.other_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n
+  ON n.anchor_id = p.anchor_id AND NOT n.same
+ AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.other_id) <= 10
+"""
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_zip_archives, op3_mixture, op4_language, op5_near_duplicates, op6_exact_duplicates,
     op7_repeated_bytes, op8_repeated_words, op9_fingerprints, op10_packing,
+    op11_token_files, op12_hard_negatives, op13_alignment,
 )}
-ORACLES = {"op2_zip_archives": _REVISIT_SQL, "op6_exact_duplicates": _EXACT_SQL}
+ORACLES = {"op2_zip_archives": _REVISIT_SQL, "op6_exact_duplicates": _EXACT_SQL, "op12_hard_negatives": _NEGATIVES_SQL}
