@@ -265,6 +265,35 @@ def review_states(spark, sf):
     )
 
 
+# A ladder of fixed steps: each right answer in a row goes one step up, a wrong one goes back to the first.
+LADDER = [1, 3, 7, 14, 30]
+
+
+def ladder_step(state, micros, event_id, good):
+    streak, reps, lapses = state or (0, 0, 0)
+    return (streak + 1 if good else 0, reps + 1, lapses + (not good))
+
+
+def ladder_review(state):
+    streak, reps, lapses = state
+    return review.Review(LADDER[min(streak, len(LADDER) - 1)], float(streak), 0.0, 0, reps, lapses)
+
+
+@query("review_states_custom", f"""WITH {EVENTS_SQL},
+asked AS (SELECT *, event_type = 'answerCorrect' AS good, row_number() OVER w AS rn FROM ev
+  WHERE event_type IN ('answerCorrect', 'answerIncorrect') AND item_id IS NOT NULL WINDOW w AS (PARTITION BY user_id, item_id ORDER BY ts, id)),
+per AS (SELECT user_id, item_id, count(*) AS reps, count(*) FILTER (WHERE NOT good) AS lapses, max(ts) AS ts, arg_max(id, rn) AS last_event_id,
+  count(*) - coalesce(max(rn) FILTER (WHERE NOT good), 0) AS streak FROM asked GROUP BY user_id, item_id),
+days AS (SELECT *, CAST({LADDER} AS BIGINT[])[least(streak, {len(LADDER) - 1}) + 1] AS scheduled_days FROM per)
+SELECT user_id, item_id, reps, lapses, scheduled_days, last_event_id, strftime(ts + to_days(CAST(scheduled_days AS INTEGER)), '%Y-%m-%d %H:%M:%S.%f') AS due FROM days""")
+def review_states_custom(spark, sf):
+    """The replay with a scheduler of the caller's own."""
+    states = review.replay_review_states(b.events(spark, sf), review.Scheduler(ladder_step, ladder_review))
+    return states.select(
+        "user_id", "item_id", *[F.col(c).cast("bigint").alias(c) for c in ("reps", "lapses", "scheduled_days")], "last_event_id", stamp("due"),
+    )
+
+
 @query("replay_summary", f"""WITH {EVENTS_SQL}
 SELECT user_id, item_id, count(*) AS reps, arg_max(id, (ts, id)) AS last_event_id,
   strftime(max(ts), {SQL_TS}) AS last_review FROM ev

@@ -5,20 +5,20 @@ between UTC calendar dates, correct means Good, incorrect means Again, no fuzz.
 of our own where the papers leave room: numbers are rounded to 8 digits at each step, and a
 first answer never counts as a lapse.
 
-The fold is a JVM-side higher-order ``aggregate`` over the sorted events of one (user, item).
-It is sequential by nature, so a very long history is cut into ordered chunks; the state of
-one chunk seeds the next and no task ever holds more than one chunk of a history.
+A history is folded in order, one event after the other, with its state carried from batch to batch
+(``fold_by_key``): memory does not grow with a history. A scheduler is a step in Python; the model's own
+is ``FSRS``. ``schedule_event`` is the same step as a column, for folds over short arrays.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import durable
-from ..skew import ordinal
+from ..fold import fold_by_key
 from .projection import judged_events
 
 # The 21 published FSRS-6 default weights, retention and interval bounds.
@@ -29,7 +29,7 @@ WEIGHTS = [
 RETENTION = 0.9
 MIN_STABILITY, MAX_STABILITY = 0.001, 36500.0
 MAX_INTERVAL = 36500
-MAX_FOLD_EVENTS = 100_000
+DAY_MICROS = 86_400_000_000
 
 STATE_TYPE = (
     "struct<s:double,d:double,s0:double,d0:double,r:double,elapsed:int,reps:int,lapses:int,"
@@ -155,92 +155,144 @@ def fold_events(events: Column, seed: Column | None = None, scheduler=schedule_e
     return F.aggregate(events, start, lambda state, event: scheduler(state, event))
 
 
-def _review_events(events: DataFrame) -> DataFrame:
+# --- the step in Python ---------------------------------------------------------------------
+
+
+class Review(NamedTuple):
+    """What a scheduler says of a card after its last event."""
+
+    scheduled_days: int
+    stability: float
+    difficulty: float
+    elapsed_days: int
+    reps: int
+    lapses: int
+    learning_steps: int = 0
+    card_state: int = 2
+
+
+class Scheduler(NamedTuple):
+    """``step(state, micros, event_id, good)`` gives the next state, from None on; ``review(state)`` what it means.
+
+    A state is any value that can be pickled; its meaning is the scheduler's own.
+    """
+
+    step: Callable[[Any, int, str, bool], Any]
+    review: Callable[[Any], Review]
+
+
+class Memory(NamedTuple):
+    """State of the model: ``s0, d0, r`` are those before the last event, None after a first one."""
+
+    s: float
+    d: float
+    s0: float | None
+    d0: float | None
+    r: float | None
+    elapsed: int
+    reps: int
+    lapses: int
+    micros: int
+    event_id: str
+    good: bool
+
+
+def _p8(x: float) -> float:
+    return math.floor(x * 1e8 + 0.5) / 1e8
+
+
+def _recalled(s: float, d: float, r: float, w: list[float] = WEIGHTS, factor: float = 1.0) -> float:
+    gain = math.exp(w[8]) * (11 - d) * s ** -w[9] * (math.exp((1 - r) * w[10]) - 1) * factor
+    return _p8(min(max(s * (1 + gain), MIN_STABILITY), MAX_STABILITY))
+
+
+def _forgotten(s: float, d: float, r: float, w: list[float] = WEIGHTS) -> float:
+    value = w[11] * d ** -w[12] * ((s + 1) ** w[13] - 1) * math.exp((1 - r) * w[14])
+    return min(max(s, MIN_STABILITY), _p8(min(max(value, MIN_STABILITY), MAX_STABILITY)))
+
+
+def advance(state: Memory | None, micros: int, event_id: str, good: bool, w: list[float] = WEIGHTS) -> Memory:
+    """The state after one event; the column ``schedule_event`` is its twin."""
+    if state is None:
+        d = min(max(_first_difficulty(3 if good else 1, w), 1.0), 10.0)
+        return Memory(w[2] if good else w[0], d, None, None, None, 0, 1, 0, micros, event_id, good)
+    s, d, _, _, _, _, reps, lapses, last, _, _ = state
+    days = max(micros // DAY_MICROS - last // DAY_MICROS, 0)
+    r = _p8((1 + _factor(w) * days / s) ** -w[20])
+    moved = d + _p8(-w[6] * ((3 if good else 1) - 3) * (10 - d) / 9)
+    new_d = min(max(_p8(w[7] * _first_difficulty(4, w) + (1 - w[7]) * moved), 1.0), 10.0)
+    new_s = _recalled(s, d, r, w) if good else _forgotten(s, d, r, w)
+    return Memory(new_s, new_d, s, d, r, days, reps + 1, lapses + (0 if good else 1), micros, event_id, good)
+
+
+def interval(state: Memory, w: list[float] = WEIGHTS) -> int:
+    """Days until the next review; the column ``scheduled_days`` is its twin."""
+
+    def raw(x: float) -> int:
+        return int(min(max(math.floor(x + 0.5), 1), MAX_INTERVAL))
+
+    if state.s0 is None:
+        again, hard, good = raw(w[0]), raw(w[1]), raw(w[2])
+    else:
+        s0, d0, r = state.s0, state.d0, state.r
+        again, good = raw(_forgotten(s0, d0, r, w)), raw(_recalled(s0, d0, r, w))
+        hard = raw(_recalled(s0, d0, r, w, w[15]))
+    again = min(again, hard)
+    hard = max(hard, again + 1)
+    return max(good, hard + 1) if state.good else again
+
+
+def _review(state: Memory) -> Review:
+    return Review(interval(state), state.s, state.d, state.elapsed, state.reps, state.lapses)
+
+
+FSRS = Scheduler(advance, _review)
+_REVIEWED = (
+    "scheduled_days int, stability double, difficulty double, elapsed_days int, reps int, lapses int, "
+    "learning_steps int, card_state int, last_micros bigint, last_event_id string"
+)
+
+
+def review_events(events: DataFrame) -> DataFrame:
+    """``user_id, item_id, micros, id, good`` of the judged events."""
     return judged_events(events).select(
-        "user_id", "item_id", F.col("timestamp").alias("ts"), "id",
+        "user_id", "item_id", F.unix_micros("timestamp").alias("micros"), "id",
         (F.col("event_type") == "answerCorrect").alias("good"),
     )
 
 
-def _sorted_events() -> Column:
-    return F.array_sort(F.collect_list(F.struct("ts", "id", "good")))
-
-
-def _finish(states: DataFrame) -> DataFrame:
-    st = F.col("state")
-    ready = states.withColumn("scheduled_days", scheduled_days(st))
-    return ready.select(
-        "user_id", "item_id",
-        F.timestamp_micros(
-            F.unix_micros(st["last_review"]) + F.col("scheduled_days") * F.lit(86_400_000_000)
-        ).alias("due"),
-        st["s"].alias("stability"),
-        st["d"].alias("difficulty"),
-        st["elapsed"].alias("elapsed_days"),
-        "scheduled_days",
-        F.lit(0).alias("learning_steps"),
-        st["reps"].alias("reps"),
-        st["lapses"].alias("lapses"),
-        F.lit(2).alias("card_state"),
-        st["last_review"].alias("last_review"),
-        st["last_event_id"].alias("last_event_id"),
-    )
+def replay_review_states(events: DataFrame, scheduler: Scheduler = FSRS) -> DataFrame:
+    """Review state per (user, item) after replaying its judged events in (time, id) order."""
+    take, told = scheduler.step, scheduler.review
 
+    def step(state: tuple | None, event: tuple) -> tuple:
+        micros, event_id, good = event
+        return take(state[0] if state else None, micros, event_id, good), micros, event_id
 
-def replay_review_states(
-    events: DataFrame, max_fold_events: int = MAX_FOLD_EVENTS, scheduler=schedule_event
-) -> DataFrame:
-    """Review state per (user, item) after replaying its judged events in (time, id) order."""
-    rows = _review_events(events)
-    keys = ["user_id", "item_id"]
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    longest = sizes.agg(F.max("n")).first()[0] or 0
-    if longest <= max_fold_events:
-        folded = rows.groupBy(*keys).agg(fold_events(_sorted_events(), None, scheduler).alias("state"))
-        return _finish(folded)
-    long = sizes.where(F.col("n") > max_fold_events).select(*keys)
-    short_rows = rows.join(long, keys, "left_anti")
-    short = short_rows.groupBy(*keys).agg(
-        fold_events(_sorted_events(), None, scheduler).alias("state")
+    def finish(state: tuple) -> tuple:
+        return (*told(state[0]), state[1], state[2])
+
+    folded = fold_by_key(
+        review_events(events), ["user_id", "item_id"], ["micros", "id"], ["micros", "id", "good"], _REVIEWED, step, finish
+    )
+    due = F.col("last_micros") + F.col("scheduled_days") * F.lit(DAY_MICROS)
+    return folded.select(
+        "user_id", "item_id", F.timestamp_micros(due).alias("due"), "stability", "difficulty", "elapsed_days",
+        "scheduled_days", "learning_steps", "reps", "lapses", "card_state",
+        F.timestamp_micros("last_micros").alias("last_review"), "last_event_id",
     )
-    return _finish(short.unionByName(_replay_long(rows.join(long, keys, "left_semi"),
-                                                  longest, max_fold_events, scheduler)))
-
-
-def _replay_long(rows: DataFrame, longest: int, chunk: int, scheduler) -> DataFrame:
-    """Long histories: fold chunk by chunk, one round per chunk, for all histories at once."""
-    keys = ["user_id", "item_id"]
-    numbered = ordinal(rows, keys, ["ts", "id"])
-    chunked = durable(numbered.withColumn("chunk", F.floor(F.col("ordinal") / chunk).cast("int")))
-    state = None
-    for step in range((longest - 1) // chunk + 1):
-        part = chunked.where(F.col("chunk") == step).groupBy(*keys).agg(
-            _sorted_events().alias("events")
-        )
-        if state is None:
-            state = part.select(*keys, fold_events(F.col("events"), None, scheduler).alias("state"))
-        else:
-            both = state.join(part, keys, "left")
-            state = both.select(
-                *keys,
-                F.when(F.col("events").isNull(), F.col("state"))
-                .otherwise(fold_events(F.col("events"), F.col("state"), scheduler))
-                .alias("state"),
-            )
-        state = durable(state)
-    return state
 
 
 def replay_summary(events: DataFrame) -> DataFrame:
     """The parts of the replay that need no ordering: reviews, last event, last review."""
-    moment = F.struct("ts", "id")
+    moment = F.struct("micros", "id")
     return (
-        _review_events(events)
+        review_events(events)
         .groupBy("user_id", "item_id")
         .agg(
             F.count(F.lit(1)).alias("reps"),
             F.max_by("id", moment).alias("last_event_id"),
-            F.max("ts").alias("last_review"),
+            F.timestamp_micros(F.max("micros")).alias("last_review"),
         )
     )
 

@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemora.operators import judging, projection, review
-from mnemora.streaming import jobs
 
 EVENT_SCHEMA = (
     "id string, timestamp timestamp, session_id string, user_id string, item_id string, question_id string, "
@@ -65,7 +64,7 @@ def test_again_is_due_before_good(spark):
     assert due["word-2"] < due["word-1"]
 
 
-def test_replay_matches_a_plain_fold_also_in_chunks(spark):
+def test_the_step_as_a_column_and_in_python_are_twins(spark):
     random.seed(3)
     rows = []
     for i in range(400):
@@ -74,19 +73,16 @@ def test_replay_matches_a_plain_fold_also_in_chunks(spark):
         at = datetime(2026, 1, 1) + timedelta(hours=random.randint(0, 4000))
         rows.append((f"e{i:04d}", at, "s", "u1", item, "q", kind, (["a"], ["a"], 1, None, None, None, None)))
     events = spark.createDataFrame(rows, EVENT_SCHEMA)
-    expected = {}
-    for r in sorted(rows, key=lambda r: (r[1], r[0])):
-        micros = int((r[1] - datetime(1970, 1, 1)).total_seconds() * 1_000_000)
-        expected[r[4]] = jobs.advance(expected.get(r[4]), micros, r[0], r[6] == "answerCorrect")
-    for limit in (100_000, 25):
-        got = {r.item_id: r for r in review.replay_review_states(events, limit).collect()}
-        assert set(got) == set(expected)
-        for item, state in expected.items():
-            assert got[item].reps == state[6] and got[item].lapses == state[7]
-            assert got[item].last_event_id == state[9]
-            assert got[item].stability == pytest.approx(state[0], abs=1e-6)
-            assert got[item].difficulty == pytest.approx(state[1], abs=1e-6)
-            assert got[item].scheduled_days == jobs.interval(state)
+    sorted_events = F.array_sort(F.collect_list(F.struct(F.col("timestamp").alias("ts"), "id", (F.col("event_type") == "answerCorrect").alias("good"))))
+    column = events.groupBy("item_id").agg(review.fold_events(sorted_events).alias("s")).withColumn("days", review.scheduled_days(F.col("s")))
+    expected = {r.item_id: r for r in column.collect()}
+    got = {r.item_id: r for r in review.replay_review_states(events).collect()}
+    assert set(got) == set(expected) and len(got) == 3
+    for item, e in expected.items():
+        g = got[item]
+        assert (g.reps, g.lapses, g.last_event_id, g.scheduled_days, g.elapsed_days) == (e.s.reps, e.s.lapses, e.s.last_event_id, e.days, e.s.elapsed)
+        assert g.stability == pytest.approx(e.s.s, abs=1e-6) and g.difficulty == pytest.approx(e.s.d, abs=1e-6)
+        assert g.due == g.last_review + timedelta(days=e.days)
 
 
 def test_judge_normalizes_text_and_compares_choices_as_sets(spark):
