@@ -6,7 +6,7 @@ import importlib
 
 from . import base
 
-MODULES = ["learning", "corpus", "plans", "answers", "identity", "domains", "migration", "streams"]
+MODULES = ["learning", "corpus", "plans", "answers", "identity", "domains", "migration", "datasets", "streams"]
 
 
 def _load() -> None:
