@@ -172,24 +172,99 @@ SET_DIGEST = "sha256(" + " || '|' || ".join(
 ) + ")"
 
 
-@query("corpus_digests", f"""{W},
-ids AS (SELECT language, sha256(language || '|' || id) AS h FROM words),
-bodies AS (SELECT language, sha256(language || '|' || id || '|' || headword || '|' || coalesce(reading, '')
-  || '|' || coalesce(phonetic, '') || '|' || part_of_speech || '|' || meaning || '|' || level || '|'
-  || CAST(difficulty AS VARCHAR) || '|' || array_to_string(tags, ',')) AS h FROM words),
-a AS (SELECT language, count(*) AS words, {SET_DIGEST} AS ids_digest FROM ids GROUP BY language),
-c AS (SELECT language, {SET_DIGEST} AS content_digest FROM bodies GROUP BY language)
-SELECT language, words, ids_digest, content_digest FROM a JOIN c USING (language)""")
+def _tree_sql(source, group):
+    """The tree of hashes over the leaves ``h`` of a named query, as the text of further ones."""
+    g = "".join(f"{c}, " for c in group)
+    return f"""{source}_r AS (SELECT {g}substr(h, 1, 5) AS a, sha256(string_agg(h || ':' || n, chr(10) ORDER BY h)) AS h
+  FROM (SELECT {g}h, CAST(count(*) AS VARCHAR) AS n FROM {source} GROUP BY {g}h) GROUP BY {g}a),
+{source}_p AS (SELECT {g}substr(a, 1, 2) AS t, sha256(string_agg(a || ':' || h, chr(10) ORDER BY a)) AS h FROM {source}_r GROUP BY {g}t),
+{source}_d AS (SELECT {g}sha256(string_agg(t || ':' || h, chr(10) ORDER BY t)) AS digest FROM {source}_p GROUP BY ALL)"""
+
+
+_BODY = "'language', language, 'id', id, 'headword', headword, 'reading', reading, 'phonetic', phonetic, 'part_of_speech', part_of_speech, 'meaning', meaning, 'level', level, 'difficulty', difficulty"
+_LEAF = "json_object(" + ", ".join(
+    f"'p{i}', {c}" for i, c in enumerate(["language", "id", "headword", "reading", "phonetic", "part_of_speech", "meaning", "level", "CAST(difficulty AS VARCHAR)", "CAST(to_json(tags) AS VARCHAR)"])
+) + ")"
+
+
+def _leaves_sql(name, rows):
+    return f"""{name}_ids AS (SELECT language, sha256(CAST(json_object('p0', language, 'p1', id) AS VARCHAR)) AS h FROM {rows}),
+{name}_all AS (SELECT language, sha256(CAST({_LEAF} AS VARCHAR)) AS h FROM {rows})"""
+
+
+@query("corpus_digests", f"""{W}, {_leaves_sql("w", "words")}, {_tree_sql("w_ids", ["language"])}, {_tree_sql("w_all", ["language"])},
+n AS (SELECT language, count(*) AS words FROM words GROUP BY language)
+SELECT language, words, i.digest AS ids_digest, c.digest AS content_digest FROM n JOIN w_ids_d i USING (language) JOIN w_all_d c USING (language)""")
 def corpus_digests(spark, sf):
     return corpus.corpus_digests(b.words(spark, sf))
 
 
-@query("corpus_integrity", f"""{W}, {MANIFEST_SQL}
-SELECT id, CAST(total AS BIGINT) AS expected_total, CAST(total AS BIGINT) AS actual_total,
-  n_nationkey % 3 <> 1 AND second = 'en' AS languages_match, CAST(0 AS BIGINT) AS duplicates,
-  n_nationkey % 3 <> 1 AND second = 'en' AS valid FROM manifests""")
+def stated_digests(words):
+    """Both forms in one row."""
+    trees = corpus.whole_digests(words)
+    return corpus.manifest_digests(words).select("*", *[trees.select(c).scalar().alias(c) for c in trees.columns])
+
+
+def _variant(words, kind):
+    """The corpus with one word that differs."""
+    first = F.col("id") == "w-000014"
+    if kind == "renamed":
+        return words.withColumn("id", F.when(first, "w-x").otherwise(F.col("id")))
+    if kind == "changed":
+        return words.withColumn("meaning", F.when(first, F.concat("meaning", F.lit("."))).otherwise(F.col("meaning")))
+    if kind == "emptied":  # an empty text in place of a missing one
+        return words.withColumn("phonetic", F.when(first, "").otherwise(F.col("phonetic")))
+    return words
+
+
+_VARIANTS = {
+    "same": "SELECT * FROM words", "renamed": "SELECT * REPLACE (CASE WHEN id = 'w-000014' THEN 'w-x' ELSE id END AS id) FROM words",
+    "changed": "SELECT * REPLACE (CASE WHEN id = 'w-000014' THEN meaning || '.' ELSE meaning END AS meaning) FROM words",
+    "emptied": "SELECT * REPLACE (CASE WHEN id = 'w-000014' THEN '' ELSE phonetic END AS phonetic) FROM words",
+}
+_KINDS = ["same", "renamed", "changed", "emptied", "counts", "target", "tree"]
+
+
+def integrity_manifests(spark, sf):
+    """One manifest per nation: some state the digests of another corpus, wrong counts or a target that is missed."""
+    words = b.words(spark, sf)
+    n, k = table(spark, sf, "nation"), F.col("n_nationkey")
+    kind = F.element_at(F.array(*[F.lit(x) for x in _KINDS]), (k % len(_KINDS) + 1).cast("int"))
+    forms = None
+    for name in _VARIANTS:
+        one = stated_digests(_variant(words, name)).withColumn("form", F.lit(name))
+        forms = one if forms is None else forms.unionByName(one)
+    counts = words.agg(F.count_if(F.col("language") == "ja").alias("ja"), F.count_if(F.col("language") == "en").alias("en"))
+    ja, en = counts.select("ja").scalar(), counts.select("en").scalar()
+    off = F.when(F.col("kind") == "counts", 1).otherwise(0)
+    count = "struct<language:string,word_count:bigint>"
+    rows = n.select(F.col("n_name").alias("id"), kind.alias("kind"), F.when(kind.isin(*_VARIANTS), kind).otherwise("same").alias("form"))
+    return rows.join(forms, "form").withColumn("ja", ja).withColumn("en", en).select(
+        "id", (F.col("ja") + F.col("en")).alias("total_word_count"),
+        F.array(F.struct(F.lit("ja").alias("language"), (F.col("ja") + off).alias("word_count")).cast(count), F.struct(F.lit("en").alias("language"), F.col("en").alias("word_count")).cast(count)).alias("language_counts"),
+        "word_ids_sha256", "content_sha256", "ids_tree", F.when(F.col("kind") == "tree", "x").otherwise(F.col("content_tree")).alias("content_tree"),
+        F.when(F.col("kind") == "target", corpus.ACCEPTANCE_TARGET["total"]).otherwise(F.col("ja") + F.col("en")).cast("bigint").alias("target_total"),
+        F.array(F.struct(F.lit("ja").alias("language"), F.col("ja").alias("word_count")).cast(count), F.struct(F.lit("en").alias("language"), F.col("en").alias("word_count")).cast(count)).alias("target_counts"),
+    )
+
+
+@query("corpus_integrity", f"""{W}, kinds AS (SELECT n_name AS id, {_KINDS}[n_nationkey % {len(_KINDS)} + 1] AS kind FROM nation),
+t AS (SELECT count(*) AS n FROM words)
+SELECT id, n AS expected_total, n AS actual_total, kind <> 'counts' AS languages_match, CAST(0 AS BIGINT) AS duplicates,
+  CASE kind WHEN 'renamed' THEN 'IDS_DIGEST,CONTENT_DIGEST,IDS_TREE,CONTENT_TREE' WHEN 'changed' THEN 'CONTENT_DIGEST,CONTENT_TREE' WHEN 'emptied' THEN 'CONTENT_DIGEST,CONTENT_TREE'
+    WHEN 'counts' THEN 'TARGET_LANGUAGES,LANGUAGE_MISMATCH' WHEN 'target' THEN 'TARGET_TOTAL' WHEN 'tree' THEN 'CONTENT_TREE' ELSE '' END AS errors, kind = 'same' AS valid FROM kinds, t""")
 def corpus_integrity(spark, sf):
-    return corpus.integrity_report(b.words(spark, sf), manifests(spark, sf))
+    """A corpus that is as stated, and others of which one word, one empty text, a count or the target differs."""
+    found = corpus.integrity_report(b.words(spark, sf), integrity_manifests(spark, sf))
+    return found.withColumn("errors", F.array_join("errors", ","))
+
+
+@query("manifest_digests", f"""{W}, {_leaves_sql("w", "words")}, {_tree_sql("w_ids", [])}, {_tree_sql("w_all", [])}
+SELECT sha256(string_agg(language || ':' || id, chr(10) ORDER BY language || ':' || id)) AS word_ids_sha256,
+  sha256('[' || string_agg(CAST(json_object({_BODY}, 'tags', tags) AS VARCHAR), ',' ORDER BY language || ':' || id) || ']') AS content_sha256,
+  (SELECT digest FROM w_ids_d) AS ids_tree, (SELECT digest FROM w_all_d) AS content_tree FROM words""")
+def manifest_digests(spark, sf):
+    return stated_digests(b.words(spark, sf))
 
 
 @query("corpus_levels", f"{W} SELECT language, level, count(*) AS words FROM words GROUP BY ALL")

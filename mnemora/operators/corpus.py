@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from hashlib import sha256
 
-from ..functions.hashing import digest, key_digest, set_digest
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..fold import fold_by_key
+from ..functions.hashing import key_digest
 from ..functions.text import corpus_headword, trim_all
+from ..session import durable
 from ..skew import attach_by_key, ordinal
 
 # The acceptance target of the bilingual corpus.
@@ -43,39 +47,135 @@ def duplicate_identities(words: DataFrame) -> DataFrame:
     )
 
 
+_CONTENT = ["language", "id", "headword", "reading", "phonetic", "part_of_speech", "meaning", "level", "difficulty"]
+#: Hex digits of a leaf that name its range, and of a range that name its parent.
+RANGE_DIGITS = (5, 2)
+
+
+def tree_digest(leaves: DataFrame, group: list[str]) -> DataFrame:
+    """``group, digest`` of the multiset of ``leaf`` (SHA-256, hex) in each group, by a tree of hashes.
+
+    Leaves fall into ranges by their first digits. A range is the hash of its leaves in order, its parent
+    the hash of the ranges below it, and the digest that of the parents: a difference can be followed down
+    to its range. Equal leaves are counted first, so a row that repeats costs one leaf. A list holds one
+    2 ** 20th of the different leaves, or at most 4,096 hashes.
+    """
+    def joined(*parts) -> Column:
+        return F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat(*parts))), "\n"), 256)
+
+    low, high = RANGE_DIGITS
+    counted = leaves.groupBy(*group, "leaf").agg(F.count(F.lit(1)).alias("n"))
+    at = F.substring("leaf", 1, low).alias("at")
+    ranges = counted.groupBy(*group, at).agg(joined("leaf", F.lit(":"), F.col("n").cast("string")).alias("h"))
+    parents = ranges.groupBy(*group, F.substring("at", 1, high).alias("top")).agg(joined("at", F.lit(":"), "h").alias("h"))
+    return parents.groupBy(*group).agg(joined("top", F.lit(":"), "h").alias("digest"))
+
+
+def _leaves(words: DataFrame) -> tuple[Column, Column]:
+    """The leaves of a word's identity and of its content; a null and an empty text differ."""
+    return key_digest(F.col("language"), F.col("id")), key_digest(*[F.col(c) for c in _CONTENT], F.to_json("tags"))
+
+
 def corpus_digests(words: DataFrame) -> DataFrame:
-    """Identity and content digest per language for a corpus of any size."""
-    content = [
-        F.col(c) for c in (
-            "language", "id", "headword", "reading", "phonetic", "part_of_speech", "meaning",
-            "level", "difficulty",
-        )
-    ] + [F.array_join("tags", ",")]
-    return words.groupBy("language").agg(
-        F.count(F.lit(1)).alias("words"),
-        set_digest(digest(F.col("language"), F.col("id"))).alias("ids_digest"),
-        set_digest(digest(*content)).alias("content_digest"),
+    """Identity and content digest per language for a corpus of any size, as trees of hashes."""
+    identity, content = _leaves(words)
+    counted = words.groupBy("language").agg(F.count(F.lit(1)).alias("words"))
+    ids = tree_digest(words.select("language", identity.alias("leaf")), ["language"])
+    bodies = tree_digest(words.select("language", content.alias("leaf")), ["language"])
+    return counted.join(ids.withColumnRenamed("digest", "ids_digest"), "language").join(
+        bodies.withColumnRenamed("digest", "content_digest"), "language"
+    )
+
+
+def whole_digests(words: DataFrame) -> DataFrame:
+    """One row ``ids_tree, content_tree`` for the whole corpus; null for an empty one."""
+    identity, content = _leaves(words)
+    kinds = words.select(F.explode(F.array(
+        F.struct(F.lit("ids").alias("kind"), identity.alias("leaf")), F.struct(F.lit("content").alias("kind"), content.alias("leaf"))
+    )).alias("x")).select("x.*")
+    return tree_digest(kinds, ["kind"]).agg(
+        *[F.max(F.when(F.col("kind") == k, F.col("digest"))).alias(f"{k}_tree") for k in ("ids", "content")]
+    )
+
+
+def manifest_digests(words: DataFrame) -> DataFrame:
+    """One row ``word_ids_sha256, content_sha256``: the digests that a manifest states.
+
+    Both are SHA-256 of one text over the sorted corpus, the identities by line and the words as a JSON array
+    (fields in the order of the table, nulls kept). Such a hash has no parts, so one task reads the sorted
+    corpus through it, holding one batch; ``whole_digests`` is the form for large ones. Identities sort in
+    binary order.
+    """
+    identity = F.concat_ws(":", "language", "id")
+    body = F.to_json(F.struct(*_CONTENT, "tags"), {"ignoreNullFields": "false"})
+    rows = words.select(F.lit(1).alias("corpus"), identity.alias("identity"), body.alias("body"))
+
+    def step(state, row):
+        first = state is None
+        ids, content = state or (sha256(), sha256(b"["))
+        ids.update((b"" if first else b"\n") + row[0].encode())
+        content.update((b"" if first else b",") + row[1].encode())
+        return ids, content
+
+    def finish(state):
+        ids, content = state
+        content.update(b"]")
+        return ids.hexdigest(), content.hexdigest()
+
+    found = fold_by_key(rows, ["corpus"], ["identity", "body"], ["identity", "body"], "word_ids_sha256 string, content_sha256 string", step, finish)
+    return found.agg(
+        F.coalesce(F.max("word_ids_sha256"), F.lit(sha256(b"").hexdigest())).alias("word_ids_sha256"),
+        F.coalesce(F.max("content_sha256"), F.lit(sha256(b"[]").hexdigest())).alias("content_sha256"),
     )
 
 
 def integrity_report(words: DataFrame, manifests: DataFrame) -> DataFrame:
-    """Per manifest: totals, per-language match, duplicate identities and the verdict."""
-    expected = manifests.select("id", "total_word_count", F.inline("language_counts"))
-    actual = words.groupBy("language").agg(F.count(F.lit(1)).alias("actual"))
-    total = words.agg(F.count(F.lit(1))).scalar()
-    dups = duplicate_identities(words).agg(F.count(F.lit(1))).scalar()
-    return (
-        expected.join(actual, "language", "left")
-        .groupBy("id", F.col("total_word_count").alias("expected_total"))
-        .agg(F.bool_and(F.col("word_count") == F.coalesce("actual", F.lit(0))).alias("languages_match"))
-        .withColumn("actual_total", total)
-        .withColumn("duplicates", dups)
-        .withColumn(
-            "valid",
-            (F.col("expected_total") == F.col("actual_total"))
-            & F.col("languages_match")
-            & (F.col("duplicates") == 0),
-        )
+    """Per manifest: totals, digests, its errors in order, and ``valid`` when there is none.
+
+    ``manifests``: id, total_word_count, language_counts, word_ids_sha256, content_sha256, and where they are
+    stated (else null or absent) ids_tree, content_tree, target_total and target_counts (the acceptance target).
+    Digests and totals of the corpus are computed once, whatever the number of manifests.
+    """
+    for name, kind in (("ids_tree", "string"), ("content_tree", "string"), ("target_total", "bigint"),
+                       ("target_counts", "array<struct<language:string,word_count:bigint>>")):
+        if name not in manifests.columns:
+            manifests = manifests.withColumn(name, F.lit(None).cast(kind))
+    words = durable(words)
+    counts = words.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("actual_total"), F.map_from_entries(F.collect_list(F.struct("language", "n"))).alias("actual")
+    )
+    twice = duplicate_identities(words).agg(F.count(F.lit(1)).alias("duplicates"))
+    # One row each, computed once.
+    facts = [durable(t) for t in (totals, twice, manifest_digests(words), whole_digests(words))]
+    rows = manifests.select(
+        "*", *[t.select(c).scalar().alias(f"__{c}") for t in facts for c in t.columns]
+    )
+
+    def counts_of(column: str) -> Column:
+        return F.map_from_entries(F.transform(column, lambda x: F.struct(x["language"], x["word_count"])))
+
+    def same(left: Column, right: Column) -> Column:
+        languages = F.array_union(F.map_keys(left), F.map_keys(right))
+        return F.forall(languages, lambda k: F.coalesce(left[k], F.lit(0)) == F.coalesce(right[k], F.lit(0)))
+
+    expected = counts_of("language_counts")
+    target = F.col("target_total").isNotNull()
+    checks = {
+        "TARGET_TOTAL": ~target | (F.col("target_total") == F.col("total_word_count")),
+        "TARGET_LANGUAGES": F.col("target_counts").isNull() | same(expected, counts_of("target_counts")),
+        "DUPLICATE_IDENTITY": F.col("__duplicates") == 0,
+        "TOTAL_MISMATCH": F.col("__actual_total") == F.col("total_word_count"),
+        "LANGUAGE_MISMATCH": same(expected, F.col("__actual")),
+        "IDS_DIGEST": F.col("word_ids_sha256") == F.col("__word_ids_sha256"),
+        "CONTENT_DIGEST": F.col("content_sha256") == F.col("__content_sha256"),
+        "IDS_TREE": F.col("ids_tree").isNull() | (F.col("ids_tree") == F.col("__ids_tree")),
+        "CONTENT_TREE": F.col("content_tree").isNull() | (F.col("content_tree") == F.col("__content_tree")),
+    }
+    errors = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), code) for code, ok in checks.items()]))
+    return rows.select(
+        "id", F.col("total_word_count").alias("expected_total"), F.col("__actual_total").alias("actual_total"), checks["LANGUAGE_MISMATCH"].alias("languages_match"),
+        F.col("__duplicates").alias("duplicates"), errors.alias("errors"), (F.size(errors) == 0).alias("valid"),
     )
 
 

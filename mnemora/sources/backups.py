@@ -115,7 +115,8 @@ def parse_backups(backups: DataFrame, modern_format: str = MODERN_FORMAT, max_te
     )
 
 
-def _quoted(key: Column) -> Column:
+def quoted(key: Column) -> Column:
+    """A key as a JSON string."""
     listed = F.to_json(F.array(key))
     return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
@@ -187,7 +188,7 @@ def source_records(parsed: DataFrame) -> DataFrame:
     key = F.when(unknown, F.col("name")).otherwise(F.col("k3"))
     final = F.when(F.col("__expand"), F.col("v3")).otherwise(F.col("cell"))
     ref = (
-        F.when(key.isNotNull(), F.concat("path", F.lit("["), _quoted(key), F.lit("]")))
+        F.when(key.isNotNull(), F.concat("path", F.lit("["), quoted(key), F.lit("]")))
         .when(F.col("__expand"), F.concat("path", F.lit("["), F.col("idx").cast("string"), F.lit("]")))
         .otherwise(F.col("path"))
     )
