@@ -493,14 +493,20 @@ def review_logs(spark, sf):
 
 # --- conversations and quizzes --------------------------------------------------------------
 
-CONV_SQL = """conv AS (SELECT conv_id, 'm-' || CAST(conv_id % 3 AS VARCHAR) AS migration_id,
+# Every fiftieth conversation is repeated until it has over 1,000 messages; every 35th has neither key nor id.
+CONV_SQL = """turns AS (SELECT c.conv_id, r * count(*) OVER (PARTITION BY c.conv_id, r) + row_number() OVER (PARTITION BY c.conv_id, r ORDER BY turn) - 1 AS position, role, text
+  FROM conversations c JOIN (SELECT conv_id, count(*) AS size FROM conversations GROUP BY conv_id) s USING (conv_id),
+    unnest(range(CASE WHEN c.conv_id % 50 = 1 THEN CAST(ceil(1200 / size) AS BIGINT) ELSE 1 END)) AS t(r)),
+conv AS (SELECT conv_id, 'm-' || CAST(conv_id % 3 AS VARCHAR) AS migration_id,
   'data.aiConversations["' || CAST(conv_id AS VARCHAR) || '"]' AS source_ref,
   CASE WHEN conv_id % 5 = 0 THEN NULL ELSE 'c-' || CAST(conv_id % 40 AS VARCHAR) END AS cache_key,
-  CASE WHEN conv_id % 7 <> 0 THEN CAST(conv_id % 60 AS VARCHAR) END AS legacy_id, count(*) AS n,
-  string_agg(CASE WHEN role IN ('user', 'assistant', 'system') THEN role ELSE 'unknown' END, ',' ORDER BY turn) AS roles,
-  sha256(string_agg(text, '|' ORDER BY turn)) AS texts,
-  bool_or(role NOT IN ('user', 'assistant', 'system')) AS odd_role FROM conversations GROUP BY conv_id),
-keyed AS (SELECT *, coalesce(cache_key, legacy_id) AS key FROM conv)"""
+  CASE WHEN conv_id % 7 <> 0 THEN CAST(conv_id % 60 AS VARCHAR) END AS legacy_id, count(*) AS n, least(count(*), 1000) AS shown,
+  sha256(string_agg(CASE WHEN role IN ('user', 'assistant', 'system') THEN role ELSE 'unknown' END || ':' || text, '|' ORDER BY position)) AS texts,
+  '{"date":"' || CASE WHEN conv_id % 4 = 0 THEN 'bad' ELSE '2024-01-' || lpad(CAST(conv_id % 28 + 1 AS VARCHAR), 2, '0') END || '","lang":"en","systemPrompt":"' || repeat('x', conv_id % 6)
+    || '","messages":[' || string_agg(CAST(json_object('role', role, 'content', text) AS VARCHAR), ',' ORDER BY position) || ']}' AS json,
+  bool_or(role NOT IN ('user', 'assistant', 'system')) AS odd_role FROM turns GROUP BY conv_id),
+keyed AS (SELECT *, coalesce(cache_key, legacy_id, 'conversation-v1:' || substr(sha256(CAST(json_object('schemaVersion', 1, 'migrationId', migration_id,
+  'cacheKey', NULL, 'legacyId', NULL, 'serializedValue', json) AS VARCHAR)), 1, 24)) AS key FROM conv)"""
 
 
 def conversation_records(spark, sf):
@@ -508,6 +514,8 @@ def conversation_records(spark, sf):
     k = F.col("conv_id")
     # A conversation is at most a few hundred turns, the unit a record holds.
     grouped = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    times = F.when(k % 50 == 1, F.ceil(F.lit(1200) / F.size("t"))).otherwise(1).cast("int")
+    grouped = grouped.withColumn("t", F.flatten(F.array_repeat("t", times)))
     body = F.to_json(F.struct(
         F.when(k % 7 != 0, k % 60).alias("id"),
         F.when(k % 5 != 0, F.concat(F.lit("c-"), (k % 40).cast("string"))).alias("cacheKey"),
@@ -519,31 +527,52 @@ def conversation_records(spark, sf):
     return as_records(rows, "aiConversations", "data.aiConversations", F.lit(None), k, body)
 
 
+def conversation_result(spark, sf):
+    return stored(spark, sf, "conversations", lambda: domains.conversations(conversation_records(spark, sf), stored_index(spark, sf)))
+
+
 @query("conversations", f"""WITH {CONV_SQL}
 SELECT migration_id, key AS target_ref, count(*) AS sources, coalesce(arg_min(legacy_id, source_ref) FILTER (WHERE legacy_id IS NOT NULL), '') AS legacy_id,
-  arg_max(roles, (n, source_ref)) AS roles, arg_max(texts, (n, source_ref)) AS texts, max(conv_id % 6) AS prompt_length,
+  arg_max(n, (shown, source_ref)) AS n_messages, arg_max(shown, (shown, source_ref)) AS shown, arg_max(texts, (shown, source_ref)) AS texts, max(conv_id % 6) AS prompt_length,
   coalesce(strftime(max(CASE WHEN conv_id % 4 <> 0 THEN make_timestamp(2024, 1, conv_id % 28 + 1, 0, 0, 0) END), {SQL_TS}), '') AS updated_at,
-  array_to_string(list_filter([CASE WHEN bool_or(conv_id % 4 = 0) THEN 'DATE_INVALID' END,
-    CASE WHEN bool_or(odd_role) THEN 'MESSAGE_ROLE_UNKNOWN' END], lambda x: x IS NOT NULL), ',') AS flags
-FROM keyed WHERE key IS NOT NULL GROUP BY migration_id, key""")
+  array_to_string(list_filter([CASE WHEN any_value(cache_key) IS NULL AND any_value(legacy_id) IS NULL THEN 'CONVERSATION_ID_GENERATED' END, CASE WHEN bool_or(conv_id % 4 = 0) THEN 'DATE_INVALID' END,
+    CASE WHEN bool_or(odd_role) THEN 'MESSAGE_ROLE_UNKNOWN' END, CASE WHEN bool_or(n > 1000) THEN 'MESSAGE_TRUNCATED' END], lambda x: x IS NOT NULL), ',') AS flags
+FROM keyed GROUP BY migration_id, key""")
 def conversations(spark, sf):
-    payload, parts = domains.conversations(conversation_records(spark, sf), stored_index(spark, sf))
+    """Merged conversations with all of their messages, also those beyond the limit of the payload."""
+    payload, messages, parts = conversation_result(spark, sf)
     sources = outcomes.merged_sources(parts).select("migration_id", "target_ref", "sources")
-    text = F.transform("messages", lambda m: m["content"])
-    rows = payload.where("not (legacy_id is null and cache_key is null)").join(sources, ["migration_id", "target_ref"])
+    said = F.array_sort(F.collect_list(F.struct("position", F.concat_ws(":", "role", "content").alias("text"))))
+    told = messages.groupBy("migration_id", "target_ref").agg(
+        F.count_if(~F.col("over_limit")).alias("shown"), F.sha2(F.array_join(F.transform(said, lambda m: m["text"]), "|"), 256).alias("texts")
+    )
+    rows = payload.join(sources, ["migration_id", "target_ref"]).join(told, ["migration_id", "target_ref"])
     return rows.select(
-        "migration_id", "target_ref", "sources", *no_nulls(rows, "legacy_id"),
-        F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"),
-        F.sha2(F.array_join(text, "|"), 256).alias("texts"),
+        "migration_id", "target_ref", "sources", *no_nulls(rows, "legacy_id"), F.col("n_messages").cast("bigint").alias("n_messages"), "shown", "texts",
         F.length("system_prompt").cast("bigint").alias("prompt_length"),
         F.coalesce(F.date_format("updated_at", TS), F.lit("")).alias("updated_at"),
         F.array_join("quality_flags", ",").alias("flags"),
     )
 
 
+@query("conversation_view", f"""WITH {CONV_SQL}, best AS (SELECT migration_id, key, arg_max(conv_id, (shown, source_ref)) AS conv_id FROM keyed GROUP BY migration_id, key)
+SELECT migration_id, key AS target_ref, count(*) AS messages, sha256(string_agg(CASE WHEN role IN ('user', 'assistant', 'system') THEN role ELSE 'unknown' END || ':' || text, '|' ORDER BY position)) AS texts
+FROM best JOIN turns USING (conv_id) WHERE position < 1000 GROUP BY migration_id, key""")
+def conversation_view(spark, sf):
+    """The payload as the original limits it."""
+    payload, messages, _ = conversation_result(spark, sf)
+    view = domains.conversation_view(payload, messages)
+    return view.select(
+        "migration_id", "target_ref", F.size("messages").cast("bigint").alias("messages"),
+        F.sha2(F.array_join(F.transform("messages", lambda m: F.concat_ws(":", m["role"], m["content"])), "|"), 256).alias("texts"),
+    )
+
+
 QUIZ_SQL = f"""{RELATED_SQL},
-answered AS (SELECT ok, any_value(ck) AS ck, count(*) AS n, count(*) FILTER (WHERE k % 3 = 0) AS right_n,
-  bool_or(target_word_id IS NULL) AS unresolved FROM related GROUP BY ok),
+asked AS (SELECT r.ok, r.ck, r.k, r.target_word_id, t * size + row_number() OVER (PARTITION BY r.ok, t ORDER BY r.ln) - 1 AS ord
+  FROM (SELECT *, count(*) OVER (PARTITION BY ok) AS size FROM related) r, unnest(range(CASE WHEN ok % 40 = 1 THEN CAST(ceil(130 / size) AS BIGINT) ELSE 1 END)) AS u(t)),
+answered AS (SELECT ok, any_value(ck) AS ck, count(*) FILTER (WHERE ord < 100) AS n, count(*) FILTER (WHERE ord < 100 AND k % 3 = 0) AS right_n, count(*) > 100 AS long,
+  bool_or(target_word_id IS NULL) AS unresolved FROM asked GROUP BY ok),
 qrows AS (SELECT 'm-' || CAST(ck % 40 AS VARCHAR) AS migration_id, {ref_sql('data.aiQuizHistory', 'ok')} AS source_ref, *,
   CASE WHEN ok % 4 = 0 THEN n ELSE ok % 9 END AS total, CASE WHEN ok % 3 = 0 THEN right_n ELSE ok % 11 END AS raw_correct,
   CASE WHEN ok % 8 <> 0 THEN o_orderdate END AS created_at, CASE WHEN ok % 5 = 0 THEN '本次小测' ELSE 'Quiz ' || CAST(ok AS VARCHAR) END AS title
@@ -553,7 +582,7 @@ quiz AS (SELECT *, least(raw_correct, total) AS correct, 'quiz-v1:' || substr(sh
 merged AS (SELECT migration_id, target_ref, arg_min(title, (-length(title), source_ref)) AS title, max(created_at) AS created_at,
   CAST(max(total) AS BIGINT) AS total, CAST(max(correct) AS BIGINT) AS correct, CAST(max(n) AS BIGINT) AS n_answers,
   arg_max(source_ref, (n, source_ref)) AS answers_ref,
-  bool_or(unresolved) AS unresolved, bool_or(raw_correct > total) AS conflict, bool_or(ok % 8 = 0) AS bad_date, bool_or(ok % 4 = 0 OR ok % 3 = 0) AS defaulted
+  bool_or(unresolved) AS unresolved, bool_or(long) AS long, bool_or(raw_correct > total) AS conflict, bool_or(ok % 8 = 0) AS bad_date, bool_or(ok % 4 = 0 OR ok % 3 = 0) AS defaulted
   FROM quiz GROUP BY migration_id, target_ref),
 newest AS (SELECT *, row_number() OVER (PARTITION BY migration_id ORDER BY created_at DESC NULLS LAST, target_ref) AS position,
   count(*) OVER (PARTITION BY migration_id) AS per FROM merged)"""
@@ -568,6 +597,8 @@ def quiz_result(spark, sf):
         )
         # Line numbers of one order are few, the unit a quiz record holds.
         per = lines(spark, sf).groupBy("ok", "migration_id", "ck").agg(F.array_sort(F.collect_list(answer)).alias("answers"))
+        times = F.when(ok % 40 == 1, F.ceil(F.lit(130) / F.size("answers"))).otherwise(1).cast("int")
+        per = per.withColumn("answers", F.flatten(F.array_repeat("answers", times)))
         o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("ok"), "o_orderdate")
         body = F.to_json(F.struct(
             F.col("ck").alias("id"), F.when(ok % 5 != 0, F.concat(F.lit("Quiz "), ok.cast("string"))).alias("title"),
@@ -581,28 +612,30 @@ def quiz_result(spark, sf):
 
 
 @query("quizzes", f"""{QUIZ_SQL}
-SELECT migration_id, target_ref, title, coalesce(strftime(created_at, {SQL_TS}), '') AS created_at, total, correct, n_answers, position,
-  array_to_string(list_filter([CASE WHEN unresolved THEN 'ANSWER_TARGET_UNRESOLVED' END, CASE WHEN conflict THEN 'COUNT_CONFLICT' END,
+SELECT migration_id, target_ref, title, coalesce(strftime(created_at, {SQL_TS}), '') AS created_at, total, correct, n_answers,
+  CASE WHEN position <= 100 THEN position ELSE 0 END AS position, position <= 100 AS in_view,
+  array_to_string(list_filter([CASE WHEN unresolved THEN 'ANSWER_TARGET_UNRESOLVED' END, CASE WHEN long THEN 'ANSWER_TRUNCATED' END, CASE WHEN conflict THEN 'COUNT_CONFLICT' END,
     CASE WHEN defaulted THEN 'COUNT_DEFAULTED' END, CASE WHEN bad_date THEN 'DATE_INVALID' END,
-    CASE WHEN per > 100 THEN 'HISTORY_TRUNCATED' END], lambda x: x IS NOT NULL), ',') AS flags
-FROM newest WHERE position <= 100""")
+    CASE WHEN per > 100 AND position <= 100 THEN 'HISTORY_TRUNCATED' END], lambda x: x IS NOT NULL), ',') AS flags
+FROM newest""")
 def quizzes(spark, sf):
+    """All quizzes, with those that the payload of the original holds."""
     p = quiz_result(spark, sf)[0]
     return p.select(
         "migration_id", "target_ref", "title", F.coalesce(F.date_format("created_at", TS), F.lit("")).alias("created_at"),
-        "total", "correct", "n_answers", F.col("position").cast("bigint").alias("position"),
+        "total", "correct", "n_answers", F.coalesce("position", F.lit(0)).cast("bigint").alias("position"), "in_view",
         F.array_join("quality_flags", ",").alias("flags"),
     )
 
 
 @query("quiz_answers", f"""{QUIZ_SQL}
-SELECT n.migration_id, n.target_ref, count(*) AS answers, count(*) FILTER (WHERE r.k % 3 = 0) AS correct_answers,
+SELECT n.migration_id, n.target_ref, count(*) AS answers, count(*) FILTER (WHERE r.ord >= 100) AS over_limit, count(*) FILTER (WHERE r.k % 3 = 0) AS correct_answers,
   count(r.target_word_id) AS resolved
-FROM newest n JOIN related r ON {ref_sql('data.aiQuizHistory', 'r.ok')} = n.answers_ref WHERE n.position <= 100 GROUP BY ALL""")
+FROM newest n JOIN asked r ON {ref_sql('data.aiQuizHistory', 'r.ok')} = n.answers_ref GROUP BY ALL""")
 def quiz_answers(spark, sf):
     answers = quiz_result(spark, sf)[1]
     return answers.groupBy("migration_id", "target_ref").agg(
-        F.count(F.lit(1)).alias("answers"), F.count_if("is_correct").alias("correct_answers"),
+        F.count(F.lit(1)).alias("answers"), F.count_if("over_limit").alias("over_limit"), F.count_if("is_correct").alias("correct_answers"),
         F.count("resolved_word_id").alias("resolved"),
     )
 

@@ -9,7 +9,7 @@ from ..functions.hashing import fnv1a_hex
 from ..operators import contracts, corpus, domains, outcomes, preview, sampling, verification
 from ..session import durable
 from ..sources import backups as bk
-from ..sources import redact, store
+from ..sources import devices, redact, store
 from .base import query, table
 from .corpus import SET_DIGEST, W
 from .domains import (
@@ -164,6 +164,108 @@ def device_merge(spark, sf):
     return merged.select("migration_id", "key", "json", "selected", "diverges", *no_nulls(merged, "indexed_digest", "local_digest"))
 
 
+# --- device captures: one per customer --------------------------------------------------------
+
+# Entries of a capture as (store, key, JSON text); what a customer's capture holds depends on its number.
+CAPTURE_SQL = """cap AS (SELECT c_custkey AS k, 'v-' || CAST(c_custkey AS VARCHAR) AS migration_id, c_mktsegment AS seg, c_name AS name FROM customer),
+fine AS (SELECT * FROM cap WHERE k % 11 <> 3),
+split AS (SELECT * FROM fine WHERE k % 3 = 0)"""
+
+
+def device_captures(spark, sf):
+    """Both stores of every customer: a combined and at times a split word store, diverging stars, a secret, odd keys."""
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    k, seg = F.col("c_custkey"), F.col("c_mktsegment")
+    words = o.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: F.concat(F.lit('{"_id":"w-'), x.cast("string"), F.lit('"}'))), ",").alias("db"))
+
+    def text(value):
+        """A value of a local store: JSON text of a string that holds JSON."""
+        listed = F.to_json(F.array(value))
+        return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+    stars = F.concat(F.lit('["'), seg, F.lit('"]'))
+    entries = [
+        ("indexed", "myWordDB_v3", F.concat(F.lit("[ "), F.coalesce("db", F.lit("")), F.lit("]")), F.lit(True)),
+        ("local", "userWords_v1", text(F.lit('[{"_id": "own"}]')), k % 3 == 0),
+        ("indexed", "starredWords", stars, F.lit(True)),
+        # The same value in another form does not diverge.
+        ("local", "starredWords", F.when(k % 2 == 0, text(F.lit('["other"]'))).otherwise(text(F.concat(F.lit(" "), stars))), F.lit(True)),
+        ("local", "studyRecords", text(F.lit('{"odd": 1}')), k % 5 == 0),
+        ("indexed", "mtWordClears_v3", F.concat(F.lit('{"ja:'), seg, F.lit('": {"kanji": true}}')), F.lit(True)),
+        ("local", "theme", text(F.concat(F.lit("dark "), F.col("c_name"))), F.lit(True)),
+        ("local", "volume", text(F.lit("7")), F.lit(True)),
+        ("local", "deepseek-API-key", F.when(k % 4 == 0, F.lit('"sk-1"')).otherwise('"[REDACTED]"'), F.lit(True)),
+        ("local", "migrationSafetySnapshot_v1", text(F.lit('{"b": 2, "a": 1}')), k % 7 == 0),
+        ("indexed", "oddKey", F.lit("[1, 2]"), F.lit(True)),
+        ("local", "oddKey", F.lit("3"), F.lit(True)),
+        ("indexed", "wordStorageVersion", F.lit("2"), F.lit(True)),
+        ("local", "demo_storage_probe", F.lit('"1"'), F.lit(True)),
+        ("indexed", "broken", F.lit("{"), k % 11 == 3),
+    ]
+    made = F.array(*[
+        F.struct(F.lit(s).alias("store"), F.lit(key).alias("key"), value.alias("json"), here.alias("here")) for s, key, value, here in entries
+    ])
+    return c.join(words, F.col("o_custkey") == k, "left").select(
+        F.concat(F.lit("v-"), k.cast("string")).alias("migration_id"), F.inline(made)
+    ).where("here").drop("here")
+
+
+def device_record_table(spark, sf):
+    return stored(spark, sf, "device_records", lambda: durable(devices.device_records(chosen_entries(spark, sf))))
+
+
+def chosen_entries(spark, sf):
+    return stored(spark, sf, "chosen", lambda: durable(devices.chosen_entries(devices.decoded_entries(device_captures(spark, sf)))))
+
+
+DEVICE_RECORDS_SQL = f"""{CAPTURE_SQL},
+dow AS (SELECT o_custkey AS k, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS idx FROM orders),
+dbs AS (SELECT o_custkey AS k, '[' || string_agg('{{"_id":"w-' || CAST(o_orderkey AS VARCHAR) || '"}}', ',' ORDER BY o_orderkey) || ']' AS json FROM orders GROUP BY o_custkey),
+drecs AS (
+  SELECT migration_id, 'device.indexedDb["myWordDB_v3"][' || CAST(idx AS VARCHAR) || ']' AS source_ref, 'words' AS domain, 'object' AS value_type,
+    '{{"_id":"w-' || CAST(o_orderkey AS VARCHAR) || '"}}' AS json FROM fine JOIN dow USING (k) WHERE k % 3 <> 0
+  UNION ALL SELECT migration_id, 'device.indexedDb["myWordDB_v3"]', 'unknown', 'array', coalesce(json, '[]') FROM split LEFT JOIN dbs USING (k)
+  UNION ALL SELECT migration_id, 'device.localStorage["userWords_v1"][0]', 'words', 'object', '{{"_id":"own"}}' FROM split
+  UNION ALL SELECT migration_id, 'device.indexedDb["starredWords"][0]', 'favorites', 'string', '"' || seg || '"' FROM fine
+  UNION ALL SELECT migration_id, 'device.localStorage["studyRecords"]', 'studyRecords', 'object', '{{"odd":1}}' FROM fine WHERE k % 5 = 0
+  UNION ALL SELECT migration_id, 'device.indexedDb["mtWordClears_v3"]["ja:' || seg || '"]', 'mastery', 'object', '{{"kanji":true}}' FROM fine
+  UNION ALL SELECT migration_id, 'device.localStorage["theme"]', 'preferences', 'string', '"dark ' || name || '"' FROM fine
+  UNION ALL SELECT migration_id, 'device.localStorage["volume"]', 'preferences', 'number', '7' FROM fine
+  UNION ALL SELECT migration_id, 'device.localStorage["deepseek-API-key"]', 'preferences', 'string', CASE WHEN k % 4 = 0 THEN '"sk-1"' ELSE '"[REDACTED]"' END FROM fine
+  UNION ALL SELECT migration_id, 'device.localStorage["migrationSafetySnapshot_v1"]', 'unknown', 'object', '{{"a":1,"b":2}}' FROM fine WHERE k % 7 = 0
+  UNION ALL SELECT migration_id, 'device.indexedDb["oddKey"]', 'unknown', 'array', '[1,2]' FROM fine)"""
+
+
+@query("device_records", f"""WITH {DEVICE_RECORDS_SQL}
+SELECT migration_id, source_ref, domain, value_type, json, CASE WHEN json = '"sk-1"' THEN 'SENSITIVE_VALUE_PRESENT' ELSE '' END AS error,
+  sha256(CAST(json_object('schemaVersion', 1, 'sourceRef', source_ref, 'domain', domain, 'serializedValue', json) AS VARCHAR)) AS record_digest FROM drecs""")
+def device_records(spark, sf):
+    safe, refused = bk.refuse_plain_secrets(device_record_table(spark, sf))
+    every = safe.withColumn("error", F.lit("")).unionByName(refused)
+    return every.select("migration_id", "source_ref", "domain", "value_type", "json", "error", "record_digest")
+
+
+@query("storage_divergences", f"""WITH {CAPTURE_SQL}, keys AS (
+  SELECT migration_id, 'starredWords' AS key, '["' || seg || '"]' AS a, '["other"]' AS b FROM cap WHERE k % 2 = 0
+  UNION ALL SELECT migration_id, 'oddKey', '[1,2]', '3' FROM cap)
+SELECT migration_id, key, 'device.indexedDb["' || key || '"]' AS indexed_ref, 'device.localStorage["' || key || '"]' AS local_ref,
+  sha256(a) AS indexed_digest, sha256(b) AS local_digest, 'indexed' AS selected FROM keys""")
+def storage_divergences(spark, sf):
+    return devices.storage_divergences(chosen_entries(spark, sf))
+
+
+@query("device_headers", f"""WITH {CAPTURE_SQL}
+SELECT migration_id, CASE WHEN k % 11 = 3 THEN 'INVALID_DEVICE_SOURCE' ELSE '' END AS error, CAST(10 AS BIGINT) AS backup_version,
+  CASE WHEN k % 2 = 0 THEN CAST(7 AS BIGINT) ELSE 8 END AS data_schema_version, 'device' AS kind, CASE WHEN k % 2 = 0 THEN CAST(2 AS BIGINT) ELSE 1 END AS divergences FROM cap""")
+def device_headers(spark, sf):
+    k = F.col("c_custkey")
+    captures = table(spark, sf, "customer").select(
+        F.concat(F.lit("v-"), k.cast("string")).alias("migration_id"), F.when(k % 2 == 0, 7).alias("data_schema_version"), F.lit(2).alias("word_storage_version")
+    )
+    found = devices.device_headers(captures, chosen_entries(spark, sf))
+    return found.select("migration_id", *no_nulls(found, "error"), "backup_version", "data_schema_version", "kind", "divergences")
+
+
 @query("snapshot_fingerprints", f"""WITH {DEVICE_SQL}, hashed AS (SELECT migration_id, sha256(store || '|' || key || '|' || json) AS h FROM dev),
 per AS (SELECT migration_id, count(*) AS entries, {SET_DIGEST} AS entries_digest FROM hashed GROUP BY migration_id)
 SELECT migration_id, entries, entries_digest, sha256('v1-source-fingerprint|9|8||' || entries_digest || '|m|false') AS source_fingerprint FROM per""")
@@ -389,17 +491,32 @@ def fixed_sample(spark, sf):
     return sampling.fixed_sample(rows).select("migration_id", "category", "source_ref", F.col("position").cast("bigint").alias("position"))
 
 
-@query("sampling_evidence", f"""{IDENTITY_SQL}, cats AS (SELECT e.migration_id, CASE WHEN target_kind = 'canonical' THEN 'builtin-' || language ELSE 'user-words' END AS category
-  FROM entries e WHERE source_kind = 'word')
-SELECT migration_id, category, count(*) AS available, least(count(*), 30) AS sampled, CAST(0 AS BIGINT) AS mismatched, TRUE AS passed FROM cats GROUP BY ALL""")
+_CATEGORIES = ", ".join(f"('{c}', {i})" for i, c in enumerate(sampling.CATEGORIES))
+
+
+@query("sampling_evidence", f"""{IDENTITY_SQL}, cats AS (SELECT e.migration_id, e.source_ref, r.n, CASE WHEN target_kind = 'canonical' THEN 'builtin-' || e.language ELSE 'user-words' END AS category
+  FROM entries e JOIN refs r ON r.source_ref = e.source_ref WHERE source_kind = 'word'),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY migration_id, category ORDER BY {FNV_SQL.format(text="'seed:' || category || ':' || source_ref")}, source_ref) AS position FROM cats),
+per AS (SELECT migration_id, category, count(*) AS available, count(*) FILTER (WHERE position <= 30) AS sampled,
+  count(*) FILTER (WHERE position <= 30 AND n % 10 = 3) AS mismatched, string_agg(source_ref, ',' ORDER BY position) FILTER (WHERE position <= 30) AS sampled_refs,
+  string_agg(source_ref, ',' ORDER BY source_ref) FILTER (WHERE position <= 30 AND n % 10 = 3) AS mismatch_refs FROM ranked GROUP BY ALL)
+SELECT m.migration_id, w.category, CAST(place AS BIGINT) AS place, coalesce(available, 0) AS available, coalesce(sampled, 0) AS sampled, coalesce(mismatched, 0) AS mismatched,
+  coalesce(sampled_refs, '') AS sampled_refs, coalesce(mismatch_refs, '') AS mismatch_refs, coalesce(mismatched, 0) = 0 AS passed
+FROM (SELECT DISTINCT migration_id FROM cats) m CROSS JOIN (SELECT * FROM (VALUES {_CATEGORIES}) AS t(category, place)) w LEFT JOIN per p ON p.migration_id = m.migration_id AND p.category = w.category""")
 def sampling_evidence(spark, sf):
+    """Dispositions of every tenth record are bound to another record digest, so they do not match."""
     records = word_records(spark, sf)
     payload, parts = word_result(spark, sf)
     parts = durable(outcomes.with_archives(parts))
     archives, _ = outcomes.archive_rows(parts.drop("archive_kind", "archive_ref"), records)
     rows = durable(sampling.categorize(records, stored_entries(spark, sf)).withColumn("source_fingerprint", F.lit("seed")))
     keys = payload.select("migration_id", F.lit("words").alias("domain"), "target_ref")
-    return sampling.sampling_evidence(rows, sampling.fixed_sample(rows), parts, keys, archives)
+    damaged = parts.withColumn("record_digest", F.when(F.col("source_ref").rlike(r"3\]$"), "other").otherwise(F.col("record_digest")))
+    found = sampling.sampling_evidence(rows, sampling.fixed_sample(rows), damaged, keys, archives)
+    return found.select(
+        "migration_id", "category", F.col("place").cast("bigint").alias("place"), "available", "sampled", "mismatched",
+        F.array_join("sampled_refs", ",").alias("sampled_refs"), F.array_join("mismatch_refs", ",").alias("mismatch_refs"), "passed",
+    )
 
 
 # --- verification, staging, activation ------------------------------------------------------
@@ -602,16 +719,29 @@ def refused_records(spark, sf):
     return bk.refuse_plain_secrets(records)[1].select("source_ref")
 
 
-@query("migration_conservation", f"""WITH {BACKUP_SQL}
-SELECT migration_id, domain, count(*) AS dispositions, count(DISTINCT source_ref) AS sources FROM recs WHERE domain <> 'unknown' GROUP BY ALL""")
-def migration_conservation(spark, sf):
-    """The whole plan over every backup: each known record ends in exactly one disposition."""
+def whole_slice(spark, sf):
+    """The whole plan over backups and device captures as one stream of records."""
     from ..plans import migration
 
-    part = stored(spark, sf, "slice", lambda: migration.transform(
-        *migration.read_records(backups(spark, sf)), b.words(spark, sf)))
-    return part.dispositions.groupBy("migration_id", "domain").agg(
-        F.count(F.lit(1)).alias("dispositions"), F.count_distinct("source_ref").alias("sources")
+    def build():
+        records = backup_records(spark, sf).unionByName(device_record_table(spark, sf))
+        captures = device_captures(spark, sf).select("migration_id").distinct()
+        headers = parsed(spark, sf).select("migration_id", "error", "export_date").unionByName(
+            captures.select("migration_id", F.lit(None).cast("string").alias("error"), F.lit(None).cast("timestamp").alias("export_date"))
+        )
+        return migration.transform(headers, *migration.safe_records(records), b.words(spark, sf))
+
+    return stored(spark, sf, "slice", build)
+
+
+@query("migration_conservation", f"""WITH {BACKUP_SQL}, {DEVICE_RECORDS_SQL},
+every AS (SELECT migration_id, source_ref, domain, '' AS json FROM recs UNION ALL SELECT migration_id, source_ref, domain, json FROM drecs)
+SELECT migration_id, domain, count(*) AS dispositions, count(DISTINCT source_ref) AS sources, count(*) FILTER (WHERE json = '"sk-1"') AS refused FROM every WHERE domain <> 'unknown' GROUP BY ALL""")
+def migration_conservation(spark, sf):
+    """The whole plan over every backup and capture: each known record ends in exactly one disposition, refused ones too."""
+    return whole_slice(spark, sf).dispositions.groupBy("migration_id", "domain").agg(
+        F.count(F.lit(1)).alias("dispositions"), F.count_distinct("source_ref").alias("sources"),
+        F.count_if(F.col("reason") == "SENSITIVE_VALUE_PRESENT").alias("refused"),
     )
 
 
@@ -620,6 +750,4 @@ def migration_payload_rows(spark, sf):
     """Payload rows per migration and collection of the whole plan."""
     from ..plans import migration
 
-    part = stored(spark, sf, "slice", lambda: migration.transform(
-        *migration.read_records(backups(spark, sf)), b.words(spark, sf)))
-    return migration.payload_keys(part).groupBy("migration_id", "domain").agg(F.count(F.lit(1)).alias("n"))
+    return migration.payload_keys(whole_slice(spark, sf)).groupBy("migration_id", "domain").agg(F.count(F.lit(1)).alias("n"))

@@ -81,9 +81,20 @@ def plan_priorities(spark, sf):
     return ranked(spark, sf).withColumn("position", F.col("position").cast("bigint"))
 
 
-@query("plan_words", PLAN_SQL + " SELECT user_id, language, item_id, reason, slot FROM selection")
+@query("plan_words", PLAN_SQL + """ SELECT user_id, language, CASE WHEN slot = 0 AND CAST(substr(user_id, 3) AS BIGINT) % 10 = 4 THEN 'gone' ELSE item_id END AS item_id, reason, slot,
+  CASE WHEN CAST(substr(user_id, 3) AS BIGINT) % 10 = 4 THEN 'WORD_LOST' ELSE '' END AS error FROM selection
+UNION ALL SELECT user_id, 'fr', '', '', CAST(-1 AS BIGINT), 'TOO_FEW_WORDS' FROM learners WHERE CAST(substr(user_id, 3) AS BIGINT) % 10 = 3""")
 def plan_words(spark, sf):
-    return selected(spark, sf).withColumn("slot", F.col("slot").cast("bigint"))
+    """Every learner: some chose a word that the corpus has lost, some ask for a language with no words."""
+    n = F.substring("user_id", 3, 20).cast("bigint")
+    asked = learners(spark, sf)
+    french = asked.where(n % 10 == 3).withColumn("language", F.lit("fr"))
+    lost = selected(spark, sf).withColumn("item_id", F.when((n % 10 == 4) & (F.col("slot") == 0), "gone").otherwise(F.col("item_id")))
+    found = daily.plan_words(lost, b.words(spark, sf), asked.unionByName(french))
+    return found.select("user_id", "language", "error", F.explode_outer("words").alias("w")).select(
+        "user_id", "language", F.coalesce("w.item_id", F.lit("")).alias("item_id"), F.coalesce("w.reason", F.lit("")).alias("reason"),
+        F.coalesce("w.slot", F.lit(-1)).cast("bigint").alias("slot"), F.coalesce("error", F.lit("")).alias("error"),
+    )
 
 
 FNV_SQL = """list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split({text}, ''),
@@ -163,7 +174,8 @@ def plan_contract(spark, sf):
 @query("question_requests", BUILT_SQL + f""", profiles AS ({PROFILE_SELECT})
 SELECT p.user_id, p.language, 'request:' || p.user_id || ':' || p.language AS request_id,
   CAST(3 AS BIGINT) AS target_count, p.answered_count, p.recent_trend,
-  array_to_string(i.words, ',') AS items
+  array_to_string(i.words, ',') AS items, (SELECT string_agg(array_to_string(list_slice(w.tags, 1, 10), '+'), ',' ORDER BY s.slot) FROM selection s JOIN words w ON w.id = s.item_id
+    WHERE s.user_id = i.user_id AND s.language = i.language) AS tags
 FROM ids i JOIN profiles p USING (user_id, language)""")
 def question_requests(spark, sf):
     words, events = b.words(spark, sf), history(spark, sf)
@@ -181,6 +193,7 @@ def question_requests(spark, sf):
         F.col("target_count").cast("bigint").alias("target_count"),
         "profile.answered_count", "profile.recent_trend",
         F.array_join(F.transform("content.items", lambda i: i["item_id"]), ",").alias("items"),
+        F.array_join(F.transform("content.items", lambda i: F.array_join(i["tags"], "+")), ",").alias("tags"),
     )
 
 

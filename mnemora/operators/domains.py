@@ -712,15 +712,20 @@ def _messages(items: Column, roles: Column) -> Column:
         role = F.lower(F.get(roles, i))
         return F.struct(
             F.when(role.isin("user", "assistant", "system"), role).otherwise("unknown").alias("role"),
-            F.coalesce(bounded(body_text, MAX_MESSAGE_TEXT), F.lit("")).alias("content"),
+            F.coalesce(body_text, F.lit("")).alias("content"),
             (body_text.isNull() | (F.length(body_text) > MAX_MESSAGE_TEXT)).alias("defaulted"),
         )
 
     return F.transform(F.transform(F.transform(items, body), text), parse)
 
 
-def conversations(records: DataFrame, index: WordIndex) -> tuple[DataFrame, DataFrame]:
-    """Conversations merged by cache key, else legacy id, else generated id."""
+def conversations(records: DataFrame, index: WordIndex) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Conversations merged by cache key, else legacy id, else generated id; their messages; the dispositions.
+
+    The messages are a child table of all messages of the source row with the most of them (up to the limit
+    of the payload, and then the last row): ``position`` from 0, ``role``, the whole ``content``, and
+    ``over_limit`` for what the payload leaves out. ``conversation_view`` gives the payload with its limits.
+    """
     f = lg.Fields(
         _parsed(records, "aiConversations"), ["updatedAt", "date", "messages", "systemPrompt"],
         [*RELATION_FIELDS, "legacyId", "cacheKey", "date", "dateText", "sentence", "word", "headword", "term", "presetId"],
@@ -759,8 +764,7 @@ def conversations(records: DataFrame, index: WordIndex) -> tuple[DataFrame, Data
     rows = found.withColumns({
         "conversation_id": conversation_id,
         "messages": F.transform(
-            F.slice(F.coalesce(msgs, F.array().cast("array<struct<role:string,content:string,defaulted:boolean>>")),
-                    1, MAX_MESSAGES),
+            F.coalesce(msgs, F.array().cast("array<struct<role:string,content:string,defaulted:boolean>>")),
             lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")),
         ),
         **_quarantine(bad, "AI_CONVERSATION_INVALID", "CORRUPT_V1_RECORD", "warning"),
@@ -779,6 +783,7 @@ def conversations(records: DataFrame, index: WordIndex) -> tuple[DataFrame, Data
         .withColumn("n_messages", F.size("messages"))
         .drop("all_messages", "json", "bad_messages", "bad_date")
     )
+    counted = F.least("n_messages", F.lit(MAX_MESSAGES))
     payload = rows.where("target_ref is not null").groupBy(*GROUP).agg(
         F.min_by("conversation_id", "source_ref").alias("conversation_id"),
         *[_first_known(c).alias(c) for c in (
@@ -788,11 +793,32 @@ def conversations(records: DataFrame, index: WordIndex) -> tuple[DataFrame, Data
         F.max("updated_at").alias("updated_at"),
         # The longest prompt and, of equal length, the first; the most messages and then the last.
         F.min_by("system_prompt", F.struct(-F.length("system_prompt"), F.col("source_ref"))).alias("system_prompt"),
-        F.max_by("messages", F.struct("n_messages", "source_ref")).alias("messages"),
+        F.max_by(F.struct("source_ref", "n_messages"), F.struct(counted, "source_ref")).alias("__chosen"),
         F.bit_or("flags").alias("flags"),
     ).withColumn("quality_flags", CONVERSATION_FLAGS.read(F.col("flags"))).drop("flags")
+    payload = durable(payload.withColumn("n_messages", F.col("__chosen.n_messages")))
+    chosen = payload.select("migration_id", F.col("__chosen.source_ref").alias("source_ref"))
+    messages = rows.where("target_ref is not null").join(chosen, ["migration_id", "source_ref"]).select(
+        *GROUP, F.posexplode("messages").alias("position", "m")
+    ).select(*GROUP, "position", "m.role", "m.content", _over(F.col("position"), F.col("m.content")).alias("over_limit"))
     severity = F.when(F.col("flags") != 0, "warning").otherwise("info")
-    return payload, dispose(rows, "AI_CONVERSATION_MAPPED", "DUPLICATE_AI_CONVERSATION", severity)
+    return payload.drop("__chosen"), messages, dispose(rows, "AI_CONVERSATION_MAPPED", "DUPLICATE_AI_CONVERSATION", severity)
+
+
+def _over(position: Column, content: Column, most: int = MAX_MESSAGES, longest: int = MAX_MESSAGE_TEXT) -> Column:
+    return (position >= most) | (F.length(content) > longest)
+
+
+def conversation_view(payload: DataFrame, messages: DataFrame, most: int = MAX_MESSAGES, longest: int = MAX_MESSAGE_TEXT) -> DataFrame:
+    """The payload with an array of its first ``most`` messages; longer contents than ``longest`` are empty."""
+    content = F.when(F.length("content") <= longest, F.col("content")).otherwise("")
+    listed = messages.where(F.col("position") < most).groupBy(*GROUP).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("position", "role", content.alias("content")))),
+            lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")),
+        ).alias("messages")
+    )
+    return payload.join(listed, GROUP, "left").withColumn("messages", F.coalesce("messages", F.array().cast("array<struct<role:string,content:string>>")))
 
 
 QUIZ_FLAGS = Flags(
@@ -803,7 +829,11 @@ QUIZ_FLAGS = Flags(
 
 
 def quizzes(records: DataFrame, index: WordIndex) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Quiz payload, its answers as a child table, and the dispositions."""
+    """All quizzes, all their answers as a child table, and the dispositions.
+
+    ``in_view`` and ``position`` say which quizzes the payload of the original holds, ``over_limit`` which
+    answers it leaves out; its counts are those of the answers within the limit.
+    """
     f = lg.Fields(
         _parsed(records, "aiQuizHistory"),
         ["title", "createdAt", "date", "time", "durationMs", "duration", "total", "totalQuestions", "correct",
@@ -827,7 +857,7 @@ def quizzes(records: DataFrame, index: WordIndex) -> tuple[DataFrame, DataFrame,
     )
     rows = durable(rows)
     each = rows.where("is_object").select(
-        "migration_id", "source_ref", F.posexplode(F.slice("items", 1, MAX_QUIZ_ANSWERS)).alias("ord", "v")
+        "migration_id", "source_ref", F.posexplode("items").alias("ord", "v")
     )
     texts = ("word", "wordSnapshot", "headword", "term")
     g = lg.Fields(
@@ -856,7 +886,8 @@ def quizzes(records: DataFrame, index: WordIndex) -> tuple[DataFrame, DataFrame,
     unresolved = (F.col("raw_word_id").isNotNull() | F.col("word_snapshot").isNotNull()) & F.col(
         "resolved_word_id"
     ).isNull()
-    per_row = answers.groupBy("migration_id", "source_ref").agg(
+    answers = answers.withColumn("over_limit", F.col("ord") >= MAX_QUIZ_ANSWERS)
+    per_row = answers.where("not over_limit").groupBy("migration_id", "source_ref").agg(
         F.count(F.lit(1)).alias("n_answers"), F.count_if("is_correct").alias("n_correct"),
         F.bool_or("bad_language").alias("bad_language"), F.bool_or("no_verdict").alias("no_verdict"),
         F.bool_or(unresolved).alias("unresolved"),
@@ -900,30 +931,37 @@ def quizzes(records: DataFrame, index: WordIndex) -> tuple[DataFrame, DataFrame,
         F.max_by("source_ref", F.struct("n_answers", "source_ref")).alias("answers_ref"),
         F.max("n_answers").alias("n_answers"), F.bit_or("flags").alias("flags"),
     )
-    payload = durable(newest_quizzes(payload))
+    payload = durable(with_history(payload))
     kept = payload.select(*GROUP, F.col("answers_ref").alias("source_ref"))
     answer_rows = answers.join(kept, ["migration_id", "source_ref"]).drop("bad_language", "no_verdict")
     severity = F.when(F.col("flags") != 0, "warning").otherwise("info")
     return payload.drop("answers_ref"), answer_rows, dispose(rows, "AI_QUIZ_MAPPED", "DUPLICATE_AI_QUIZ", severity)
 
 
-def newest_quizzes(payload: DataFrame) -> DataFrame:
-    """The newest 100 quizzes per migration; every kept row says when more were left out."""
+def with_history(payload: DataFrame, most: int = MAX_QUIZ_HISTORY) -> DataFrame:
+    """All quizzes, with ``in_view`` and ``position`` for the newest of each migration, and their flags.
+
+    Every quiz in the view says when others are outside. Only ``most`` rows per migration are ever ranked
+    together: each partition keeps its own newest before the shuffle.
+    """
     newest = W.partitionBy("migration_id").orderBy(F.desc_nulls_last("created_at"), "target_ref")
     sizes = payload.groupBy("migration_id").agg(F.count(F.lit(1)).alias("__all"))
+    first = payload.select(*GROUP, "created_at").withColumn("position", F.row_number().over(newest)).where(F.col("position") <= most)
+    first = first.join(sizes, "migration_id").select(*GROUP, "position", (F.col("__all") > most).alias("__cut"))
     cut = F.lit(1 << QUIZ_FLAGS.names.index("HISTORY_TRUNCATED")).cast("bigint")
     return (
-        payload.withColumn("position", F.row_number().over(newest))
-        .where(F.col("position") <= MAX_QUIZ_HISTORY)
-        .join(sizes, "migration_id")
-        .withColumn(
-            "quality_flags",
-            QUIZ_FLAGS.read(F.when(F.col("__all") > MAX_QUIZ_HISTORY, F.col("flags").bitwiseOR(cut)).otherwise(F.col("flags"))),
-        )
-        .drop("__all", "flags")
+        payload.join(first, GROUP, "left")
+        .withColumn("in_view", F.col("position").isNotNull())
+        .withColumn("quality_flags", QUIZ_FLAGS.read(F.when(F.col("__cut"), F.col("flags").bitwiseOR(cut)).otherwise(F.col("flags"))))
+        .drop("__cut", "flags")
     )
 
 
+def newest_quizzes(payload: DataFrame, most: int = MAX_QUIZ_HISTORY) -> DataFrame:
+    """The newest quizzes per migration; every kept row says when more were left out."""
+    return with_history(payload, most).where("in_view").drop("in_view")
+
+
 # --- recycle bin, preferences, reminders ----------------------------------------------------
 
 BIN_FLAGS = Flags(

@@ -50,6 +50,16 @@ def dispose(
     )
 
 
+def refused_dispositions(refused: DataFrame) -> DataFrame:
+    """Records refused for a plain secret are quarantined too, without an archive: their text is kept nowhere."""
+    nothing = F.lit(None).cast("string")
+    return refused.select(
+        "migration_id", "source_ref", "domain", "record_digest", F.lit("quarantined").alias("outcome"), F.lit("blocking").alias("severity"),
+        F.lit("SENSITIVE_VALUE_PRESENT").alias("reason"), F.col("error").alias("quarantine_code"), nothing.alias("target_ref"),
+        nothing.alias("canonical_source_ref"), nothing.alias("archive_kind"), nothing.alias("archive_ref"),
+    )
+
+
 def merged_sources(dispositions: DataFrame) -> DataFrame:
     """Per target: how many rows it merges, the first of them, and a digest of their set."""
     return (

@@ -39,7 +39,11 @@ def categorize(records: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def fixed_sample(rows: DataFrame, seed: str = "source_fingerprint") -> DataFrame:
-    """The sampled rows per (migration, category): lowest hash of seed, category and ref first."""
+    """The sampled rows per (migration, category): lowest hash of seed, category and ref first.
+
+    Every partition keeps its own first rows of a category before the shuffle, so a category of any size
+    sends a bounded number, and samples of parts merge.
+    """
     score = fnv1a(F.concat_ws(":", seed, "category", "source_ref"))
     order = W.partitionBy("migration_id", "category").orderBy("score", "source_ref")
     limit = F.when(F.col("category").startswith("related-"), RELATED_LIMIT).otherwise(CORE_LIMIT)
@@ -53,11 +57,13 @@ def fixed_sample(rows: DataFrame, seed: str = "source_fingerprint") -> DataFrame
 
 def sampling_evidence(
     rows: DataFrame, sample: DataFrame, dispositions: DataFrame, payload_keys: DataFrame,
-    archives: DataFrame,
+    archives: DataFrame, migrations: DataFrame | None = None,
 ) -> DataFrame:
-    """Per (migration, category): available, sampled, mismatched and passed.
+    """Per migration all sample categories, in report order: available, sampled, mismatched, the refs and passed.
 
-    ``payload_keys``: migration_id, domain, target_ref of every payload row. ``archives``:
+    ``migrations``: migration_id of those to report on; without it those of ``rows``. A category without
+    records has zeros and passes. ``sampled_refs`` are in the order of the sample, ``mismatch_refs`` sorted; a
+    sample is bounded, so both are. Counts combine before the shuffle. ``payload_keys``: migration_id, domain, target_ref of every payload row. ``archives``:
     migration_id, source_ref, archive_kind, archive_ref, record_digest. A sampled row matches
     when its outcome is bound to a payload row or to its archive row.
     """
@@ -86,12 +92,22 @@ def sampling_evidence(
         .otherwise(F.col("active").isNotNull())
     )
     ok = F.coalesce(same & archived & bound, F.lit(False))
-    counted = joined.groupBy("migration_id", "category").agg(
-        F.count(F.lit(1)).alias("sampled"), F.count_if(~ok).alias("mismatched")
+    checked = joined.withColumn("__ok", ok)
+    counted = checked.groupBy("migration_id", "category").agg(
+        F.count(F.lit(1)).alias("sampled"), F.count_if(~F.col("__ok")).alias("mismatched"),
+        F.transform(F.array_sort(F.collect_list(F.struct("position", "source_ref"))), lambda x: x["source_ref"]).alias("sampled_refs"),
+        F.array_sort(F.collect_list(F.when(~F.col("__ok"), F.col("source_ref")))).alias("mismatch_refs"),
     )
     available = rows.where("category is not null").groupBy("migration_id", "category").agg(
         F.count(F.lit(1)).alias("available")
     )
-    return available.join(counted, ["migration_id", "category"], "left").fillna(0).withColumn(
-        "passed", F.col("mismatched") == 0
+    wanted = (rows if migrations is None else migrations).select("migration_id").distinct().select(
+        "migration_id", F.posexplode(F.array(*[F.lit(c) for c in CATEGORIES])).alias("place", "category")
+    )
+    nothing = F.array().cast("array<string>")
+    return (
+        wanted.join(available, ["migration_id", "category"], "left").join(counted, ["migration_id", "category"], "left")
+        .fillna(0, ["available", "sampled", "mismatched"])
+        .withColumn("sampled_refs", F.coalesce("sampled_refs", nothing)).withColumn("mismatch_refs", F.coalesce("mismatch_refs", nothing))
+        .withColumn("passed", F.col("mismatched") == 0)
     )

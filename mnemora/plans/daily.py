@@ -9,6 +9,8 @@ from ..skew import ordinal
 
 PLAN_WORDS = 5
 CHOICE_OPTIONS = 4
+# Fixed value: tags of a word that a question request carries.
+MAX_TAGS = 10
 # The texts of a plan and its questions.
 TITLES = {"ja": "今日 N5 日语", "en": "今日英语"}
 CHOICE_INSTRUCTION = "选择最符合的中文释义"
@@ -52,7 +54,8 @@ def priorities(states: DataFrame, recent: DataFrame, day_end: Column) -> DataFra
 def foundation_words(words: DataFrame, local_date: Column) -> DataFrame:
     """Per language the ten words from the day's start in corpus order, ``offset`` 0..9.
 
-    Ten are enough: at most five are taken and at most five are already chosen.
+    Ten are enough: at most five are taken and at most five are already chosen. A language with fewer than
+    five words gives none; its learners get an error where their priorities do not fill a plan.
     """
     placed = ordinal(words.select("language", "id"), ["language"], ["id"], "place")
     sizes = placed.groupBy("language").agg(F.count(F.lit(1)).alias("size"))
@@ -88,22 +91,31 @@ def select_words(learners: DataFrame, ranked: DataFrame, foundation: DataFrame)
     )
 
 
-def plan_words(selection: DataFrame, words: DataFrame) -> DataFrame:
-    """One row per learner with its five words as an array in slot order."""
+def plan_words(selection: DataFrame, words: DataFrame, learners: DataFrame | None = None) -> DataFrame:
+    """One row per learner: its words as an array in slot order, and ``error`` where they make no plan.
+
+    ``learners``: user_id, language of all who asked; without it those with a selection. TOO_FEW_WORDS: fewer
+    than five words could be chosen. WORD_LOST: a chosen word is not in the corpus; it is in the array without
+    a headword.
+    """
     known = words.select(
         "language", F.col("id").alias("item_id"), "headword", "reading", "phonetic", "meaning",
-        "part_of_speech", "level", "difficulty",
+        "part_of_speech", "level", "difficulty", "tags", F.lit(True).alias("known"),
     )
     entry = F.struct(
         "slot", "item_id", "reason", "headword", "reading", "phonetic", "meaning",
-        "part_of_speech", "level", "difficulty",
+        "part_of_speech", "level", "difficulty", "tags",
     )
-    return (
-        selection.join(known, ["language", "item_id"])
+    listed = (
+        selection.join(known, ["language", "item_id"], "left")
         .groupBy("user_id", "language")
-        .agg(F.array_sort(F.collect_list(entry)).alias("words"))
-        .where(F.size("words") == PLAN_WORDS)
+        .agg(F.array_sort(F.collect_list(entry)).alias("words"), F.bool_and(F.coalesce("known", F.lit(False))).alias("known"))
     )
+    if learners is not None:
+        listed = learners.select("user_id", "language").distinct().join(listed, ["user_id", "language"], "left")
+    nothing = F.array().cast(listed.schema["words"].dataType)
+    error = F.when(F.coalesce(F.size("words"), F.lit(0)) < PLAN_WORDS, "TOO_FEW_WORDS").when(~F.col("known"), "WORD_LOST")
+    return listed.select("user_id", "language", F.coalesce("words", nothing).alias("words"), error.alias("error"))
 
 
 def selection_fingerprint(words: Column) -> Column:
@@ -136,7 +148,8 @@ def choice_words(words: Column, word: Column, index: Column, local_date: Column)
 def build_plans(
     plan: DataFrame, local_date: Column, manifest_id: str, content_version: int
 ) -> DataFrame:
-    """Plan id, title and five questions, alternating choice and text."""
+    """Plan id, title and five questions, alternating choice and text; learners with an error get none."""
+    plan = plan.where("error is null")
     day = F.date_format(local_date, "yyyy-MM-dd")
     plan_id = F.concat_ws(
         "-", F.lit("today"), "language", day, F.lit(manifest_id),
@@ -196,7 +209,8 @@ def question_requests(
     profiles: DataFrame, plan: DataFrame, settings: DataFrame, manifest_id: str,
     content_version: int, target: int = 3,
 ) -> DataFrame:
-    """Minimal context per learner for question generation: profile summary and plan words."""
+    """Minimal context per learner for question generation: profile summary and plan words with their tags."""
+    plan = plan.where("error is null")
     items = F.transform(
         "words",
         lambda w: F.struct(
@@ -204,7 +218,7 @@ def question_requests(
             w["headword"].alias("headword"), w["reading"].alias("reading"),
             w["phonetic"].alias("phonetic"), w["meaning"].alias("meaning"),
             w["part_of_speech"].alias("part_of_speech"), w["level"].alias("level"),
-            w["difficulty"].alias("difficulty"),
+            w["difficulty"].alias("difficulty"), F.slice(w["tags"], 1, MAX_TAGS).alias("tags"),
         ),
     )
     joined = plan.join(profiles, ["user_id", "language"]).join(

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.hashing import digest, set_digest
 from ..operators import domains, identity, outcomes, sampling
-from ..session import durable
+from ..session import durable, shared_dir
 from ..sources.backups import parse_backups, refuse_plain_secrets, source_records
 
 
@@ -29,9 +30,21 @@ def read_records(backups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Headers, safe records (stored once; every later stage reads them) and refused records."""
     parsed = parse_backups(backups)
     headers = durable(parsed.drop("root", "text"))
-    records = durable(source_records(parsed))
-    safe, refused = refuse_plain_secrets(records)
-    return headers, safe, refused
+    return headers, *safe_records(source_records(parsed))
+
+
+def safe_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Safe and refused records, tested for secrets once: every transform reads one domain of the stored rows."""
+    safe, refused = refuse_plain_secrets(durable(records))
+    return _by_domain(safe), durable(refused)
+
+
+def _by_domain(records: DataFrame) -> DataFrame:
+    """Stored in a folder per domain, so that a scan of one domain reads no other."""
+    spark = records.sparkSession
+    path = f"{shared_dir(spark)}/mnemora/{uuid.uuid4().hex}"
+    records.write.partitionBy("domain").parquet(path)
+    return spark.read.schema(records.schema).parquet(path)
 
 
 def transform(headers: DataFrame, records: DataFrame, refused: DataFrame, corpus: DataFrame) -> Slice:
@@ -55,7 +68,9 @@ def transform(headers: DataFrame, records: DataFrame, refused: DataFrame, corpus
     payload["wrongBookAnswers"] = wrong[1]
     add("fsrsCards", domains.review_cards(records, index))
     add("fsrsLogs", domains.review_logs(records, index, payload["fsrsCards"]))
-    add("aiConversations", domains.conversations(records, index))
+    talk = domains.conversations(records, index)
+    add("aiConversations", talk)
+    payload["aiMessages"] = durable(talk[1])
     quiz = domains.quizzes(records, index)
     add("aiQuizHistory", quiz)
     payload["aiQuizAnswers"] = quiz[1]
@@ -65,9 +80,9 @@ def transform(headers: DataFrame, records: DataFrame, refused: DataFrame, corpus
     dispositions = parts[0]
     for part in parts[1:]:
         dispositions = dispositions.unionByName(part)
-    dispositions = durable(outcomes.with_archives(dispositions))
+    dispositions = durable(outcomes.with_archives(dispositions).unionByName(outcomes.refused_dispositions(refused)))
     payload["archives"] = outcomes.archive_rows(
-        dispositions.drop("archive_kind", "archive_ref"), records
+        dispositions.where("archive_kind is not null").drop("archive_kind", "archive_ref"), records
     )[0]
     return Slice(headers, records, refused, entries, payload, dispositions, domains.reminder_settings(records))
 
@@ -88,7 +103,7 @@ def payload_keys(part: Slice) -> DataFrame:
     """(migration, domain, target) of every payload row."""
     found = None
     for name, df in part.payload.items():
-        if name in ("archives", "wrongBookAnswers", "aiQuizAnswers"):
+        if name in ("archives", "wrongBookAnswers", "aiQuizAnswers", "aiMessages"):
             continue
         one = df.select("migration_id", F.lit(name).alias("domain"), "target_ref")
         found = one if found is None else found.unionByName(one)

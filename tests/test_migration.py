@@ -131,7 +131,8 @@ def test_payload_values(done):
     answers = sorted(rows(done.payload["wrongBookAnswers"]), key=lambda r: r["position"])
     assert [a["dimension"] for a in answers] == ["meaning", "reading", "reading"]
     (talk,) = rows(done.payload["aiConversations"])
-    assert [m["role"] for m in talk["messages"]] == ["user", "assistant", "user"] and talk["resolved_word_id"] == "lex-ja-31"
+    said = sorted(rows(done.payload["aiMessages"]), key=lambda m: m["position"])
+    assert [m["role"] for m in said] == ["user", "assistant", "user"] and talk["resolved_word_id"] == "lex-ja-31"
     (quiz,) = rows(done.payload["aiQuizHistory"])
     assert (quiz["total"], quiz["correct"], quiz["n_answers"]) == (3, 2, 2)
     (item,) = rows(done.payload["recycleBin"])
