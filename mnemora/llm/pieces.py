@@ -1,7 +1,7 @@
 """Texts cut where a tokenizer surely ends a token, so that each distinct piece is encoded once.
 
-Two kinds of place are proven. *Space*: before a space that a printable ASCII character follows; the
-pattern of byte-level BPE begins a new match at such a space and lets none reach over it. *Mark*:
+Two kinds of place are proven. *Space*: before a space that a character other than white space follows,
+as its first byte tells; the pattern of byte-level BPE begins a new match at such a space and lets none reach over it. *Mark*:
 between an ASCII letter and an ASCII mark; a run of letters ends there. What comes before such a
 place is split the same way if nothing follows, so the ids of a text are those of its pieces, one
 after the other. Callers take away the marks for which the proof does not hold.
@@ -23,8 +23,10 @@ MARKS = bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]
 TOGETHER = 8 << 20
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = True
+#: First bytes of characters that are no white space: printable ASCII, and all but those that some of Unicode's begin with.
 _SEEN = np.zeros(256, dtype=bool)
-_SEEN[33:127] = True
+_SEEN[33:127] = _SEEN[0xC3:0xF5] = True
+_SEEN[0xE1:0xE4] = False
 
 
 def gathered(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = TOGETHER) -> Iterator[pa.Table]:
@@ -145,8 +147,9 @@ class ByteLevel:
         """The ids of each piece. Those that begin with a space and a seen character go in one text."""
         self.token_bytes
         out: list[bytes] = [b""] * len(pieces)
-        joined = [i for i, p in enumerate(pieces) if p[:1] == b" " and _SEEN[p[1:2][0] if len(p) > 1 else 0]]
-        rest = sorted(set(range(len(pieces))).difference(joined))
+        seen = _SEEN.tolist()
+        own = [len(p) > 1 and p[0] == 32 and seen[p[1]] for p in pieces]
+        joined, rest = [i for i, x in enumerate(own) if x], [i for i, x in enumerate(own) if not x]
         width = self.dtype.itemsize
         for at in range(0, len(joined), together):
             some = joined[at : at + together]

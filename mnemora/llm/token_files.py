@@ -32,7 +32,7 @@ from .frames import durable, prepared, shared_path, small_batches, texts
 from .pieces import ByteLevel, column, gathered
 
 END_ID = 2
-BLOCK, LANES, ROWS = 1 << 18, 512, 128
+BLOCK, LANES, ROWS = 1 << 20, 2048, 128
 #: Ids of a file at most, on average.
 FILE = 1 << 26
 LOW = 1 << 31
@@ -378,7 +378,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     # Explicit numbers of partitions are not merged by adaptive execution.
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = based.repartition(wide, "path").mapInArrow(plan, _PLAN)
-    parts = durable(blocks.repartition(max(wide, -(-every // 64)), "path", "at").mapInArrow(read, _PARTS))
+    parts = durable(blocks.repartition(max(wide, -(-every // 16)), "path", "at").mapInArrow(read, _PARTS))
     whole = parts.where("n = n_tokens").select("doc_id", "start", "n_tokens", F.col("crc").alias("ids_crc32"))
     joined = parts.where("n < n_tokens").groupBy("start").agg(
         F.min("doc_id").alias("doc_id"), F.min("n_tokens").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"), F.sum("n").alias("n"),
