@@ -1,4 +1,5 @@
 import hashlib
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -35,11 +36,13 @@ def one(text):
         return None
     at, to = (spans([len(t) for t in x]) for x in as_bytes)
     cuts = sorted({e for _, e in at} & {e for _, e in to})
-    groups = []
-    for begin, end in zip([0] + cuts, cuts):
-        groups.append([",".join(str(i) for i, (s, e) in zip(ids, places) if begin <= s and e <= end) for ids, places in ((a, at), (b, to))])
-    links = [(x, y) for x, (s, e) in zip(a, at) for y, (u, v) in zip(b, to) if s < v and u < e]
-    return a, b, [f"{x}|{y}" for x, y in groups], links
+    of = {}  # cut that ends a token's group: ids of both sides
+    for side, ids, places in ((0, a, at), (1, b, to)):
+        for i, (_, e) in zip(ids, places):
+            of.setdefault(cuts[bisect_left(cuts, e)], ([], []))[side].append(str(i))
+    owner = [k for k, (s, e) in enumerate(to) for _ in range(s, e)]  # the token of B at each byte
+    links = [(x, b[k]) for x, (s, e) in zip(a, at) for k in dict.fromkeys(owner[s:e])]
+    return a, b, [f"{','.join(of[c][0])}|{','.join(of[c][1])}" for c in cuts], links
 
 
 def expected(texts):
