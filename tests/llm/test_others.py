@@ -72,6 +72,24 @@ def test_no_pages(spark, tmp_path):
     assert archives.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_blocks_are_read_by_many_tasks(spark, tmp_path):
+    """Repeated page ids, a record longer than a block, and as many reading tasks as partitions were asked for."""
+    rows = [(i % 50, f"u{i}", "x" * (5_000 if i == 3 else 90) + str(i // 2 if i % 3 else i), None) for i in range(200)]
+    manifest = archives.write_archives(spark.createDataFrame(rows, PAGES), str(tmp_path))
+    found = archives.read_archives(manifest, block=500)
+    got = found.collect()
+    data = [(r[0], hashlib.sha256(r[2].encode()).hexdigest()) for r in rows]
+    assert sorted((g.page_id, g.payload_digest) for g in got) == sorted(data)
+    first = {}
+    for page_id, _, html, _ in rows:
+        first[html] = min(page_id, first.get(html, page_id))
+    of = {hashlib.sha256(h.encode()).hexdigest(): (i, len(h)) for h, i in first.items()}
+    for g in got:
+        least, size = of[g.payload_digest]
+        assert g.refers_to == (least if size >= 100 and g.page_id != least else None)
+    assert found.rdd.getNumPartitions() >= 4 and "AQEShuffleRead coalesced" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 # --- mixing ---------------------------------------------------------------------------------
 
 

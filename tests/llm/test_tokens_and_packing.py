@@ -76,3 +76,27 @@ def test_the_best_neighbour_comes_first():
     index = packing.Index(pool)
     index.used[0] = True
     assert next(index.neighbours(0)) == 2 and sorted(index.neighbours(0)) == [1, 2, 3, 4, 5, 6]
+
+
+def test_scores_equal_those_of_plain_bm25():
+    r = np.random.default_rng(7)
+    pool = [packing.Rest(i, 9, 0, r.integers(0, 25, r.integers(1, 40))) for i in range(60)]
+    index, n = packing.Index(pool), len(pool)
+    mean = sum(len(p.ids) for p in pool) / n
+    held = [Counter(p.ids.tolist()) for p in pool]
+    in_docs = Counter(t for h in held for t in h)
+
+    def score(a, b):
+        total = 0.0
+        for t in held[a]:
+            idf = max(0.0, np.log((n - in_docs[t] + 0.5) / (in_docs[t] + 0.5)))
+            f = held[b][t]
+            total += idf * f * (packing.K1 + 1) / (f + packing.K1 * (1 - packing.B + packing.B * len(pool[b].ids) / mean)) if f and in_docs[t] > 1 else 0.0
+        return total
+
+    for seed in range(n):
+        index.used[:] = False
+        index.used[seed] = index.used[(seed + 7) % n] = True
+        order = list(index.neighbours(seed))
+        assert sorted(order) == [j for j in range(n) if not index.used[j]]
+        assert np.allclose([score(seed, j) for j in order], sorted((score(seed, j) for j in order), reverse=True))
