@@ -72,16 +72,16 @@ class Encoder:
         self._words, self._parts = Recent(most), Recent(most)
         self._together = together
 
-    def ids(self, texts: pa.Array) -> list[bytes]:
-        """The ids of each whole text as little-endian integers of ``dtype``."""
+    def ids(self, texts: pa.Array, at_once: int = _AT_ONCE) -> list[bytes]:
+        """The ids of each whole text as little-endian integers of ``dtype``; ``at_once`` words are looked up together."""
         if not self.separable:
             found = self.library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
             return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
         split = pc.ascii_split_whitespace(texts)
         words, places = split.flatten(), split.offsets.to_numpy()
         ids, sizes = [np.zeros(0, self.dtype)], [np.zeros(1, np.int64)]
-        for at in range(0, len(words), _AT_ONCE):
-            coded = words.slice(at, _AT_ONCE).dictionary_encode()
+        for at in range(0, len(words), at_once):
+            coded = words.slice(at, at_once).dictionary_encode()
             found = self._words.find(coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), self._learn)
             size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.dtype.itemsize
             begin, which = np.cumsum(size) - size, coded.indices.to_numpy()

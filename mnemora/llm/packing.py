@@ -24,11 +24,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from .encoding import encoder
 from .frames import durable, prepared, small_batches, texts
+from .pieces import column, gathered
 
 WINDOW = 2048
 END_ID = 1
 SHARD = 1024
 K1, B = 1.2, 0.75
+#: Words looked up together.
+AT_ONCE = 1 << 20
 
 _RESTS = "doc_id long, doc_tokens long, whole_crcs array<long>, rest binary, near binary, rest_crc long"
 _PIECES = (
@@ -57,9 +60,9 @@ def _rests(rows: DataFrame, path: str, window: int, end_id: int) -> DataFrame:
         encode = encoder(path)
         end = np.array([end_id], dtype=encode.dtype).tobytes()
         table = _signatures(encode.library.get_vocab_size())
-        for batch in batches:
+        for held in gathered(batches):
             tokens, crcs, rests, near = [], [], [], []
-            for packed_ids in encode.ids(batch.column("text")):
+            for packed_ids in encode.ids(column(held, "text"), AT_ONCE):
                 ids = np.frombuffer(packed_ids + end, dtype=encode.dtype)
                 whole = len(ids) // window
                 wide = ids.astype("<u4")
@@ -67,18 +70,18 @@ def _rests(rows: DataFrame, path: str, window: int, end_id: int) -> DataFrame:
                 crcs.append([zlib.crc32(wide[k * window : (k + 1) * window]) for k in range(whole)])
                 rest = ids[whole * window :]
                 rests.append(rest.tobytes())
-                near.append(table[:, rest].min(axis=1).tobytes() if len(rest) else b"")
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())),
-                pa.array(rests, pa.binary()), pa.array(near, pa.binary()),
-                pa.array([zlib.crc32(r) for r in rests], pa.int64()),
-            ], names=["doc_id", "doc_tokens", "whole_crcs", "rest", "near", "rest_crc"])
+                near.append(table[:, rest].min(axis=1).astype(">u4").tobytes() if len(rest) else b"")
+            yield from pa.table({
+                "doc_id": held.column("doc_id"), "doc_tokens": pa.array(tokens, pa.int64()), "whole_crcs": pa.array(crcs, pa.list_(pa.int64())),
+                "rest": pa.array(rests, pa.binary()), "near": pa.array(near, pa.binary()),
+                "rest_crc": pa.array([zlib.crc32(r) for r in rests], pa.int64()),
+            }).to_batches()
 
     return rows.mapInArrow(run, _RESTS)
 
 
 def _signatures(size: int) -> np.ndarray:
-    """Four hash values per token id; big-endian, so that bytes sort like numbers."""
+    """Four hash values per token id."""
     ids = np.arange(size, dtype=np.uint64)
     rows = []
     for seed in range(1, 5):
@@ -86,7 +89,7 @@ def _signatures(size: int) -> np.ndarray:
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         rows.append((h >> np.uint64(32)).astype(np.uint32))
-    return np.array(rows).astype(">u4")
+    return np.array(rows)
 
 
 class Rest:
