@@ -34,6 +34,8 @@ LEAST_REVISIT = 100
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 #: Bytes that one range request takes, unless a single record is longer.
 BLOCK = 1 << 22
+#: Blocks that a reading task takes, on average.
+TASK_BLOCKS = 8
 _ZIP32 = 0xFFFFFFFF
 _MANIFEST = "path string, records long, bytes long"
 _PLAN = "path string, begin long, length long"
@@ -271,7 +273,7 @@ def write_archives(pages: DataFrame, folder: str, always64: bool = False) -> Dat
 
 
 def read_archives(archives: DataFrame, block: int = BLOCK) -> DataFrame:
-    """All records of the archives in ``path``: page_id, payload_bytes, payload_digest, record_type, refers_to, url."""
+    """All records of the archives in ``path`` (with ``bytes``, their sizes, if known): page_id, payload_bytes, payload_digest, record_type, refers_to, url."""
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,8 +304,11 @@ def read_archives(archives: DataFrame, block: int = BLOCK) -> DataFrame:
                 ranges.close()
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names=names)
 
-    blocks = archives.select("path").repartition("path").mapInArrow(plan, _PLAN)
-    return blocks.repartition("path", "begin").mapInArrow(read, _RECORDS)
+    # Plan rows are tiny: adaptive execution would merge them all into one task, but for an explicit number.
+    wide = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = archives.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] if "bytes" in archives.columns else 0
+    blocks = archives.select("path").repartition(wide, "path").mapInArrow(plan, _PLAN)
+    return blocks.repartition(max(wide, -(-every // (TASK_BLOCKS * block))), "path", "begin").mapInArrow(read, _RECORDS)
 
 
 def _index(ranges: Ranges, held: dict) -> list[tuple[int, int]]:
