@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import clean_text, nfkc, trim_all
+from .text import clean_text, nfkc_items, trim_field
 
 MAX_SAFE_INTEGER = 9007199254740991
 
@@ -154,8 +154,10 @@ class Fields:
             steps[at("n", n)] = F.when(k == "number", F.try_variant_get(v, "$", "double"))
         df = df.withColumns(steps).withColumn(at("k", ""), kind(F.col(value)))
         if texts:
-            df = df.withColumns({at("c", n): nfkc(F.col(at("s", n))) for n in texts})
-            df = df.withColumns({at("c", n): trim_all(F.col(at("c", n))) for n in texts})
+            # One list of all texts: one call to Python a row at most, however many fields there are.
+            df = df.withColumn(at("c", ""), nfkc_items(F.array(*[F.col(at("s", n)) for n in texts])))
+            df = df.withColumns({at("c", n): F.get(at("c", ""), F.lit(i)) for i, n in enumerate(texts)})
+            df = df.withColumns({at("c", n): trim_field(F.col(at("c", n))) for n in texts})
             df = df.withColumns(
                 {at("c", n): F.when(F.col(at("c", n)) != "", F.col(at("c", n))) for n in texts}
             )

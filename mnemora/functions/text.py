@@ -5,13 +5,14 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 WORD_ID_PATTERN = r"^[a-z0-9][a-z0-9-]{2,127}$"
 _EDGE_SPACE = r"(?U)^[\s﻿]+|[\s﻿]+$"
 _INNER_SPACE = r"(?U)[\s﻿]+"
 _QUOTES = "[\"'“”‘’`]"
-_ASCII = r"^[\x00-\x7F]*$"
+# The white space of ASCII that the patterns above match.
+_ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 @F.pandas_udf(T.StringType())
@@ -19,14 +20,24 @@ def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
+def is_ascii(col: Column) -> Column:
+    """Every character takes one byte: lengths are compared, no character is looked at."""
+    return F.octet_length(col) == F.char_length(col)
+
+
 def trim_all(col: Column) -> Column:
     """Trim every Unicode space and the byte-order mark, not only U+0020."""
     return F.regexp_replace(col, _EDGE_SPACE, "")
 
 
+def trim_field(col: Column) -> Column:
+    """``trim_all`` without a pattern for ASCII; ``col`` is read four times, so it should be a plain column."""
+    return F.when(is_ascii(col), F.btrim(col, F.lit(_ASCII_SPACE))).otherwise(trim_all(col))
+
+
 def nfkc(col: Column) -> Column:
     """NFKC. ASCII values keep their text; only the others carry data through Arrow."""
-    ascii_only = col.rlike(_ASCII)
+    ascii_only = is_ascii(col)
     return F.when(ascii_only, col).otherwise(_nfkc(F.when(~ascii_only, col)))
 
 
@@ -40,11 +51,15 @@ def _nfkc_items(lists: pd.Series) -> pd.Series:
     return lists.map(one)
 
 
+def nfkc_items(col: Column) -> Column:
+    """NFKC of every element; only lists with a wide character carry data through Arrow."""
+    ascii_only = F.forall(col, lambda x: x.isNull() | is_ascii(x))
+    return F.when(ascii_only, col).otherwise(_nfkc_items(F.when(~ascii_only, col)))
+
+
 def clean_items(col: Column) -> Column:
     """``clean_text`` for every element. A UDF cannot run inside a lambda, so lists have their own."""
-    ascii_only = F.forall(col, lambda x: x.isNull() | x.rlike(_ASCII))
-    plain = F.when(ascii_only, col).otherwise(_nfkc_items(F.when(~ascii_only, col)))
-    return F.transform(plain, lambda x: F.when(trim_all(x) != "", trim_all(x)))
+    return F.transform(nfkc_items(col), lambda x: F.when(trim_all(x) != "", trim_all(x)))
 
 
 def clean_text(col: Column) -> Column:
@@ -53,13 +68,26 @@ def clean_text(col: Column) -> Column:
     return F.when(text != "", text)
 
 
+def clean_columns(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds ``clean_text`` of each of ``columns`` under its name, with one call to Python for all of them."""
+    rows = rows.withColumn("__texts", nfkc_items(F.array(*columns.values())))
+    rows = rows.withColumns({name: F.get("__texts", F.lit(i)) for i, name in enumerate(columns)}).drop("__texts")
+    rows = rows.withColumns({name: trim_field(F.col(name)) for name in columns})
+    return rows.withColumns({name: F.when(F.col(name) != "", F.col(name)) for name in columns})
+
+
 def collapse_spaces(col: Column) -> Column:
     return F.regexp_replace(col, _INNER_SPACE, " ")
 
 
 def identity_headword(col: Column) -> Column:
     """Headword form of the identity map: quotes dropped, spaces collapsed, lower case."""
-    bare = F.regexp_replace(clean_text(col), _QUOTES, "")
+    return quoteless(clean_text(col))
+
+
+def quoteless(cleaned: Column) -> Column:
+    """``identity_headword`` of a text that is cleaned already."""
+    bare = F.regexp_replace(cleaned, _QUOTES, "")
     text = F.lower(trim_all(collapse_spaces(bare)))
     return F.when(text != "", text)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.hashing import digest, key_digest
 from ..functions.text import (
-    clean_text, collapse_spaces, identity_headword, is_word_id, relation_headword,
+    clean_columns, collapse_spaces, is_word_id, quoteless, relation_headword,
 )
 from ..session import durable
 from ..skew import attach_by_key
@@ -49,18 +49,19 @@ def normalize_identity(records: DataFrame) -> DataFrame:
         if name not in have:
             kind = "boolean" if name == "is_built_in" else "string"
             records = records.withColumn(name, F.lit(None).cast(kind))
-    raw_head = clean_text(F.col("headword"))
-    return records.select(
+    names = ["word_id", *OPTIONAL]
+    cleaned = clean_columns(records, {f"__{n}": F.col(n) for n in names})
+    return cleaned.select(
         "migration_id", "source_ref", "source_kind",
         F.coalesce("language", F.lit("ja")).alias("language"),
         F.col("language").isNull().alias("language_defaulted"),
-        clean_text(F.col("word_id")).alias("raw_word_id"),
-        raw_head.alias("raw_headword"),
-        identity_headword(F.col("headword")).alias("normalized_headword"),
-        F.lower(collapse_spaces(clean_text(F.col("folder")))).alias("normalized_folder"),
-        F.coalesce(clean_text(F.col("reading")), clean_text(F.col("phonetic"))).alias("sound"),
-        clean_text(F.col("source_id")).alias("source_id"),
-        clean_text(F.col("imported_at")).alias("imported_at"),
+        F.col("__word_id").alias("raw_word_id"),
+        F.col("__headword").alias("raw_headword"),
+        quoteless(F.col("__headword")).alias("normalized_headword"),
+        F.lower(collapse_spaces(F.col("__folder"))).alias("normalized_folder"),
+        F.coalesce("__reading", "__phonetic").alias("sound"),
+        F.col("__source_id").alias("source_id"),
+        F.col("__imported_at").alias("imported_at"),
         F.coalesce("is_built_in", F.lit(False)).alias("is_built_in"),
         "raw_digest",
     )
@@ -77,10 +78,11 @@ def identity_map(records: DataFrame, words: DataFrame) -> DataFrame:
     The distinct (migration, language, id, headword) references are resolved and counted once;
     their rows then get the result in one skew-safe join.
     """
-    rows = normalize_identity(records).withColumn(
+    # Stored: the references are counted first, and the rows get their result in a second scan.
+    rows = durable(normalize_identity(records).withColumn(
         "__ref",
         key_digest(F.col("migration_id"), F.col("language"), F.col("raw_word_id"), F.col("raw_headword")),
-    )
+    ))
     is_word = F.col("source_kind") == "word"
     own_id = is_word & ~F.col("is_built_in") & is_word_id(F.col("raw_word_id"))
     distinct = durable(rows.groupBy("__ref").agg(

@@ -30,8 +30,9 @@ def build_session(app: str = "mnemora", master: str | None = None, **conf: str)
 
 
 def apply_runtime_conf(spark: SparkSession) -> None:
-    """Set the settings results depend on, for a session that someone else built."""
-    for key in ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit"):
+    """Set the settings results or balance depend on, for a session that someone else built."""
+    for key in ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit", "spark.sql.adaptive.enabled",
+                "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.adaptive.skewJoin.enabled"):
         spark.conf.set(key, BASE_CONF[key])
 
 
