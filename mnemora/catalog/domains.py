@@ -26,6 +26,11 @@ def stored(spark, sf, name, build):
     return _STORED[key]
 
 
+def forget_stored():
+    """Build shared tables anew: for tables that changed, and for fair times."""
+    _STORED.clear()
+
+
 def stored_entries(spark, sf):
     return stored(spark, sf, "entries", lambda: durable(entries(spark, sf)))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import bindings as b
@@ -304,6 +306,44 @@ def replay_summary(spark, sf):
     return summary.withColumn("last_review", F.date_format("last_review", TS))
 
 
+@query("replaced_projection", REPLAY_SQL + """
+SELECT user_id, item_id, CASE WHEN CAST(substr(user_id, 3) AS BIGINT) % 2 = 0 THEN 'old' ELSE id END AS last_event_id FROM intervals
+WHERE CAST(substr(user_id, 3) AS BIGINT) % 10 <> 1""")
+def replaced_projection(spark, sf):
+    """A stored projection of all users; those with odd numbers are replaced, some of them by nothing."""
+    from ..session import shared_dir
+    from ..sources import store
+
+    n = F.substring("user_id", 3, 20).cast("bigint")
+    states = review.replay_review_states(b.events(spark, sf)).select("user_id", "item_id", "last_event_id")
+    path = f"{shared_dir(spark)}/mnemora/{uuid.uuid4().hex}"
+    users = states.select("user_id").distinct()
+    store.replace_projection(states.withColumn("last_event_id", F.lit("old")), users, path)
+    store.replace_projection(states.where((n % 2 != 0) & (n % 10 != 1)), users.where(n % 2 != 0), path)
+    return spark.read.parquet(path).select("user_id", "item_id", "last_event_id")
+
+
+@query("projection_contract", f"""WITH {EVENTS_SQL}, per AS (SELECT DISTINCT user_id, CAST(substr(user_id, 3) AS BIGINT) AS n FROM ev
+  WHERE event_type IN ('answerCorrect', 'answerIncorrect') AND item_id IS NOT NULL)
+SELECT user_id, array_to_string(list_filter([CASE WHEN n % 4 = 1 OR n % 4 = 2 THEN 'STATE_ID_DUPLICATE' END, CASE WHEN n % 4 = 1 THEN 'STATE_ITEM_DUPLICATE' END,
+  CASE WHEN n % 4 = 3 THEN 'STATE_FOREIGN_LEARNER' END], lambda x: x IS NOT NULL), ',') AS violations FROM per""")
+def projection_contract(spark, sf):
+    """Projections with a state twice, an id twice or a state of another learner."""
+    n = F.substring("projection_user", 3, 20).cast("bigint")
+    states = review.replay_summary(b.events(spark, sf)).select(
+        F.col("user_id").alias("projection_user"), F.concat_ws(":", "user_id", "item_id").alias("id"), "user_id", "item_id"
+    )
+    first = states.groupBy("projection_user").agg(F.min(F.struct("id", "item_id")).alias("x")).select(
+        "projection_user", F.col("x.id").alias("id"), F.col("projection_user").alias("user_id"), "x.item_id"
+    )
+    again = first.where(n % 4 == 1).unionByName(first.where(n % 4 == 2).withColumn("item_id", F.lit("another"))).unionByName(
+        first.where(n % 4 == 3).withColumn("user_id", F.lit("someone")).withColumn("id", F.lit("x")).withColumn("item_id", F.lit("y"))
+    )
+    profiles = states.select(F.col("projection_user").alias("user_id")).distinct()
+    found = contracts.check_projections(profiles, states.unionByName(again))
+    return found.withColumn("violations", F.array_join("violations", ","))
+
+
 @query("due_reviews", REPLAY_SQL + """
 SELECT user_id, count(*) FILTER (WHERE ts + to_days(CAST(scheduled_days AS INTEGER))
   < TIMESTAMP '2024-01-20 00:00:00') AS due_reviews FROM intervals GROUP BY user_id""")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import bindings as b
 from ..functions.hashing import fnv1a_hex
 from ..operators import contracts, corpus, domains, outcomes, preview, sampling, verification
-from ..session import durable
+from ..session import durable, shared_dir
 from ..sources import backups as bk
 from ..sources import devices, redact, store
 from .base import query, table
@@ -24,7 +26,8 @@ BACKUP_SQL = """bk AS (SELECT c_custkey AS k, 'b-' || CAST(c_custkey AS VARCHAR)
     CASE WHEN c_custkey % 11 = 3 THEN 'INVALID_JSON' WHEN c_custkey % 13 = 5 THEN 'UNKNOWN_FORMAT' ELSE '' END AS error,
     CASE WHEN c_custkey % 10 = 0 THEN 'legacy-v4' ELSE 'modern' END AS format FROM customer),
 good AS (SELECT * FROM bk WHERE error = ''),
-ow AS (SELECT o_custkey AS k, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS idx FROM orders),
+ow AS (SELECT o_custkey AS k, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS idx FROM orders
+  WHERE o_custkey % 17 <> 9 OR o_custkey % 10 = 0),
 recs AS (
   SELECT migration_id, 'data.db[' || CAST(idx AS VARCHAR) || ']' AS source_ref, 'words' AS domain,
     CASE WHEN o_orderkey % 17 = 0 THEN 'number' ELSE 'object' END AS value_type FROM good JOIN ow USING (k)
@@ -52,8 +55,10 @@ def backups(spark, sf):
     )
     seg = F.col("c_mktsegment")
     star = F.when(k % 7 == 0, F.lit('"lost"')).otherwise(F.concat(F.lit('["w-'), (k % 60).cast("string"), F.lit('"]')))
+    # Some modern backups have no words at all.
+    listed = F.when((k % 17 == 9) & (k % 10 != 0), "").otherwise(F.concat(F.lit('"db":['), F.coalesce("db", F.lit("")), F.lit("],")))
     data = F.concat(
-        F.lit('"db":['), F.coalesce("db", F.lit("")), F.lit('],"folders":["'), seg, F.lit('","'), seg,
+        listed, F.lit('"folders":["'), seg, F.lit('","'), seg,
         F.lit('"],"folderLangs":{"'), seg, F.lit('":"ja"},"stars":'), star, F.lit(',"mtGroupClears":{"g '), seg,
         F.lit('":'), (k % 9).cast("string"), F.lit("}"),
     )
@@ -111,6 +116,41 @@ def source_contract(spark, sf):
     return contracts.check_source_records(backup_records(spark, sf))
 
 
+@query("reader_contract", f"""WITH {BACKUP_SQL}, per AS (SELECT migration_id, k, format, count(*) AS n FROM good JOIN recs USING (migration_id) GROUP BY ALL)
+SELECT migration_id, n + CASE WHEN k % 5 = 1 THEN 1 ELSE 0 END AS source, array_to_string(list_filter([CASE WHEN k % 5 = 2 THEN 'DOMAIN_ORDER' END,
+  CASE WHEN k % 5 = 2 OR k % 5 = 3 THEN 'DOMAIN_COUNT' END, CASE WHEN k % 5 = 1 OR k % 5 = 3 THEN 'SOURCE_SUM' END, CASE WHEN k % 5 = 1 THEN 'SOURCE_COUNT' END,
+  CASE WHEN k % 5 = 4 THEN 'UNKNOWN_REFS' END], lambda x: x IS NOT NULL), ',') AS violations FROM per""")
+def reader_contract(spark, sf):
+    """What readers state of every backup; some state another total, order, domain count or number of unknown records."""
+    records = backup_records(spark, sf)
+    k = F.substring("migration_id", 3, 20).cast("bigint")
+    counts = bk.domain_counts(records, records.select("migration_id").distinct())
+    stated = counts.withColumn("n", F.col("n") + F.when((k % 5 == 3) & (F.col("domain") == "words"), 1).otherwise(0))
+    listed = stated.groupBy("migration_id").agg(F.array_sort(F.collect_list(F.struct("position", "domain", "n"))).alias("x"))
+    domains_of = F.transform("x", lambda x: F.struct(x["domain"].alias("domain"), x["n"].alias("n")))
+    found = contracts.check_source_records(records).join(listed, "migration_id").select(
+        "migration_id", (F.col("source") + F.when(k % 5 == 1, 1).otherwise(0)).alias("source"), (F.col("unknown") + F.when(k % 5 == 4, 1).otherwise(0)).alias("unknown"),
+        F.when(k % 5 == 2, F.reverse(domains_of)).otherwise(domains_of).alias("domains"),
+    )
+    return contracts.check_reader_output(records, found).withColumn("violations", F.array_join("violations", ","))
+
+
+@query("migration_ids", """SELECT c_custkey AS k, 'v1-v2:' || substr(sha256(c_name), 1, 24) || ':spec-1' AS migration_id FROM customer""")
+def migration_ids(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), bk.migration_id(F.sha2("c_name", 256)).alias("migration_id"))
+
+
+@query("exported_report", """SELECT 'm-' || CAST(o_custkey % 40 AS VARCHAR) AS migration_id, o_orderstatus AS status, count(*) AS n FROM orders GROUP BY ALL""")
+def exported_report(spark, sf):
+    """A report written for export and read back."""
+    rows = table(spark, sf, "orders").groupBy(
+        F.concat(F.lit("m-"), (F.col("o_custkey") % 40).cast("string")).alias("migration_id"), F.col("o_orderstatus").alias("status")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    path = f"{shared_dir(spark)}/mnemora/{uuid.uuid4().hex}"
+    store.write_report(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
 @query("record_digests", """SELECT source || '[' || CAST(doc_id AS VARCHAR) || ']' AS source_ref,
   sha256(CAST(json_object('schemaVersion', 1, 'sourceRef', source || '[' || CAST(doc_id AS VARCHAR) || ']',
     'domain', lang, 'serializedValue', sha256(text)) AS VARCHAR)) AS record_digest FROM documents""")
@@ -196,6 +236,7 @@ def device_captures(spark, sf):
         ("local", "volume", text(F.lit("7")), F.lit(True)),
         ("local", "deepseek-API-key", F.when(k % 4 == 0, F.lit('"sk-1"')).otherwise('"[REDACTED]"'), F.lit(True)),
         ("local", "migrationSafetySnapshot_v1", text(F.lit('{"b": 2, "a": 1}')), k % 7 == 0),
+        ("local", "nativeStudyReminderEnabled", text(F.lit("true")), k % 6 == 0),
         ("indexed", "oddKey", F.lit("[1, 2]"), F.lit(True)),
         ("local", "oddKey", F.lit("3"), F.lit(True)),
         ("indexed", "wordStorageVersion", F.lit("2"), F.lit(True)),
@@ -233,6 +274,7 @@ drecs AS (
   UNION ALL SELECT migration_id, 'device.localStorage["volume"]', 'preferences', 'number', '7' FROM fine
   UNION ALL SELECT migration_id, 'device.localStorage["deepseek-API-key"]', 'preferences', 'string', CASE WHEN k % 4 = 0 THEN '"sk-1"' ELSE '"[REDACTED]"' END FROM fine
   UNION ALL SELECT migration_id, 'device.localStorage["migrationSafetySnapshot_v1"]', 'unknown', 'object', '{{"a":1,"b":2}}' FROM fine WHERE k % 7 = 0
+  UNION ALL SELECT migration_id, 'device.localStorage["nativeStudyReminderEnabled"]', 'preferences', 'boolean', 'true' FROM fine WHERE k % 6 = 0
   UNION ALL SELECT migration_id, 'device.indexedDb["oddKey"]', 'unknown', 'array', '[1,2]' FROM fine)"""
 
 
@@ -329,12 +371,14 @@ classed AS (SELECT w.migration_id, 'data.db[' || CAST(idx AS VARCHAR) || ']' AS
     FROM good g LEFT JOIN idc ON idc.migration_id = g.migration_id AND idc.word_id = 'w-' || CAST(k % 60 AS VARCHAR)
   UNION ALL SELECT migration_id, source_ref, domain, CASE domain WHEN 'unknown' THEN 'skipped' ELSE 'migratable' END,
     CASE domain WHEN 'unknown' THEN 'UNKNOWN_FIELDS_ARCHIVED' END FROM recs WHERE domain IN ('groupProgress', 'preferences', 'unknown')),
-summary AS (SELECT migration_id, domain, count(*) AS source, count(*) FILTER (WHERE class = 'migratable') AS migratable,
+summary AS (SELECT g.migration_id, w.domain, count(c.class) AS source, count(*) FILTER (WHERE class = 'migratable') AS migratable,
   count(*) FILTER (WHERE class = 'skipped') AS skipped, count(*) FILTER (WHERE class = 'conflict') AS conflict,
-  count(*) FILTER (WHERE class = 'error') AS error FROM classed GROUP BY ALL),
+  count(*) FILTER (WHERE class = 'error') AS error FROM good g CROSS JOIN (SELECT unnest({bk.DOMAIN_ORDER}) AS domain) w
+  LEFT JOIN classed c ON c.migration_id = g.migration_id AND c.domain = w.domain GROUP BY g.migration_id, w.domain),
 issue_rows AS (SELECT DISTINCT c.migration_id, domain, issue AS code, w.word_id AS ref FROM classed c
     JOIN wordrow w ON w.migration_id = c.migration_id AND c.source_ref = 'data.db[' || CAST(w.idx AS VARCHAR) || ']' WHERE issue = 'WORD_ID_DUPLICATE'
   UNION ALL SELECT migration_id, domain, issue, source_ref FROM classed WHERE issue IS NOT NULL AND issue <> 'WORD_ID_DUPLICATE'
+  UNION ALL SELECT migration_id, 'words', 'WORDS_REQUIRED', NULL FROM good WHERE k % 17 = 9 AND k % 10 <> 0
   UNION ALL SELECT migration_id, 'unknown', 'LEGACY_V4_LIMITED_COVERAGE', NULL FROM good WHERE format = 'legacy-v4')"""
 
 
@@ -345,7 +389,7 @@ def classified(spark, sf):
 
 def merged_preview_issues(spark, sf):
     headers = parsed(spark, sf).where("error is null").select(
-        "migration_id", "source_format", F.lit(True).alias("has_words"), F.lit(True).alias("has_folders")
+        "migration_id", "source_format", "has_words", "has_folders"
     )
     return preview.merge_issues(preview.issues(classified(spark, sf), headers))
 
@@ -358,7 +402,7 @@ def preview_classes(spark, sf):
 
 @query("preview_summary", f"WITH {PREVIEW_SQL} SELECT * FROM summary")
 def preview_summary(spark, sf):
-    return preview.domain_summary(classified(spark, sf))
+    return preview.domain_summary(classified(spark, sf), parsed(spark, sf).where("error is null"))
 
 
 @query("preview_issues", f"""WITH {PREVIEW_SQL}, refs AS (SELECT migration_id, code, domain, ref,
@@ -372,13 +416,13 @@ def preview_issues(spark, sf):
     )
 
 
-@query("preview_status", f"""WITH {PREVIEW_SQL}, worst AS (SELECT migration_id, bool_or(code IN ('WORD_RECORD_INVALID', 'WORD_ID_DUPLICATE')) AS blocking FROM issue_rows GROUP BY migration_id)
+@query("preview_status", f"""WITH {PREVIEW_SQL}, worst AS (SELECT migration_id, bool_or(code IN ('WORD_RECORD_INVALID', 'WORD_ID_DUPLICATE', 'WORDS_REQUIRED')) AS blocking FROM issue_rows GROUP BY migration_id)
 SELECT s.migration_id, CAST(sum(source) AS BIGINT) AS source, CAST(sum(migratable) AS BIGINT) AS migratable, CAST(sum(skipped) AS BIGINT) AS skipped,
   CAST(sum(conflict) AS BIGINT) AS conflict, CAST(sum(error) AS BIGINT) AS error,
   CASE WHEN any_value(blocking) THEN 'blocked' ELSE 'review' END AS status FROM summary s JOIN worst USING (migration_id) GROUP BY s.migration_id""")
 def preview_status(spark, sf):
     headers = parsed(spark, sf).where("error is null")
-    return preview.preview_status(preview.domain_summary(classified(spark, sf)), merged_preview_issues(spark, sf), headers)
+    return preview.preview_status(preview.domain_summary(classified(spark, sf), headers), merged_preview_issues(spark, sf), headers)
 
 
 @query("reference_matches", f"""{W}, ids AS (SELECT language, id, count(*) AS n FROM words GROUP BY ALL),
@@ -558,41 +602,55 @@ def invalid_dates(spark, sf):
     return verification.invalid_dates(rows)
 
 
-VERIFY_SQL = f"""{STUDY_SQL}, {STUDY_DISPOSED},
-migs AS (SELECT migration_id, count(*) AS s, CAST(substr(migration_id, 3) AS INTEGER) AS n FROM study GROUP BY migration_id),
-kept AS (SELECT migration_id, count(*) AS d FROM disposed WHERE migration_id <> 'm-7' OR outcome <> 'deduped' GROUP BY migration_id),
-checks AS (SELECT migration_id, unnest([
-  {{'c': 'V09', 'status': CASE WHEN s = d THEN 'passed' ELSE 'failed' END, 'severity': CASE WHEN s = d THEN 'info' ELSE 'blocking' END}},
-  {{'c': 'V18', 'status': 'unverified', 'severity': 'warning'}},
-  {{'c': 'V21', 'status': CASE WHEN s = d THEN 'passed' ELSE 'failed' END, 'severity': CASE WHEN s = d THEN 'warning' ELSE 'blocking' END}},
-  {{'c': 'V23', 'status': CASE WHEN n % 4 = 0 THEN 'unverified' WHEN n % 4 = 1 THEN 'failed' WHEN n % 4 = 2 THEN 'passed' ELSE 'failed' END, 'severity': 'warning'}},
-  {{'c': 'V24', 'status': CASE WHEN n % 5 = 0 THEN 'failed' ELSE 'passed' END, 'severity': CASE WHEN n % 5 = 0 THEN 'blocking' ELSE 'warning' END}},
-  {{'c': 'V25', 'status': 'unverified', 'severity': 'blocking'}},
-  {{'c': 'V01', 'status': 'failed', 'severity': 'blocking'}}]) AS x FROM migs JOIN kept USING (migration_id))"""
+# What is damaged in a migration depends on its number: one domain's dispositions lost, a payload key twice, a
+# favorite of no word, a date that is none, lost reminders, evidence that is missing, foreign or failed.
+_DOMAIN_LIST = verification.DOMAINS
+_LOST = f"{_DOMAIN_LIST}[(k // 8) % {len(_DOMAIN_LIST)} + 1]"
+VERIFY_SQL = f"""{BACKUP_SQL}, {DEVICE_RECORDS_SQL},
+every AS (SELECT migration_id, domain, source_ref FROM recs UNION ALL SELECT migration_id, domain, source_ref FROM drecs),
+migs AS (SELECT migration_id, k FROM good UNION ALL SELECT migration_id, k FROM fine),
+counted AS (SELECT m.migration_id, m.k, bool_or(k % 8 = 1 AND domain = {_LOST}) AS lost, bool_or(domain = 'unknown' AND k % 2 <> 0) AS pending,
+  bool_or(source_ref LIKE '%nativeStudyReminderEnabled%') AS reminder FROM migs m JOIN every e USING (migration_id) GROUP BY m.migration_id, m.k),
+checks AS (SELECT migration_id, k, unnest(list_concat([
+  {{'c': 'V01', 'status': 'passed', 'severity': 'blocking'}}, {{'c': 'V02', 'status': 'passed', 'severity': 'blocking'}},
+  {{'c': 'V18', 'status': CASE WHEN NOT reminder THEN 'unverified' WHEN k % 12 <> 0 THEN 'passed' ELSE 'failed' END, 'severity': CASE WHEN reminder AND k % 12 = 0 THEN 'blocking' ELSE 'warning' END}},
+  {{'c': 'V19', 'status': CASE WHEN k % 8 = 3 THEN 'failed' ELSE 'passed' END, 'severity': 'blocking'}},
+  {{'c': 'V20', 'status': CASE WHEN k % 8 = 2 THEN 'failed' ELSE 'passed' END, 'severity': 'blocking'}},
+  {{'c': 'V21', 'status': CASE WHEN pending THEN 'unverified' WHEN lost THEN 'failed' ELSE 'passed' END, 'severity': CASE WHEN lost AND NOT pending THEN 'blocking' ELSE 'warning' END}},
+  {{'c': 'V22', 'status': CASE WHEN k % 8 = 4 THEN 'failed' ELSE 'passed' END, 'severity': CASE WHEN k % 8 = 4 THEN 'blocking' ELSE 'warning' END}},
+  {{'c': 'V23', 'status': CASE WHEN k % 4 = 0 THEN 'unverified' WHEN k % 4 = 2 THEN 'passed' ELSE 'failed' END, 'severity': 'warning'}},
+  {{'c': 'V24', 'status': CASE WHEN k % 5 = 0 THEN 'failed' WHEN k % 5 = 1 THEN 'unverified' ELSE 'passed' END, 'severity': CASE WHEN k % 5 = 0 THEN 'blocking' ELSE 'warning' END}},
+  {{'c': 'V25', 'status': CASE WHEN k % 3 = 0 THEN 'unverified' WHEN k % 3 = 1 THEN 'passed' ELSE 'failed' END, 'severity': 'blocking'}}],
+  [CASE WHEN lost AND {_LOST} = d.domain THEN {{'c': d.c, 'status': 'failed', 'severity': 'blocking'}} ELSE {{'c': d.c, 'status': 'passed', 'severity': 'info'}} END
+    FOR d IN {[dict(c=c, domain=d) for c, d in verification.DOMAIN_CHECKS.items()]}])) AS x FROM counted)"""
 
 
 def verification_checks(spark, sf):
     def build():
-        records, (payload, _) = study_records(spark, sf), domains.study_records(study_records(spark, sf))
-        # One migration loses dispositions on purpose.
-        parts = study_parts(spark, sf).where("migration_id <> 'm-7' or outcome <> 'deduped'")
-        n = F.substring("migration_id", 3, 5).cast("int")
+        part = whole_slice(spark, sf)
+        n = F.substring("migration_id", 3, 20).cast("bigint")
+        records = backup_records(spark, sf).unionByName(device_record_table(spark, sf)).where((F.col("domain") != "unknown") | (n % 2 != 0))
         migrations = records.select("migration_id").distinct().withColumn("source_fingerprint", F.sha2("migration_id", 256))
+        lost = F.element_at(F.array(*[F.lit(d) for d in verification.DOMAINS]), (F.floor(n / 8) % len(verification.DOMAINS) + 1).cast("int"))
+        parts = part.dispositions.where((n % 8 != 1) | (F.col("domain") != lost))
+        payload = dict(part.payload)
+        theme = payload["preferences"].where((n % 8 == 2) & (F.col("target_ref") == "theme"))
+        payload["preferences"] = payload["preferences"].unionByName(theme)
+        gone = migrations.where(n % 8 == 3).select("migration_id", F.lit("gone").alias("target_ref"))
+        payload["favorites"] = payload["favorites"].unionByName(gone, allowMissingColumns=True)
+        day = migrations.where(n % 8 == 4).select("migration_id", F.lit("odd").alias("target_ref"), F.lit("2024-02-31").alias("date_only"))
+        payload["studyRecords"] = payload["studyRecords"].unionByName(day, allowMissingColumns=True)
         sampled = migrations.where(n % 4 != 0).select(
-            "migration_id", F.when(n % 4 == 1, "other").otherwise(F.col("source_fingerprint")).alias("source_fingerprint"),
-            (n % 4 == 2).alias("passed"),
+            "migration_id", F.when(n % 4 == 1, "other").otherwise(F.col("source_fingerprint")).alias("source_fingerprint"), (n % 4 == 2).alias("passed"),
         )
-        runs = payload.groupBy("migration_id").agg(F.count(F.lit(1)).cast("string").alias("digest")).withColumn("name", F.lit("studyRecords"))
+        runs = part.dispositions.where(n % 5 != 1).groupBy("migration_id").agg(F.count(F.lit(1)).cast("string").alias("digest")).withColumn("name", F.lit("dispositions"))
         again = runs.withColumn("digest", F.when(n % 5 == 0, "changed").otherwise(F.col("digest")))
-        integrity = spark.range(1).select(
-            F.lit(corpus.ACCEPTANCE_TARGET["total"]).alias("expected_total"),
-            b.words(spark, sf).agg(F.count(F.lit(1))).scalar().alias("actual_total"),
-            F.lit(False).alias("languages_match"), F.lit(False).alias("valid"),
-        )
-        empty = payload.where("false").select("migration_id", "target_ref", F.col("target_ref").alias("target_word_id"))
+        drill = migrations.where(n % 3 != 0).withColumn("passed", n % 3 == 1)
+        total = b.words(spark, sf).agg(F.count(F.lit(1))).scalar()
+        integrity = spark.range(1).select(total.alias("expected_total"), total.alias("actual_total"), F.lit(True).alias("languages_match"), F.lit(True).alias("valid"))
         return durable(verification.verify(
-            migrations, records, parts, {"words": empty, "mastery": empty, "studyRecords": payload}, integrity,
-            sampling=sampled, replay=verification.replay_equal(runs, again),
+            migrations, records, parts, payload, integrity, reminders=part.reminders.where(n % 12 != 0), sampling=sampled,
+            replay=verification.replay_equal(runs, again), rollback=drill,
         ))
 
     return stored(spark, sf, "checks", build)
@@ -600,13 +658,13 @@ def verification_checks(spark, sf):
 
 @query("verification_checks", f"WITH {VERIFY_SQL} SELECT migration_id, x.c AS check_id, x.status AS status, x.severity AS severity FROM checks")
 def verification_check_rows(spark, sf):
-    wanted = ["V01", "V09", "V18", "V21", "V23", "V24", "V25"]
-    return verification_checks(spark, sf).where(F.col("check_id").isin(wanted)).select("migration_id", "check_id", "status", "severity")
+    """All 25 checks of every migration over its whole payload."""
+    return verification_checks(spark, sf).select("migration_id", "check_id", "status", "severity")
 
 
 @query("verification_reports", f"""WITH {VERIFY_SQL}
-SELECT migration_id, FALSE AS passed, CAST(25 AS BIGINT) AS checks, 'V01,V02' || CASE WHEN s <> d THEN ',V09,V21' ELSE '' END
-  || CASE WHEN n % 5 = 0 THEN ',V24' ELSE '' END || ',V25' AS blocking_check_ids FROM migs JOIN kept USING (migration_id)""")
+SELECT migration_id, bool_and(x.status = 'passed') AS passed, count(*) AS checks,
+  coalesce(string_agg(x.c, ',' ORDER BY x.c) FILTER (WHERE x.status <> 'passed' AND x.severity = 'blocking'), '') AS blocking_check_ids FROM checks GROUP BY migration_id""")
 def verification_reports(spark, sf):
     return verification.verification_reports(verification_checks(spark, sf)).select("migration_id", "passed", "checks", "blocking_check_ids")
 

@@ -124,6 +124,30 @@ def check_profiles(profiles: DataFrame) -> DataFrame:
     )
 
 
+def check_projections(profiles: DataFrame, states: DataFrame) -> DataFrame:
+    """Profiles with the violations of their review states.
+
+    ``profiles``: user_id. ``states``: projection_user (whose projection holds the state), id, user_id, item_id.
+    """
+    owner = F.col("projection_user")
+
+    def repeated(column: str, name: str) -> DataFrame:
+        twice = duplicate_keys(states, "projection_user", column)
+        return twice.select(owner.alias("user_id")).distinct().withColumn(name, F.lit(True))
+
+    foreign = states.where(~F.col("user_id").eqNullSafe(owner)).select(owner.alias("user_id")).distinct().withColumn("__foreign", F.lit(True))
+    rows = profiles
+    for found in (repeated("id", "__id"), repeated("item_id", "__item"), foreign):
+        rows = rows.join(found, "user_id", "left")
+
+    def hit(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(False))
+
+    return rows.withColumn("violations", violations(
+        STATE_ID_DUPLICATE=hit("__id"), STATE_ITEM_DUPLICATE=hit("__item"), STATE_FOREIGN_LEARNER=hit("__foreign"),
+    )).drop("__id", "__item", "__foreign")
+
+
 def duplicate_keys(df: DataFrame, *keys: str, collection: str | None = None) -> DataFrame:
     """Keys held by more than one row, with the count."""
     dup = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -272,3 +296,25 @@ def check_source_records(records: DataFrame) -> DataFrame:
         F.count_if(F.col("domain") == "unknown").alias("unknown"),
         F.count_if(~F.col("record_digest").rlike("^[a-f0-9]{64}$")).alias("bad_digests"),
     )
+
+
+def check_reader_output(records: DataFrame, declared: DataFrame) -> DataFrame:
+    """What the reader says of a migration against its records: ``migration_id, source, violations``.
+
+    ``declared``: migration_id, source, unknown and domains (array of domain, n in the fixed order).
+    """
+    from ..sources.backups import DOMAIN_ORDER
+
+    found = check_source_records(records)
+    per = records.groupBy("migration_id").agg(*[F.count_if(F.col("domain") == d).alias(f"__{d}") for d in DOMAIN_ORDER])
+    rows = declared.join(found.withColumnsRenamed({"source": "f_source", "unknown": "f_unknown"}), "migration_id", "left").join(per, "migration_id", "left")
+    rows = rows.fillna(0)
+    order = F.transform("domains", lambda x: x["domain"])
+    counts = F.array(*[F.col(f"__{d}") for d in DOMAIN_ORDER])
+    return rows.withColumn("violations", violations(
+        REF_DUPLICATE=F.col("distinct_refs") != F.col("f_source"), DIGEST_INVALID=F.col("bad_digests") > 0,
+        DOMAIN_ORDER=order != F.array(*[F.lit(d) for d in DOMAIN_ORDER]),
+        DOMAIN_COUNT=F.transform("domains", lambda x: x["n"].cast("bigint")) != counts,
+        SOURCE_SUM=F.aggregate("domains", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]) != F.col("source"),
+        SOURCE_COUNT=F.col("f_source") != F.col("source"), UNKNOWN_REFS=F.col("f_unknown") != F.col("unknown"),
+    )).select("migration_id", "source", "violations")

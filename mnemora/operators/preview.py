@@ -9,6 +9,7 @@ from ..functions.hashing import key_digest
 from ..functions.text import trim_all
 from ..session import durable
 from ..skew import attach_by_key, with_group_stats
+from ..sources.backups import DOMAIN_ORDER
 from ..sources.redact import secret_presence
 from .contracts import is_secret_key
 
@@ -162,12 +163,14 @@ def classify(records: DataFrame, previewed_at: Column) -> DataFrame:
     )
 
 
-def domain_summary(classified: DataFrame) -> DataFrame:
-    """Counts of the four classes per migration and domain."""
-    return classified.groupBy("migration_id", "domain").agg(
+def domain_summary(classified: DataFrame, headers: DataFrame) -> DataFrame:
+    """Counts of the four classes for all domains of every migration in ``headers``, zeros too."""
+    counted = classified.groupBy("migration_id", "domain").agg(
         F.count(F.lit(1)).alias("source"),
         *[F.count_if(F.col("class") == c).alias(c) for c in CLASSES],
     )
+    wanted = headers.select("migration_id").distinct().select("migration_id", F.explode(F.array(*[F.lit(d) for d in DOMAIN_ORDER])).alias("domain"))
+    return wanted.join(counted, ["migration_id", "domain"], "left").fillna(0, ["source", *CLASSES])
 
 
 def issues(classified: DataFrame, headers: DataFrame) -> DataFrame:

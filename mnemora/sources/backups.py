@@ -110,6 +110,10 @@ def parse_backups(backups: DataFrame, modern_format: str = MODERN_FORMAT, max_te
         F.when(modern, F.coalesce(text_of(field(root, "kind")), F.lit("manual")))
         .otherwise(F.lit("legacy")).alias("kind"),
         parse_instant(text_of(field(root, "exportDate"))).alias("export_date"),
+        *[
+            F.coalesce(kind(field(F.coalesce(data, root), key)) == "array", F.lit(False)).alias(name)
+            for name, key in (("has_words", "db"), ("has_folders", "folders"))
+        ],
         F.sha2("text", 256).alias("text_digest"),
         F.sha2(F.to_json(root), 256).alias("canonical_digest"),
     )

@@ -206,7 +206,7 @@ def test_backups_without_records_keep_their_status(spark):
     classed = preview.classify(safe, F.lit("2026-08-01").cast("timestamp"))
     heads = headers.select("migration_id", "source_format", (F.col("migration_id") == "some").alias("has_words"), (F.col("migration_id") == "some").alias("has_folders"))
     merged = preview.merge_issues(preview.issues(classed, heads))
-    got = {r.migration_id: r for r in preview.preview_status(preview.domain_summary(classed), merged, headers).collect()}
+    got = {r.migration_id: r for r in preview.preview_status(preview.domain_summary(classed, headers), merged, headers).collect()}
     assert got["none"].status == "blocked" and got["none"].source == 0 and got["some"].source > 0
     counts = backups.domain_counts(safe, headers).groupBy("migration_id").agg(F.sum("n").alias("n"), F.count("*").alias("domains"))
     found = {r.migration_id: (r.n, r.domains) for r in counts.collect()}
