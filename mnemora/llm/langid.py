@@ -231,7 +231,7 @@ def _normalised(counts: np.ndarray) -> np.ndarray:
 class Scorer:
     """Scores whole texts; each distinct run of characters goes through the lattice once, in a table of bounded size."""
 
-    def __init__(self, model: Model, most: int = 400_000):
+    def __init__(self, model: Model, most: int = 200_000):
         self.lattice = Lattice(model.path, model.log_p)
         self.languages = model.languages
         self.known = Recent(most)
