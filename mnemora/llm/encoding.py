@@ -29,6 +29,8 @@ _MARKS = bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)
 _LATIN = "\u0250"
 
 
+#: Words, and parts of words, that a worker remembers.
+MOST = 700_000
 #: Words looked up together; it bounds the arrays that a huge text needs.
 _AT_ONCE = 1 << 18
 
@@ -63,7 +65,7 @@ class Recent:
 class Encoder:
     """``most`` bounds the tables of words and of their parts."""
 
-    def __init__(self, path: str, most: int = 700_000, together: int = 256):
+    def __init__(self, path: str, most: int = MOST, together: int = 256):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -138,9 +140,9 @@ def _split(word: bytes) -> tuple[bytes, ...]:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = MOST) -> Encoder:
     """One encoder per file and worker."""
-    return Encoder(path)
+    return Encoder(path, most)
 
 
 @lru_cache(maxsize=8)

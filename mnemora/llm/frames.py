@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Iterable, Iterator
@@ -59,6 +60,15 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def released() -> None:
+    """Give freed memory back to the machine: a worker waits for its next task beside the executor that runs others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Sorted batches joined so that no group of equal ``keys`` is cut: (rows, group starts).
 
@@ -106,6 +116,6 @@ def _same(a: pa.RecordBatch, b: pa.RecordBatch, keys: list[str]) -> bool:
 
 
 __all__ = [
-    "LAST_ID", "SPACE", "WORD", "durable", "prepared", "shared_path", "small_batches", "text_key",
+    "LAST_ID", "SPACE", "WORD", "durable", "prepared", "released", "shared_path", "small_batches", "text_key",
     "texts", "tokenizer_path", "whole_groups",
 ]

@@ -27,7 +27,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .encoding import Recent
-from .frames import durable, prepared, small_batches
+from .frames import durable, prepared, released, small_batches
 from .pieces import flat
 
 PER_LANGUAGE = 1500
@@ -316,5 +316,7 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
             labels, sure, letters = scorer.predict(batch.column("text"))
             yield batch.append_column("lang_pred", pa.array(labels, pa.string())).append_column(
                 "score", pa.array(sure, pa.float64())).append_column("has_letter", pa.array(letters))
+        del scorer
+        released()
 
     return kept.mapInArrow(run, schema)

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .encoding import encoder
-from .frames import durable, prepared, small_batches, texts
+from .encoding import MOST, encoder
+from .frames import durable, prepared, released, small_batches, texts
 from .pieces import column, gathered
 
 WINDOW = 2048
@@ -39,12 +39,17 @@ _PIECES = (
 )
 
 
-def packed(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, shard: int = SHARD) -> DataFrame:
-    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
+def packed(
+    docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, shard: int = SHARD, most: int = MOST,
+) -> DataFrame:
+    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
+
+    A worker remembers the ids of about ``most`` words, and of as many parts of words.
+    """
     spark = docs.sparkSession
     prepared(spark)
     small_batches(spark)
-    rests = durable(_rests(texts(docs), path, window, end_id))
+    rests = durable(_rests(texts(docs), path, window, end_id, most))
     order = ["near", "doc_id", "rest_crc"]
     placed = rests.repartitionByRange(*order).sortWithinPartitions(*order)
     dtype = encoder(path).dtype
@@ -55,9 +60,9 @@ def packed(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
     return placed.drop("near", "rest_crc").mapInArrow(fill, _PIECES)
 
 
-def _rests(rows: DataFrame, path: str, window: int, end_id: int) -> DataFrame:
+def _rests(rows: DataFrame, path: str, window: int, end_id: int, most: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, most)
         end = np.array([end_id], dtype=encode.dtype).tobytes()
         table = _signatures(encode.library.get_vocab_size())
         for held in gathered(batches):
@@ -76,6 +81,7 @@ def _rests(rows: DataFrame, path: str, window: int, end_id: int) -> DataFrame:
                 "rest": pa.array(rests, pa.binary()), "near": pa.array(near, pa.binary()),
                 "rest_crc": pa.array([zlib.crc32(r) for r in rests], pa.int64()),
             }).to_batches()
+        released()
 
     return rows.mapInArrow(run, _RESTS)
 
