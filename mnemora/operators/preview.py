@@ -69,10 +69,7 @@ def count_matches(rows: DataFrame, ids: DataFrame, heads: DataFrame) -> DataFram
     keyed = rows.withColumn(
         "__ref", F.when(F.col("reference").isNotNull(), key_digest(F.col("migration_id"), F.col("reference")))
     )
-    distinct = keyed.where("__ref is not null").groupBy("__ref").agg(
-        F.count(F.lit(1)).alias("__n"), F.first("migration_id").alias("migration_id"),
-        F.first("reference").alias("reference"),
-    )
+    distinct = keyed.where("__ref is not null").groupBy("__ref", "migration_id", "reference").agg(F.count(F.lit(1)).alias("__n"))
     counted = (
         distinct.join(ids, ["migration_id", "reference"], "left")
         .join(heads, ["migration_id", "reference"], "left")
