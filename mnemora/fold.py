@@ -31,7 +31,9 @@ def fold_by_key(
     """
     spark = rows.sparkSession
     names = [*keys, *values]
-    placed = rows.repartition(*keys).sortWithinPartitions(*keys, *order).select(*names)
+    # As many partitions as the session shuffles into: rows that compress well would be merged into a few tasks, which sort them whole.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartition(parts, *keys).sortWithinPartitions(*keys, *order).select(*names)
     empty = spark.createDataFrame([], schema)
     types = rows.select(*keys).schema.fields + empty.schema.fields
     out_schema = type(empty.schema)(types)

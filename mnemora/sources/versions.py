@@ -19,6 +19,11 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: Rows of one file. Rows of a version are much alike, so a file of many rows is small and a scan would put all of them
+#: into one task, which sorts them by key; Spark counts each file as 4 MB or more, so a task reads 32 files at most.
+ROWS_PER_FILE = 50_000
+
+
 class Version(NamedTuple):
     number: int
     batch: str
@@ -86,7 +91,7 @@ class VersionedTables:
             return done
         number = self.next_number()
         for name, rows in tables.items():
-            rows.write.mode("overwrite").parquet(f"{self.root}/{name}/version={number}")
+            rows.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{self.root}/{name}/version={number}")
         self._switch(Version(number, batch, full))
         return number
 

@@ -4,6 +4,7 @@ import random
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from mnemora.sources import datasets
 from mnemora.sources.versions import VersionConflict, VersionedTables
@@ -123,3 +124,13 @@ def test_versions_compact_and_refuse_a_second_writer(spark, tmp_path):
     assert sorted(r[:2] for r in tables.newest("t", "k string, v int", ["k"]).collect()) == [("x", 2), ("y", 1), ("z", 3)]
     with pytest.raises(VersionConflict):
         tables._switch(tables.versions()[0])
+
+
+def test_files_of_a_version_hold_a_bounded_number_of_rows(spark, tmp_path):
+    """Rows that are much alike make small files; one file with all of them would be sorted by one task."""
+    tables = VersionedTables(spark, str(tmp_path / "t"))
+    rows = spark.range(120_001).selectExpr("concat('o-', id) as owner", "'m' as migration_id").coalesce(1)
+    tables.write({"runs": rows}, "one")
+    files = spark.read.parquet(str(tmp_path / "t/runs")).groupBy(F.input_file_name()).count().collect()
+    assert max(f["count"] for f in files) <= 50_000
+    assert tables.newest("runs", "owner string, migration_id string", ["owner", "migration_id"]).count() == 120_001

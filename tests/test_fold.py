@@ -46,3 +46,11 @@ def test_a_scheduler_of_the_callers_own(spark):
     streak = review.Scheduler(lambda s, micros, i, good: ((s or (0, 0))[0] + 1 if good else 0, (s or (0, 0))[1] + 1), lambda s: review.Review(2 ** s[0], 1.0, 1.0, 0, s[1], 0))
     (got,) = review.replay_review_states(events, streak).collect()
     assert (got.reps, got.scheduled_days, got.due) == (4, 4, t + timedelta(days=7))
+
+
+def test_small_shuffles_are_not_merged_into_one_task(spark):
+    """Rows that compress well look small; each task sorts its rows, so merged ones take more memory the more there are."""
+    rows = spark.range(1000).selectExpr("cast(id % 50 as string) as k", "id as n")
+    told = fold_by_key(rows, ["k"], ["n"], ["n"], "total bigint", lambda s, r: (s or 0) + r[0], finish=lambda s: (s,))
+    assert told.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert told.count() == 50
