@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import bindings as b
 from ..operators import identity
+from ..session import compact
 from .base import query, table
 from .corpus import REFS_SQL, W, references
 
@@ -147,14 +148,17 @@ RELATED_SQL = f"{IDENTITY_SQL}, {LINES_SQL}, {RELATION_SQL.format(source='lines'
 
 def lines(spark, sf):
     l, o, p = (table(spark, sf, t) for t in ("lineitem", "orders", "part"))
+    # The headword of a part is a key of its lines: a first value of texts per line would make Spark sort all lines.
+    heads = p.groupBy("p_partkey").agg(
+        F.first(F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string"))).alias("headword"), F.count(F.lit(1)).alias("parts"),
+    )
     joined = l.join(o, F.col("o_orderkey") == F.col("l_orderkey")).join(
-        p, F.col("p_partkey") == F.col("o_custkey")
+        heads, F.col("p_partkey") == F.col("o_custkey")
     )
-    grouped = joined.groupBy("l_orderkey", "l_linenumber", "o_custkey").agg(
-        F.first(F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string"))).alias("headword"),
-        F.sum("l_quantity").alias("qty"), F.max("l_discount").alias("discount"),
+    grouped = joined.groupBy("l_orderkey", "l_linenumber", "o_custkey", "headword").agg(
+        F.sum(F.col("l_quantity") * F.col("parts")).alias("qty"), F.max("l_discount").alias("discount"),
         F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"),
-        F.max("l_shipdate").cast("timestamp").alias("shipdate"), F.count(F.lit(1)).alias("copies"),
+        F.max("l_shipdate").cast("timestamp").alias("shipdate"), F.sum("parts").alias("copies"),
     )
     case = (F.col("l_orderkey") + F.col("l_linenumber")) % 9
     cust = F.col("o_custkey")
@@ -178,7 +182,9 @@ def word_index(spark, sf):
 @query("word_relations", RELATED_SQL + """
 SELECT k, migration_id, coalesce(target_word_id, '') AS target_word_id FROM related""")
 def word_relations(spark, sf):
-    found = identity.resolve_relations(lines(spark, sf), word_index(spark, sf))
+    # Stored: the references are counted first, and the rows get their word in a second scan.
+    rows = compact(lines(spark, sf).select("k", "migration_id", "language", "raw_word_id"))
+    found = identity.resolve_relations(rows, word_index(spark, sf))
     return found.select(
         "k", "migration_id", F.coalesce("target_word_id", F.lit("")).alias("target_word_id")
     )

@@ -53,6 +53,13 @@ def collapse_spaces(col: Column) -> Column:
     return F.regexp_replace(col, _INNER_SPACE, " ")
 
 
+def _plain_headword(col: Column, dropped: str = "") -> Column:
+    """An ASCII text without the characters ``dropped``, its spaces collapsed and trimmed, in lower case: no pattern but for runs of spaces."""
+    spaced = F.translate(col, _ASCII_SPACE + dropped, " " * len(_ASCII_SPACE))
+    single = F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " +", " ")).otherwise(spaced)
+    return F.lower(F.btrim(single))
+
+
 def identity_headword(col: Column) -> Column:
     """Headword form of the identity map: quotes dropped, spaces collapsed, lower case."""
     return quoteless(clean_text(col))
@@ -61,18 +68,18 @@ def identity_headword(col: Column) -> Column:
 def quoteless(cleaned: Column) -> Column:
     """``identity_headword`` of a text that is cleaned already."""
     bare = F.regexp_replace(cleaned, _QUOTES, "")
-    text = F.lower(trim_all(collapse_spaces(bare)))
+    text = F.when(is_ascii(cleaned), _plain_headword(cleaned, "\"'`")).otherwise(F.lower(trim_all(collapse_spaces(bare))))
     return F.when(text != "", text)
 
 
 def relation_headword(col: Column) -> Column:
     """Headword form of relation lookups: spaces collapsed, lower case, quotes kept."""
-    return F.lower(trim_all(collapse_spaces(nfkc(col))))
+    return F.when(is_ascii(col), _plain_headword(col)).otherwise(F.lower(trim_all(collapse_spaces(_composed(col)))))
 
 
 def corpus_headword(col: Column) -> Column:
     """Headword form of the corpus index: trimmed and lower case only."""
-    return F.lower(trim_all(nfkc(col)))
+    return F.lower(F.when(is_ascii(col), F.btrim(col, F.lit(_ASCII_SPACE))).otherwise(trim_all(_composed(col))))
 
 
 def is_word_id(col: Column) -> Column:
