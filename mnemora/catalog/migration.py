@@ -52,10 +52,26 @@ def backups(spark, sf):
     words = o.groupBy("o_custkey").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(ok, word.alias("w")))), lambda x: x["w"]), ",").alias("db")
     )
+    listed = F.concat(F.lit('"db":['), F.coalesce("db", F.lit("")), F.lit("],"))
+    return c.join(words, F.col("o_custkey") == k, "left").select(
+        F.concat(F.lit("b-"), k.cast("string")).alias("migration_id"), _backup_text(k, listed).alias("text")
+    )
+
+
+def bare_backups(spark, sf):
+    """A second backup of some customers, without a list of words: the preview blocks it."""
+    c, k = table(spark, sf, "customer"), F.col("c_custkey")
+    # Without words a legacy backup has no known format.
+    bare = c.where((k % 17 == 9) & (k % 10 != 0))
+    return bare.select(F.concat(F.lit("n-"), k.cast("string")).alias("migration_id"), _backup_text(k, F.lit("")).alias("text"))
+
+
+def _backup_text(k, listed):
+    """The text of a customer's backup; ``listed`` is the part with its words."""
     seg = F.col("c_mktsegment")
     star = F.when(k % 7 == 0, F.lit('"lost"')).otherwise(F.concat(F.lit('["w-'), (k % 60).cast("string"), F.lit('"]')))
     data = F.concat(
-        F.lit('"db":['), F.coalesce("db", F.lit("")), F.lit('],"folders":["'), seg, F.lit('","'), seg,
+        listed, F.lit('"folders":["'), seg, F.lit('","'), seg,
         F.lit('"],"folderLangs":{"'), seg, F.lit('":"ja"},"stars":'), star, F.lit(',"mtGroupClears":{"g '), seg,
         F.lit('":'), (k % 9).cast("string"), F.lit("}"),
     )
@@ -65,14 +81,11 @@ def backups(spark, sf):
         data, F.lit(',"odd":[1]}'), tail, F.lit("}"),
     )
     legacy = F.concat(F.lit("{"), data, tail, F.lit(',"odd":[1],"exportDate":"none"}'))
-    text = (
+    return (
         F.when(k % 11 == 3, F.concat(F.lit("{"), modern))
         .when(k % 13 == 5, F.lit('{"format":"other"}'))
         .when(k % 10 == 0, legacy).otherwise(modern)
     )
-    return c.join(words, F.col("o_custkey") == k, "left").select(
-        F.concat(F.lit("b-"), k.cast("string")).alias("migration_id"), text.alias("text")
-    )
 
 
 def parsed(spark, sf):
@@ -383,11 +396,37 @@ def classified(spark, sf):
         preview.classify(backup_records(spark, sf), F.lit("2026-08-01").cast("timestamp"))))
 
 
+# The issues and the status are those of all backups, also of second ones that have no list of words.
+ALL_PREVIEW_SQL = f"""{PREVIEW_SQL},
+bare AS (SELECT k, 'n-' || CAST(k AS VARCHAR) AS migration_id, migration_id AS listed_id FROM good WHERE k % 17 = 9 AND k % 10 <> 0),
+bare_classed AS (SELECT b.migration_id, source_ref, domain, CASE WHEN domain = 'favorites' AND k % 7 <> 0 THEN 'skipped' ELSE class END AS class,
+  CASE WHEN domain = 'favorites' AND k % 7 <> 0 THEN 'FAVORITE_WORD_ORPHAN' ELSE issue END AS issue
+  FROM (SELECT DISTINCT * FROM bare) b JOIN classed c ON c.migration_id = b.listed_id WHERE domain <> 'words'),
+all_issue_rows AS (SELECT * FROM issue_rows
+  UNION ALL SELECT migration_id, domain, issue, source_ref FROM bare_classed WHERE issue IS NOT NULL
+  UNION ALL SELECT migration_id, 'words', 'WORDS_REQUIRED', NULL FROM bare),
+all_summary AS (SELECT migration_id, source, migratable, skipped, conflict, error FROM summary
+  UNION ALL SELECT migration_id, count(*), count(*) FILTER (WHERE class = 'migratable'), count(*) FILTER (WHERE class = 'skipped'),
+    count(*) FILTER (WHERE class = 'conflict'), count(*) FILTER (WHERE class = 'error') FROM bare_classed GROUP BY migration_id)"""
+
+
+def bare_parsed(spark, sf):
+    return stored(spark, sf, "bare_parsed", lambda: durable(bk.parse_backups(durable(bare_backups(spark, sf)))))
+
+
+def all_headers(spark, sf):
+    return parsed(spark, sf).unionByName(bare_parsed(spark, sf)).where("error is null")
+
+
+def all_classified(spark, sf):
+    bare = stored(spark, sf, "bare_classified", lambda: durable(
+        preview.classify(durable(bk.source_records(bare_parsed(spark, sf))), F.lit("2026-08-01").cast("timestamp"))))
+    return classified(spark, sf).unionByName(bare)
+
+
 def merged_preview_issues(spark, sf):
-    headers = parsed(spark, sf).where("error is null").select(
-        "migration_id", "source_format", "has_words", "has_folders"
-    )
-    return preview.merge_issues(preview.issues(classified(spark, sf), headers))
+    headers = all_headers(spark, sf).select("migration_id", "source_format", "has_words", "has_folders")
+    return preview.merge_issues(preview.issues(all_classified(spark, sf), headers))
 
 
 @query("preview_classes", f"WITH {PREVIEW_SQL} SELECT migration_id, source_ref, domain, class, coalesce(issue, '') AS issue FROM classed")
@@ -401,24 +440,24 @@ def preview_summary(spark, sf):
     return preview.domain_summary(classified(spark, sf), parsed(spark, sf).where("error is null"))
 
 
-@query("preview_issues", f"""WITH {PREVIEW_SQL}, refs AS (SELECT migration_id, code, domain, ref,
-  row_number() OVER (PARTITION BY migration_id, code, domain ORDER BY ref) AS rn FROM (SELECT DISTINCT * FROM issue_rows WHERE ref IS NOT NULL))
+@query("preview_issues", f"""WITH {ALL_PREVIEW_SQL}, refs AS (SELECT migration_id, code, domain, ref,
+  row_number() OVER (PARTITION BY migration_id, code, domain ORDER BY ref) AS rn FROM (SELECT DISTINCT * FROM all_issue_rows WHERE ref IS NOT NULL))
 SELECT i.migration_id, i.code, i.domain, count(*) AS n, coalesce((SELECT string_agg(ref, ',' ORDER BY ref) FROM refs r
   WHERE r.migration_id = i.migration_id AND r.code = i.code AND r.domain = i.domain AND rn <= 3), '') AS sample_refs
-FROM issue_rows i GROUP BY i.migration_id, i.code, i.domain""")
+FROM all_issue_rows i GROUP BY i.migration_id, i.code, i.domain""")
 def preview_issues(spark, sf):
     return merged_preview_issues(spark, sf).select(
         "migration_id", "code", "domain", "n", F.array_join("sample_refs", ",").alias("sample_refs")
     )
 
 
-@query("preview_status", f"""WITH {PREVIEW_SQL}, worst AS (SELECT migration_id, bool_or(code IN ('WORD_RECORD_INVALID', 'WORD_ID_DUPLICATE', 'WORDS_REQUIRED')) AS blocking FROM issue_rows GROUP BY migration_id)
+@query("preview_status", f"""WITH {ALL_PREVIEW_SQL}, worst AS (SELECT migration_id, bool_or(code IN ('WORD_RECORD_INVALID', 'WORD_ID_DUPLICATE', 'WORDS_REQUIRED')) AS blocking FROM all_issue_rows GROUP BY migration_id)
 SELECT s.migration_id, CAST(sum(source) AS BIGINT) AS source, CAST(sum(migratable) AS BIGINT) AS migratable, CAST(sum(skipped) AS BIGINT) AS skipped,
   CAST(sum(conflict) AS BIGINT) AS conflict, CAST(sum(error) AS BIGINT) AS error,
-  CASE WHEN any_value(blocking) THEN 'blocked' ELSE 'review' END AS status FROM summary s JOIN worst USING (migration_id) GROUP BY s.migration_id""")
+  CASE WHEN any_value(blocking) THEN 'blocked' ELSE 'review' END AS status FROM all_summary s JOIN worst USING (migration_id) GROUP BY s.migration_id""")
 def preview_status(spark, sf):
-    headers = parsed(spark, sf).where("error is null")
-    return preview.preview_status(preview.domain_summary(classified(spark, sf), headers), merged_preview_issues(spark, sf), headers)
+    headers = all_headers(spark, sf)
+    return preview.preview_status(preview.domain_summary(all_classified(spark, sf), headers), merged_preview_issues(spark, sf), headers)
 
 
 @query("reference_matches", f"""{W}, ids AS (SELECT language, id, count(*) AS n FROM words GROUP BY ALL),
