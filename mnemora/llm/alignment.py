@@ -36,10 +36,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .encoding import Recent
-from .frames import durable, prepared, small_batches, texts
+from .frames import durable, prepared, released, small_batches, texts
 from .pieces import ByteLevel, Cutter, column, flat, gathered
 
 SPACE_MARK = "▁"
+#: Bytes of text in a block. A scan holds the blocks of one file at once, so a file has few.
+BLOCK_BYTES, BLOCKS_PER_FILE = 4 << 20, 4
 _BLOCKS = (
     "block long, doc_ids array<long>, sizes binary, digests array<string>, ends binary, codes binary, "
     "links binary, link_ends binary, pairs binary, totals binary"
@@ -147,7 +149,7 @@ class Aligner:
         used = np.repeat(good, np.diff(begins))
         codes, lengths = codes[used], np.where(good, np.diff(begins), 0)
         ends = np.cumsum(lengths)
-        totals = np.diff(np.vstack([np.zeros((1, 4), np.int64), np.cumsum(sizes[codes], axis=0)])[np.append(0, ends)], axis=0)
+        totals = np.column_stack([np.diff(np.append(0, np.cumsum(of[codes]))[np.append(0, ends)]) for of in sizes.T])
         links = np.frombuffer(b"".join([k[5] for k in known]), dtype=np.int64)
         pairs, place = np.unique(links, return_inverse=True)
         uses = np.repeat(np.bincount(codes, minlength=len(known)), sizes[:, 3])
@@ -170,12 +172,13 @@ def blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, number = aligner(path_a, path_b), TaskContext.get().partitionId() << 33
         types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()), *[pa.binary()] * 6]
-        for k, rows in enumerate(gathered(batches)):
+        for k, rows in enumerate(gathered(batches, most=BLOCK_BYTES)):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([v], t) for v, t in zip(found.block(rows, number + k), types)], names=[f.split()[0] for f in _BLOCKS.split(", ")]
             )
+        released()
 
-    return durable(texts(docs).mapInArrow(run, _BLOCKS), "zstd")
+    return durable(texts(docs).mapInArrow(run, _BLOCKS), "zstd", BLOCKS_PER_FILE)
 
 
 def pair_counts(pairs: DataFrame) -> DataFrame:
@@ -191,7 +194,6 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     spark = docs.sparkSession
     prepared(spark)
     held = blocks(docs, path_a, path_b)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +204,9 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     pa.array(np.frombuffer(totals, dtype=np.int64)),
                 ], names=["pair", "block", "place", "n"])
 
-    pairs = held.select("block", "pairs", "totals").mapInArrow(split, _PAIRS)
+    small_batches(spark, BLOCKS_PER_FILE)
+    pairs = durable(held.select("block", "pairs", "totals").mapInArrow(split, _PAIRS), "zstd")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     told = pairs.join(pair_counts(pairs), "pair").select("block", "place", "count", "best")
 
     def sums(one: pa.Table, counts: pa.Table) -> pa.Table:

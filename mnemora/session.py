@@ -53,14 +53,15 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def durable(df: DataFrame, codec: str | None = None) -> DataFrame:
+def durable(df: DataFrame, codec: str | None = None, rows_per_file: int = 0) -> DataFrame:
     """Cut lineage with a table in the shared folder, which survives the loss of executors.
 
-    ``codec`` is the Parquet compression, the session's own if none is given. The folder's retention removes old tables; a rerun writes new ones.
+    ``codec`` is the Parquet compression, the session's own if none is given; ``rows_per_file`` bounds what a scan
+    of very long rows holds at once. The folder's retention removes old tables; a rerun writes new ones.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mnemora/{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from mnemora.llm import alignment, pieces
@@ -100,3 +101,11 @@ def test_alignments_equal_those_of_brute_force(corpus, rows, most, monkeypatch):
 
 def test_an_empty_table(empty):
     assert alignment.aligned(empty, A, B).count() == 0
+
+
+def test_a_scan_meets_few_blocks_at_once(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "BLOCK_BYTES", 2_000)
+    docs = spark.range(200).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 40) as text").coalesce(1)
+    held = alignment.blocks(docs, A, B)
+    files = [r["count"] for r in held.groupBy(F.input_file_name()).count().collect()]
+    assert sum(files) > 4 * alignment.BLOCKS_PER_FILE and max(files) <= alignment.BLOCKS_PER_FILE
