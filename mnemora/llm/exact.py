@@ -33,15 +33,19 @@ def normalised(text: Column | None = None) -> Column:
 def duplicate_groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     """``text_sha256, keep_id, keep_chars, group_size`` of each set of two or more equal texts."""
     prepared(docs.sparkSession)
-    rows = _levels(docs, prefix)
+    return durable(_winners(_hashed(_levels(docs, prefix))))
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    """The rows whose length and prefix another one has too, with the hash of their whole text."""
     surviving = _surviving(rows)
     keys = ["norm_length", "prefix_hash"]
     # Rows outside the marks are settled and not hashed; the join takes out what the marks let by. A
     # filter here would be pushed below the projection and normalise the text again.
     full = rows.select(
-        *keys, "doc_id", F.char_length("text").alias("n_chars"), F.when(_marked(surviving, *keys), F.sha2("norm", 256)).alias("text_sha256")
+        *keys, "node", "doc_id", F.char_length("text").alias("n_chars"), F.when(_marked(surviving, *keys), F.sha2("norm", 256)).alias("text_sha256")
     )
-    return durable(_winners(full.join(surviving, keys, "left_semi")))
+    return full.join(surviving, keys, "left_semi")
 
 
 def _marked(table: DataFrame, *keys: str) -> Column:
@@ -87,27 +91,32 @@ def exact_duplicates(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
 
 
 def without_duplicates(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
-    """The rows that stay, with all their columns; one of rows repeated as a whole."""
-    found = duplicate_groups(docs, prefix)
-    groups = found.select(
-        F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"), F.col("keep_chars").alias("__chars"), F.lit(True).alias("__grouped"),
+    """The rows that stay, with all their columns; one of rows repeated as a whole.
+
+    Only the rows that may be equal are normalised a second time; whole rows are found again by a hash of id and text.
+    """
+    prepared(docs.sparkSession)
+    node = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    full = durable(_hashed(_levels(docs, prefix)))
+    sets = _winners(full)
+    grouped = durable(
+        full.join(sets, "text_sha256").groupBy(F.col("node").alias("__node")).agg(
+            F.first("text_sha256").alias("__sha"),
+            F.bool_or(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))).alias("__stays"),
+        )
     )
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    hashed = docs.withColumn("__sha", F.sha2(normalised(text), 256))
-    maybe = _marked(groups, "__sha")
+    found = docs.withColumn("__node", node)
+    maybe = _marked(grouped, "__node")
     # Only rows that may be in a group move; the others are alone and stay where they are.
-    marked = hashed.where(maybe).join(groups, "__sha", "left")
-    alone = hashed.where(~maybe).drop("__sha").unionByName(marked.where(F.col("__grouped").isNull()).select(*docs.columns))
-    first = marked.where(
-        F.col("__grouped") & F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")) & (F.char_length(text) == F.col("__chars"))
-    )
+    marked = found.where(maybe).join(grouped, "__node", "left")
+    alone = found.where(~maybe).unionByName(marked.where(F.col("__stays").isNull()).select(*docs.columns, "__node"))
     order = W.partitionBy("__sha").orderBy(*[F.col(c) for c, kind in docs.dtypes if kind in ("string", "bigint", "int", "double")])
-    one = first.withColumn("__n", F.row_number().over(order)).where("__n = 1")
+    one = marked.where("__stays").withColumn("__n", F.row_number().over(order)).where("__n = 1")
     return alone.select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
 def _levels(docs: DataFrame, prefix: int) -> DataFrame:
-    rows = texts(docs).withColumn("norm", normalised())
+    rows = texts(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("node"), normalised().alias("norm"))
     return rows.withColumn("norm_length", F.char_length("norm")).withColumn(
         "prefix_hash", F.xxhash64(F.substring("norm", 1, prefix))
     )

@@ -189,3 +189,10 @@ def test_factors_cross_to_another_place_of_the_reference():
     reference = lempel_ziv.Reference(3)
     assert list(reference.factors(b"a b c d e")) == [] and list(reference.factors(b"d e f g h")) == []
     assert list(reference.factors(b"x b c d e f g")) == [(1, 4), (3, 4)]
+
+
+def test_rows_that_stay_are_found_without_hashing_every_text_again(spark):
+    rows = [(3, "a b"), (1, "ab"), (2, "a  b"), (None, "a  b"), (4, "own"), (4, "own"), (5, None), (5, "")]
+    kept = exact.without_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(2, "a  b"), (4, "own"), (5, "")]
+    assert "sha2(" not in kept._jdf.queryExecution().toString()
